@@ -50,3 +50,18 @@ def _quality_rules() -> str:
 
 
 QUALITY_RULES = _quality_rules()
+
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATE = rf"""
+    WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_ALNUM} AS words FROM documents),
+    b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_ALNUM} AS words FROM benchmark),
+    bw AS (SELECT item, least(10, len(words)) AS k, words, unnest(range(0, len(words) - least(10, len(words)) + 1)) AS s FROM b WHERE len(words) > 0),
+    grams AS (SELECT DISTINCT item, k, array_to_string(words[s + 1 : s + k], ' ') AS gram FROM bw),
+    ks AS (SELECT DISTINCT k FROM grams),
+    dw AS (SELECT rn, words, k, unnest(range(0, len(words) - k + 1)) AS s FROM d, ks WHERE len(words) >= k),
+    hits AS (SELECT dw.rn, dw.s, dw.k, g.item FROM dw JOIN grams g ON g.k = dw.k AND g.gram = array_to_string(dw.words[dw.s + 1 : dw.s + dw.k], ' ')),
+    cover AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(s, s + k)) AS p FROM hits) GROUP BY rn),
+    items AS (SELECT rn, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY rn)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
+        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN cover USING (rn) LEFT JOIN items USING (rn)"""
