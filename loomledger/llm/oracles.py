@@ -65,3 +65,18 @@ DECONTAMINATE = rf"""
     SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
         sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN cover USING (rn) LEFT JOIN items USING (rn)"""
+
+NEAR_DEDUP = r"""
+    WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, hash(CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END) AS h
+        FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) AS i FROM d WHERE len(w) > 0)),
+    sized AS (SELECT doc_id, count(*) AS n, md5(string_agg(h::VARCHAR, ',' ORDER BY h)) AS same FROM s GROUP BY doc_id),
+    cls AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY same) AS rep FROM sized),
+    reps AS (SELECT s.doc_id, h, n FROM s JOIN cls USING (doc_id) WHERE cls.rep = cls.doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM reps a JOIN reps b ON a.h = b.h AND a.doc_id < b.doc_id
+        GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+    e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+    reach AS (SELECT DISTINCT a AS x, a AS y FROM e UNION SELECT reach.x, e.b FROM reach JOIN e ON e.a = reach.y),
+    comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+    SELECT d.doc_id, coalesce(cls.n, 0)::BIGINT AS n_shingles, coalesce(comp.c, cls.rep, d.doc_id) AS component_id, d.doc_id = coalesce(comp.c, cls.rep, d.doc_id) AS kept
+    FROM d LEFT JOIN cls USING (doc_id) LEFT JOIN comp ON comp.x = cls.rep"""

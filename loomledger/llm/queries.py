@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, oracles, quality_rules
+from . import decontaminate, license_scan, near_dedup, oracles, quality_rules
 from ._common import table
 
 
@@ -22,11 +22,16 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_near")
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_license_scan": op4_license_scan,
         "op7_decontaminate": op7_decontaminate,
         "op9_quality_rules": op9_quality_rules,
+        "op10_near_dedup": op10_near_dedup,
     }
 
 
@@ -34,4 +39,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op7_decontaminate": oracles.DECONTAMINATE,
         "op9_quality_rules": oracles.QUALITY_RULES,
+        "op10_near_dedup": oracles.NEAR_DEDUP,
     }
