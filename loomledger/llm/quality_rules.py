@@ -114,7 +114,8 @@ def cutoffs(sketch: DataFrame) -> DataFrame:
         elif keys:
             merged = merged.join(level.withColumnRenamed("lang", "_lang"), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
         else:
-            merged = merged.withColumn("_one", F.lit(1)).join(level.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")
+            whole = level.first()  # one row
+            merged = merged.withColumns({c: F.lit(whole[c]).cast(t) for c, t in level.dtypes})
     pick = lambda r: F.when(F.col("own_n") >= MIN_GROUP, F.col(f"own_{r}")).when(F.col("by_lang_n") >= MIN_GROUP, F.col(f"by_lang_{r}")).otherwise(F.col(f"all_{r}"))
     return merged.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *[pick(r).alias(f"max_{r}") for r in SLACK])
 

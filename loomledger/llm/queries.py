@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, license_scan, near_dedup, oracles, quality_rules
+from . import decontaminate, license_scan, near_dedup, oracles, packing, quality_rules, secrets
 from ._common import table
 
 
@@ -26,10 +26,20 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": op2_packing,
         "op4_license_scan": op4_license_scan,
         "op7_decontaminate": op7_decontaminate,
+        "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_near_dedup": op10_near_dedup,
     }
