@@ -80,3 +80,29 @@ NEAR_DEDUP = r"""
     comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
     SELECT d.doc_id, coalesce(cls.n, 0)::BIGINT AS n_shingles, coalesce(comp.c, cls.rep, d.doc_id) AS component_id, d.doc_id = coalesce(comp.c, cls.rep, d.doc_id) AS kept
     FROM d LEFT JOIN cls USING (doc_id) LEFT JOIN comp ON comp.x = cls.rep"""
+
+#: Bytes as hexadecimal digits, two a byte. A byte is removed if one of the last 100 windows up to it repeats an earlier one.
+SUFFIX_DEDUP = r"""
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+    p AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 200)) AS h FROM (SELECT doc_id, x, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+    r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS k FROM p) WHERE k > 1),
+    e AS (SELECT doc_id, i, sum(CASE WHEN i <= prev + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g
+        FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1000) AS prev FROM r)),
+    s AS (SELECT doc_id, min(i) AS lo, max(i) + 100 AS hi FROM e GROUP BY doc_id, g),
+    k AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS begin FROM s),
+    c AS (SELECT k.doc_id, count(*)::BIGINT AS n_spans, sum(hi - lo)::BIGINT AS n_removed, string_agg(substr(x, 2 * begin + 1, 2 * (lo - begin)), '' ORDER BY lo) AS head, max(hi) AS tail
+        FROM k JOIN d ON d.doc_id = k.doc_id GROUP BY k.doc_id)
+    SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+        sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN c ON c.doc_id = d.doc_id"""
+
+#: Five hexadecimal digits make four base32 digits.
+WARC = r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+    SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes,
+        array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+            (((('0x' || substr(h, (i // 4)::INT * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+        CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+        CASE WHEN page_id <> first THEN first END AS refers_to
+    FROM f"""

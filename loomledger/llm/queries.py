@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, near_dedup, oracles, packing, quality_classifier, quality_rules, secrets
+from . import decontaminate, language_id, license_scan, near_dedup, oracles, packing, quality_classifier, quality_rules, secrets, suffix_dedup, warc
 from ._common import table
 
 
@@ -42,12 +43,28 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id", "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages")).drop("url")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_packing": op2_packing,
         "op3_language_id": op3_language_id,
         "op4_license_scan": op4_license_scan,
+        "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_warc": op6_warc,
         "op7_decontaminate": op7_decontaminate,
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
@@ -57,6 +74,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_suffix_dedup": oracles.SUFFIX_DEDUP,
+        "op6_warc": oracles.WARC,
         "op7_decontaminate": oracles.DECONTAMINATE,
         "op9_quality_rules": oracles.QUALITY_RULES,
         "op10_near_dedup": oracles.NEAR_DEDUP,
