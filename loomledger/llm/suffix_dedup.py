@@ -33,6 +33,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,6 +51,7 @@ PIECE = 1 << 20
 BLOCK = 3 << 20
 RUN = 512
 
+_PACKED = "doc_id long, id long, mark long, packed binary"
 _GRAMS = LENGTH - GRAM + 1
 _NO_ID = (1 << 63) - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -113,6 +115,21 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed one by one, for shuffles that carry whole texts."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        data, offsets = _buffers(batch.column("text"))
+        blobs = pa.array([pack(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "id", "mark")] + [blobs], ["doc_id", "id", "mark", "packed"])
+
+
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    texts = [unpack(x.as_buffer()) for x in column]
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+
+
 def _grams_used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(bucket, n): the grams that are some window's least, with their places counted within the piece."""
     for batch in batches:
@@ -149,7 +166,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each run of a document with the bytes that its suffixes compare."""
     for batch in batches:
-        data, offsets = _buffers(batch.column("text"))
+        data, offsets = _unpacked(batch.column("packed"))
         ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mark"))
         runs = batch.column("runs")
         owner = np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy(zero_copy_only=False))
@@ -296,7 +313,7 @@ def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Join each document's spans and cut them out."""
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
     for batch in batches:
-        data, offsets = _buffers(batch.column("text"))
+        data, offsets = _unpacked(batch.column("packed"))
         found = batch.column("spans")
         count = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         flat = found.flatten()
@@ -326,14 +343,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     plain = ids.isEmpty()  # else rows of one id are told apart by their text
     mark = F.lit(0).cast("long") if plain else F.xxhash64("text")
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), mark.alias("mark"), "text")
-    once = rows.drop("doc_id") if plain else rows.drop("doc_id").dropDuplicates(["id", "mark"])
+    once = rows if plain else rows.dropDuplicates(["id", "mark"])
     once = once.filter(F.octet_length("text") >= LENGTH)
 
     counted = once.select("text").mapInArrow(_grams_used, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter("n > 1")
     counted = written(counted.select("bucket", F.ceil(F.col("n") / BUCKET).cast("long").alias("cuts")), "suffix_buckets")
     runs = once.mapInArrow(_runs, "bucket long, id long, mark long, run long").join(counted, "bucket")
-    by_doc = written(runs.groupBy("id", "mark").agg(F.collect_list(F.struct("bucket", "cuts", "run")).alias("runs")), "suffix_runs")
-    parts = once.join(by_doc, ["id", "mark"]).select("id", "mark", "text", "runs").mapInArrow(_with_bytes, "bucket long, cut long, more boolean, id long, mark long, place long, bytes binary")
+    by_doc = runs.groupBy("id", "mark").agg(F.collect_list(F.struct("bucket", "cuts", "run")).alias("runs"))
+    parts = once.mapInArrow(_packed, _PACKED).join(by_doc, ["id", "mark"]).select("id", "mark", "packed", "runs").mapInArrow(_with_bytes, "bucket long, cut long, more boolean, id long, mark long, place long, bytes binary")
     blocks = parts.repartition("bucket", "cut").sortWithinPartitions("bucket", "cut")
     found = written(blocks.mapInArrow(_sorted_blocks, "id long, mark long, from long, to long, string binary"), "suffix_found")
 
@@ -344,5 +361,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     later = firsts.join(least, "string").filter(place > F.col("least")).select("id", "mark", "from", "to")
     spans = found.filter("string is null").select("id", "mark", "from", "to").unionByName(later)
     by_doc = spans.groupBy(F.col("id").alias("_id"), F.col("mark").alias("_mark")).agg(F.collect_list(F.struct("from", "to")).alias("spans"))
-    whole = rows.join(by_doc, (rows["id"] == by_doc["_id"]) & (rows["mark"] == by_doc["_mark"]), "left").select("doc_id", "text", "spans")
+    rows = rows.mapInArrow(_packed, _PACKED)
+    whole = rows.join(by_doc, (rows["id"] == by_doc["_id"]) & (rows["mark"] == by_doc["_mark"]), "left").select("doc_id", "packed", "spans")
     return whole.mapInArrow(_keep, "doc_id long, n_bytes long, spans array<struct<from: long, to: long>>, kept binary")
