@@ -115,10 +115,17 @@ def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2] or b"", np.uint8), offsets
 
 
+def _sliced(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows, few at a time, so that unpacked texts take little memory."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts compressed one by one, for shuffles that carry whole texts."""
     pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
+    for batch in _sliced(batches):
         data, offsets = _buffers(batch.column("text"))
         blobs = pa.array([pack(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "id", "mark")] + [blobs], ["doc_id", "id", "mark", "packed"])
@@ -165,7 +172,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _with_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each run of a document with the bytes that its suffixes compare."""
-    for batch in batches:
+    for batch in _sliced(batches):
         data, offsets = _unpacked(batch.column("packed"))
         ids, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "mark"))
         runs = batch.column("runs")
@@ -312,7 +319,7 @@ def _sorted_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Join each document's spans and cut them out."""
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-    for batch in batches:
+    for batch in _sliced(batches):
         data, offsets = _unpacked(batch.column("packed"))
         found = batch.column("spans")
         count = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
