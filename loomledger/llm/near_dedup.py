@@ -10,9 +10,11 @@ Buckets are never expanded into all pairs. First each member is compared with
 its bucket's pivot (the smallest class), which settles groups whose members
 resemble the pivot. In buckets that still hold more than one component the
 members, ordered by component, are cut into blocks; blocks that span different
-components meet in a task, where signatures rule out pairs far below the
-threshold. Every surviving pair is verified on the full sets. No cap is set on
-members, partners or candidates.
+components meet in a task. There a member's full set is written against its
+pivot's: a bit for each of the pivot's shingles, and the shingles beyond those.
+Near copies of one text are small in this form, and sizes of intersections are
+exact, so that only links leave the task and never candidate pairs. No cap is
+set on members, partners or candidates.
 
 With BANDS bands of ROWS coordinates a pair at the threshold is missed with
 probability (1 - 0.75 ** ROWS) ** BANDS, 2e-6.
@@ -41,9 +43,9 @@ BANDS = 48
 ROWS = 5
 #: Link where PERCENT * union <= 100 * intersection.
 PERCENT = 75
-#: Signature agreement (of BANDS * ROWS coordinates, cut to 8 bits) below which a pair cannot reach the threshold: over six deviations off.
-LEAST_AGREEMENT = 0.57
 BLOCK = 64
+#: Cells of the counts that bound how many shingles beyond the pivot's two members share.
+CELLS = 256
 BROADCAST_IDS = 1_000_000
 _TABLE = str.maketrans(UPPER, LOWER)
 _SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
@@ -113,7 +115,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [shingles(t) for t in pdf["text"]]
         sigs = [signature(s) for s in sets]
-        yield pd.DataFrame({"cls": pdf["doc_id"], "n": [len(s) for s in sets], "sig": [s.astype(np.uint8).tobytes() for s in sigs], "bands": [band_keys(s) for s in sigs]})
+        yield pd.DataFrame({"cls": pdf["doc_id"], "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sigs]})
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -138,14 +140,29 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(ids, "doc_id")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _with_sets(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """Pairs (a, b), a pivot and a member, with both full sets."""
     pairs = written(pairs, name)
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
     sets = written(_texts(docs, ids).mapInPandas(_hashed, "cls long, hashes binary"), name)
     left = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("set_a"))
     right = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("set_b"))
-    return written(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInPandas(_verify, "a long, b long"), name)
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+
+
+def _against_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each member's set as bits over the pivot's set, and the shingles that the pivot lacks."""
+    for pdf in batches:
+        masks, extras = [], []
+        for a, b in zip(pdf["set_a"], pdf["set_b"], strict=True):
+            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+            shared = x[at] == y
+            bits = np.zeros(len(x), bool)
+            bits[at[shared]] = True
+            masks.append(np.packbits(bits).tobytes())
+            extras.append(y[~shared].tobytes())
+        yield pd.DataFrame({"p": pdf["a"], "cls": pdf["b"], "mask": masks, "extra": extras})
 
 
 def _could(a: str, b: str) -> Column:
@@ -178,46 +195,60 @@ def _are_stars(edges: DataFrame) -> bool:
     return bad.isEmpty()
 
 
-def _block_pairs(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each row holds two blocks of a bucket: the pairs of different components whose signatures and sizes allow a link."""
+def _block_links(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each row holds two blocks of a bucket: links between their components, as many as it takes to join those that the blocks join."""
     for pdf in rows:
         found = []
         for x, y in zip(pdf["left"], pdf["right"], strict=True):
-            cls = [np.array([m["cls"] for m in side], np.int64) for side in (x, y)]
-            comp = [np.array([m["comp"] for m in side], np.int64) for side in (x, y)]
-            n = [np.array([m["n"] for m in side], np.int64) for side in (x, y)]
-            sig = [np.frombuffer(b"".join(m["sig"] for m in side), np.uint8).reshape(len(side), -1) for side in (x, y)]
+            cls, comp, n, mask, extra, cells = zip(*map(_members, (x, y)), strict=True)
             for i in range(len(cls[0])):
-                ok = (comp[1] != comp[0][i]) & (100 * np.minimum(n[1], n[0][i]) >= PERCENT * np.maximum(n[1], n[0][i]))
-                ok &= cls[1] != cls[0][i]
-                for j in np.flatnonzero(ok):
-                    if (sig[0][i] == sig[1][j]).mean() >= LEAST_AGREEMENT:
-                        a, b = sorted((int(cls[0][i]), int(cls[1][j])))
-                        found.append((a, b))
+                open_ = (comp[1] != comp[0][i]) & (100 * np.minimum(n[1], n[0][i]) >= PERCENT * np.maximum(n[1], n[0][i]))
+                j = np.flatnonzero(open_)
+                both = np.bitwise_count(mask[1][j] & mask[0][i]).sum(1, dtype=np.int64)
+                need = PERCENT * (n[1][j] + n[0][i])
+                could = (100 + PERCENT) * (both + np.minimum(cells[1][j], cells[0][i]).sum(1)) >= need
+                for k in np.flatnonzero(could):
+                    if comp[1][j[k]] == comp[0][i]:
+                        continue
+                    exact = both[k] + len(np.intersect1d(extra[0][i], extra[1][j[k]], assume_unique=True))
+                    if (100 + PERCENT) * exact >= need[k]:
+                        found.append(tuple(sorted((int(cls[0][i]), int(cls[1][j[k]])))))
+                        old, new = comp[1][j[k]], comp[0][i]
+                        for c in comp:
+                            c[c == old] = new
         yield pd.DataFrame(sorted(set(found)), columns=["a", "b"], dtype="int64")
 
 
+def _members(block: list) -> tuple:
+    cls, comp, n = (np.array([m[k] for m in block], np.int64) for k in ("cls", "comp", "n"))
+    mask = np.frombuffer(b"".join(m["mask"] for m in block), np.uint8).reshape(len(block), -1)
+    extra = [np.frombuffer(m["extra"], np.uint64) for m in block]
+    cells = np.stack([np.bincount((e % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) for e in extra])
+    return cls, comp, n, mask, extra, cells
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     digests = written(docs.select("doc_id", "text").mapInPandas(_digest, "doc_id long, n_shingles long, digest binary"), "near_digests")
     # a class per distinct set, named by its smallest doc_id; that row's text stands for it
     classes = written(digests.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cls")), "near_classes")
-    signed = written(_texts(docs, classes.select(F.col("cls").alias("doc_id"))).mapInPandas(_signed, "cls long, n long, sig binary, bands array<long>"), "near_signed")
+    signed = written(_texts(docs, classes.select(F.col("cls").alias("doc_id"))).mapInPandas(_signed, "cls long, n long, bands array<long>"), "near_signed")
 
     bands = signed.select("cls", "n", F.explode("bands").alias("key"))
     pivots = bands.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n")).alias("pivot")).filter("size > 1")
     members = written(bands.join(pivots, "key").select("key", "cls", "n", "size", F.col("pivot.cls").alias("p"), F.col("pivot.n").alias("pn")), "near_members")
     pairs = members.filter("cls <> p").filter(_could("n", "pn")).select(F.col("p").alias("a"), F.col("cls").alias("b")).distinct()
-    links = _linked(pairs, docs, "near_links")
+    links = written(_with_sets(pairs, docs, "near_pairs").mapInPandas(_verify, "a long, b long"), "near_links")
     comps = components(links, "near_components")
 
     # buckets that the pivot has not settled
     placed = members.filter("size > 2").join(comps, members["cls"] == comps["node"], "left").select("key", "cls", "n", "p", F.coalesce("comp", "cls").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = placed.join(mixed, "key").filter("cls <> p").join(signed.select("cls", "sig"), "cls")
-    blocks = _blocks(rest)
-    later = blocks.mapInPandas(_block_pairs, "a long, b long").distinct()
-    more = _linked(later, docs, "near_more_links")
+    rest = written(placed.join(mixed, "key").filter("cls <> p"), "near_rest")
+    own = rest.select(F.col("p").alias("a"), F.col("cls").alias("b")).distinct()
+    against = written(_with_sets(own, docs, "near_own").mapInPandas(_against_pivot, "p long, cls long, mask binary, extra binary"), "near_against")
+    blocks = _blocks(rest.join(against, ["p", "cls"]))
+    more = written(blocks.mapInPandas(_block_links, "a long, b long").distinct(), "near_more_links")
     if not more.isEmpty():
         comps = components(links.unionByName(more), "near_components")
 
@@ -246,7 +277,7 @@ def _blocks(rest: DataFrame) -> DataFrame:
         F.when(big, F.ceil(F.col("m") / BLOCK)).otherwise(F.ceil(F.col("total") / BLOCK)).cast("long").alias("cuts"),
     )
     cut = rest.join(plan, ["key", "comp"]).select(
-        "key", "big", F.struct("cls", "comp", "n", "sig").alias("m"),
+        "key", "big", F.struct("cls", "comp", "n", "mask", "extra").alias("m"),
         F.when(F.col("big"), F.col("comp")).otherwise(F.lit(-1)).alias("owner"),
         F.pmod(F.xxhash64(F.when(F.col("big"), F.col("cls")).otherwise(F.col("comp"))), F.col("cuts")).alias("cut"),
     )
