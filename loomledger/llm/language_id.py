@@ -188,13 +188,18 @@ def fit(texts: list[str], labels: list[int], n_languages: int) -> Model:
 
 def train(docs: DataFrame) -> tuple[list[str], Model | None]:
     """Learn from a bounded sample of documents that are not held out."""
-    known = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     languages = sorted(r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    rows = []
-    for lang in languages:  # top-k by hash; a text adds at most 4,000 characters from a place that its hash gives
-        part = known.filter(F.col("lang") == lang).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text").orderBy("h", "doc_id").limit(SAMPLE)
-        at = F.pmod(F.col("h"), F.greatest(F.length("text") - 4000, F.lit(0)) + 1).cast("int") + 1
-        rows += [(lang, r["doc_id"], r["t"]) for r in part.select("doc_id", F.substring("text", at, F.lit(4000)).alias("t")).collect()]
+    chosen = None
+    for lang in languages:  # top-k by hash, of ids alone
+        part = known.filter(F.col("lang") == lang).select("lang", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+        chosen = part if chosen is None else chosen.unionByName(part)
+    if chosen is None:
+        return [], None
+    # at most SAMPLE ids a language; a text adds at most 4,000 characters, from a place that the id's hash gives
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 4000, F.lit(0)) + 1).cast("int") + 1
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).filter(F.col("text").isNotNull())
+    rows = [(r["lang"], r["doc_id"], r["t"]) for r in texts.select("lang", "doc_id", F.substring("text", at, F.lit(4000)).alias("t")).dropDuplicates(["lang", "doc_id"]).collect()]
     rows.sort()
     if not rows:
         return languages, None
