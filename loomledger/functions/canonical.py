@@ -51,7 +51,7 @@ def number_json(x: float | int | bool | None) -> str:
     if not exponent:
         return digits
     n = int(exponent)
-    if -7 <= n < 0:
+    if -7 < n < 0:
         return f"{x:.{len(digits.replace('.', '').lstrip('-')) - 1 - n}f}"
     return f"{digits.removesuffix('.0')}e{'+' if n > 0 else '-'}{abs(n)}"
 
