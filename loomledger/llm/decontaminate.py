@@ -9,7 +9,7 @@
 3. Compare the words of candidate alignments; windows that match are exact.
 
 Everything is built-in DataFrame functions. Broadcasts are made only of tables
-counted first (BROADCAST_ROWS); beyond that Spark joins by shuffle.
+counted first (BROADCAST_ROWS, BROADCAST_WORDS); beyond that Spark joins by shuffle.
 
 Defined cases: a null or empty text has no words and no hits; an item of fewer
 than WINDOW words is one window, one without words none; repeated rows and
@@ -30,12 +30,15 @@ RAREST = 2
 #: Words by which two rare terms of a window may be off and still count as near.
 SLOP = 8
 BROADCAST_ROWS = 200_000
+#: Words in the lists of a table that is broadcast.
+BROADCAST_WORDS = 2_000_000
 _END = ""
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if a count shows that it is small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, words: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if counts show that it is small: its rows, and its words where it has lists of them."""
+    size = df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.lit(0) if words is None else words), F.lit(0)).alias("words")).first()
+    return F.broadcast(df) if size["rows"] <= BROADCAST_ROWS and size["words"] <= BROADCAST_WORDS else df
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -78,13 +81,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
     pairs_small = _small(pairs)
     aligned = met.join(pairs_small, "n").filter(F.exists("pairs", lambda p: F.size(F.array_except(p, F.col("ats"))) == 0))
     candidates = written(aligned.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("n", "shift")).alias("at")), "bench_candidates")
-    with_items = candidates.select("doc_id", "mark", F.explode("at").alias("a")).select("doc_id", "mark", "a.n", "a.shift").join(_small(items), "n")
+    with_items = candidates.select("doc_id", "mark", F.explode("at").alias("a")).select("doc_id", "mark", "a.n", "a.shift").join(_small(items, F.size("words")), "n")
     wanted = with_items.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("item", "words", "k", "shift")).alias("wanted"))
 
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
     marked = docs.select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    wanted = F.broadcast(wanted) if candidates.count() * 20 <= BROADCAST_ROWS else wanted
-    texts = marked.join(wanted, same(marked, wanted)).select(marked["doc_id"], marked["mark"], alnum_words(F.col("text")).alias("w"), "wanted")
+    longest = items.agg(F.coalesce(F.max(F.size("words")), F.lit(0))).first()[0]
+    alignments = candidates.agg(F.count("*"), F.coalesce(F.sum(F.size("at")), F.lit(0))).first()
+    if alignments[0] <= BROADCAST_ROWS and alignments[1] * longest <= BROADCAST_WORDS:
+        wanted = F.broadcast(wanted)
+    texts = marked.join(wanted, same(marked, wanted)).select(marked["doc_id"], marked["mark"], "text", "wanted")
 
     def spans(words: Column, a: Column) -> Column:
         first = F.greatest(F.lit(0), -a["shift"])
@@ -93,10 +99,10 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame
         hit = F.filter(starts, lambda s: F.slice(words, a["shift"] + s + 1, a["k"]) == F.slice(a["words"], s + 1, a["k"]))
         return F.transform(hit, lambda s: F.struct((a["shift"] + s).alias("from"), (a["shift"] + s + a["k"]).alias("to")))
 
-    exact = texts.select(
-        "doc_id", "mark",
-        F.filter(F.transform("wanted", lambda a: F.struct(a["item"].alias("item"), spans(F.col("w"), a).alias("spans"))), lambda x: F.size(x["spans"]) > 0).alias("found"),
-    ).filter(F.size("found") > 0).dropDuplicates(["doc_id", "mark"])
+    found = lambda w: F.filter(F.transform("wanted", lambda a: F.struct(a["item"].alias("item"), spans(w, a).alias("spans"))), lambda x: F.size(x["spans"]) > 0)
+    # the text's words are a lambda's variable, so that they are split once a row and not once an alignment; explode keeps the filter above it
+    once = F.transform(F.array(alnum_words(F.col("text"))), found)[0]
+    exact = texts.select("doc_id", "mark", F.explode(F.array(once)).alias("found")).filter(F.size("found") > 0).dropDuplicates(["doc_id", "mark"])
 
     # near: two or more of an item's rare places within SLOP words of one shift
     around = shifted.select("doc_id", "mark", "n", "at", F.explode(F.array(F.floor(F.col("shift") / SLOP), F.floor(F.col("shift") / SLOP) + 1)).alias("zone"))
