@@ -109,6 +109,12 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT * FROM (SELECT pos, id, json, sum(octet_length(encode(json))) OVER (ORDER BY pos)::BIGINT AS bytes_so_far FROM (SELECT seq AS pos, id, id || type || payload AS json FROM ev WHERE seq > 100 ORDER BY seq LIMIT 500)) WHERE bytes_so_far <= 6000",
         "push_budget": with_ledger + "SELECT count(*) AS events, count(*) FILTER (octet_length(encode(payload)) > 16) AS too_large, count(*) > 500 OR count(*) FILTER (octet_length(encode(payload)) > 16) > 0 AS refused FROM ev",
         "device_registry": with_ledger + "SELECT CASE WHEN device_id IN ('d0', 'd2', 'd4') THEN 'accept' WHEN device_id IN ('d1', 'd3', 'd5') THEN 'reject' ELSE 'unknown' END AS verdict, count(*) AS n FROM ev GROUP BY 1",
+        "authorize_tokens": """WITH a AS (SELECT event_id, user_id % 8 AS d, CASE WHEN event_id % 2 = 0 THEN 'relay:push' ELSE 'relay:pull' END AS scope FROM events)
+            SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'missing capability token' WHEN d = 0 THEN 'device revoked: d0' WHEN d = 2 THEN 'token revoked: t2' WHEN d = 1 THEN 'unknown device: d1'
+                WHEN (d = 3 AND event_id > 500) OR (d = 4 AND event_id % 2 = 1) OR d = 5 OR (d = 6 AND event_id < 1000) THEN 'capability rejected for ' || scope END AS refused FROM a""",
+        "authorize_grants": """WITH a AS (SELECT event_id, user_id % 5 AS g, CASE WHEN event_id % 2 = 0 THEN 'entries:append' ELSE 'entries:resolve' END AS scope FROM events)
+            SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'missing scope grant'
+                WHEN g IN (0, 3) OR (g = 1 AND event_id NOT BETWEEN 100 AND 600) OR (g = 2 AND event_id % 2 = 1) THEN 'grant rejected for ' || scope END AS refused FROM a""",
         "tombstones": with_ledger + "SELECT seq, id AS event_id, split_part(type, '.', 2) AS op, target FROM ev WHERE type IN ('tombstone.hide', 'tombstone.show')",
         "hidden_ids": with_ledger + "SELECT target FROM ev WHERE type IN ('tombstone.hide', 'tombstone.show') GROUP BY target HAVING arg_max(type, seq) = 'tombstone.hide'",
         "tombstone_targets": f"WITH {_LEDGER}, {_PAIRS} SELECT lo, hi FROM p",

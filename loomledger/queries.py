@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomledger.operators import blobs, chain, retention, revoke, sync, tombstone
+from loomledger.functions import ed25519
+from loomledger.operators import auth, blobs, chain, retention, revoke, sync, tombstone
 from loomledger.operators.fold import Fold, rebuilt_tally
 from loomledger.operators.validate import typed
 from loomledger.plans.event_view import ledger, table
@@ -275,6 +276,45 @@ def device_registry(spark, d):
     return rows.groupBy(word.alias("verdict")).agg(F.count("*").alias("n"))
 
 
+# authorization: every event asks, with its device's token or its user group's grant, at the time of its id
+
+
+def _signed(private: list[str], kind: str, rows: DataFrame) -> DataFrame:
+    """A handful of fixed tokens or grants (rows: column t, and `broken`), signed on the driver; broken ones over other bytes."""
+    text = (auth.token_text if kind == "token" else auth.grant_text)(F.col("t"))
+    out = [(r.key, ed25519.sign(private[r.key % len(private)], r.text + "x" * r.broken)) for r in rows.select("key", "broken", text.alias("text")).collect()]
+    signatures = rows.sparkSession.createDataFrame(out, "key long, signature string")
+    return rows.join(F.broadcast(signatures), "key").withColumn("t", F.col("t").withField("signature", F.col("signature"))).select("key", "t")
+
+
+def _keys(n: int) -> list[tuple[str, str]]:
+    return [ed25519.key_pair(bytes([i]) * 32) for i in range(1, n + 1)]
+
+
+@_query
+def authorize_tokens(spark, d):
+    keys = _keys(8)
+    both = ["relay:push", "relay:pull"]
+    rows = [(i, ("t%d" % i, "d%d" % i, both[:1] if i == 4 else both, 0, 500 if i == 3 else 1 << 40, 1000 if i == 6 else None, None), int(i == 5)) for i in range(8)]
+    tokens = _signed([k[1] for k in keys], "token", spark.createDataFrame(rows, f"key long, t {auth.TOKEN}, broken int"))
+    registry = spark.createDataFrame([(f"d{i}", keys[i][0]) for i in range(8) if i != 1], "device_id string, pem string")
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("user_id") % 8).alias("key"))
+    asks = e.join(F.broadcast(tokens), "key", "left").select("event_id", F.col("t").alias("token"), F.when(F.col("event_id") % 2 == 0, both[0]).otherwise(both[1]).alias("scope"), F.col("event_id").alias("now"))
+    gone = lambda x: spark.createDataFrame([(x,)], "id string")
+    return auth.authorized(asks, registry, gone("d0"), gone("t2")).select("event_id", "refused")
+
+
+@_query
+def authorize_grants(spark, d):
+    (public, private), = _keys(1)
+    both = ["entries:append", "entries:resolve"]
+    rows = [(i, ("g%d" % i, "d", both[:1] if i == 2 else both, "office", 100 if i == 1 else 0, 600 if i == 1 else 1 << 40, None), int(i == 3)) for i in range(5)]
+    grants = _signed([private], "grant", spark.createDataFrame(rows, f"key long, t {auth.GRANT}, broken int"))
+    e = table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 10 != 0, F.col("user_id") % 5).alias("key"))
+    asks = e.join(F.broadcast(grants), "key", "left").select("event_id", F.col("t").alias("grant"), F.when(F.col("event_id") % 2 == 0, both[0]).otherwise(both[1]).alias("scope"), F.col("event_id").alias("now"))
+    return auth.granted(asks, public, spark.createDataFrame([("g0",)], "id string")).select("event_id", "refused")
+
+
 # tombstones and retention
 
 
