@@ -87,6 +87,33 @@ def purge(log: DataFrame, revoked: DataFrame, already: DataFrame, cursor: int) -
     return {"scanned": new.count(), "quarantined": ids.count()}, ids
 
 
+def relay_order(not_before: list[int], now: int) -> list[int]:
+    """Relays in list order, those still cooling down last."""
+    return sorted(range(len(not_before)), key=lambda i: now < not_before[i])
+
+
+def pulled_from_all(feeds: DataFrame, cursors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(events, cursors) over the logs of all relays (relay, pos, id, ...): each id behind its relay's cursor once, from the
+    first relay in order that has it, and how far every relay has been read. A relay without a cursor is read from its start.
+    """
+    seen = cursors.groupBy("relay").agg(F.max("since").alias("_since"))
+    new = feeds.join(seen, "relay", "left").filter(F.col("pos") > F.coalesce("_since", F.lit(0))).drop("_since")
+    columns = [c for c in new.columns if c != "id"]
+    events = new.filter("id is not null and id <> ''").groupBy("id").agg(F.min_by(F.struct(*columns), F.struct("relay", "pos")).alias("e")).select("id", "e.*")
+    moved = new.groupBy("relay").agg(F.max("pos").alias("since")).unionByName(cursors.select("relay", "since"))
+    return events, moved.groupBy("relay").agg(F.max("since").alias("since"))
+
+
+def backfill(log: DataFrame, relay: DataFrame, acked: int) -> DataFrame:
+    """What a relay newly switched to lacks of the acknowledged prefix."""
+    return log.filter(F.col("seq") <= acked).join(relay.select("id"), "id", "left_anti")
+
+
+def outbox_full(top_seq: int, ack_seq: int, cap: int = 50_000) -> bool:
+    """Whether appending must wait for acknowledgements."""
+    return top_seq - ack_seq >= cap
+
+
 def stored_by_relay(pushed: DataFrame) -> DataFrame:
     """First arrival of every id, by pos."""
     columns = [c for c in pushed.columns if c != "id"]

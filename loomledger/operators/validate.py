@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomledger.functions import payload as p
 from loomledger.schema import ADD, APPEND_STATES, ENTRY, HIDE, REMOVE, SHOW, TRANSITIONS, UNDO
+from loomledger.sources.scratch import written
 
 
 def typed(events: DataFrame) -> DataFrame:
@@ -47,13 +50,27 @@ def typed(events: DataFrame) -> DataFrame:
 def accepted(rows: DataFrame) -> DataFrame:
     """typed rows with `disposition`: applied, duplicate (a known id again), collision (a new id on a taken seq) or poison.
 
-    Poison goes first; then the earliest row of an id and the first id of a seq win.
-    Where both kinds of clash mix for one seq the id's earliest row decides.
+    As if read one by one by seq, then id: a row is applied if neither its id nor
+    its seq has been. Only rows that share an id or a seq take part in the rounds:
+    each applies those that come first under both keys and sets aside what shares
+    a key with them, which by then cannot be applied.
     """
-    fit = F.col("poison_reason").isNull()
-    by_id = Window.partitionBy("id", fit).orderBy("seq")
-    by_seq = Window.partitionBy("seq", "_first").orderBy("id")
-    out = rows.withColumn("_first", fit & (F.row_number().over(by_id) == 1))
-    out = out.withColumn("_place", F.row_number().over(by_seq))
-    word = F.when(~fit, "poison").when(~F.col("_first"), "duplicate").when(F.col("_place") > 1, "collision").otherwise("applied")
-    return out.withColumn("disposition", word).drop("_first", "_place")
+    all_rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "arrivals")
+    fit = all_rows.filter("poison_reason is null").select("id", "seq", F.struct("seq", "id", "_row").alias("place"))
+    keys = ("id", "seq")
+    first = {k: (lambda df, k=k: df.groupBy(k).agg(F.min("place").alias(f"_{k}"), F.count("*").alias(f"_n_{k}"))) for k in keys}
+    sides = lambda df: df.join(first["id"](df), "id").join(first["seq"](df), "seq")
+    ranked = written(sides(fit), "arrivals")
+    alone = (F.col("_n_id") == 1) & (F.col("_n_seq") == 1)
+    won = [ranked.filter(alone).select("id", "seq", "place")]
+    still = ranked.filter(~alone)
+    while not still.isEmpty():
+        winners = written(still.filter((F.col("place") == F.col("_id")) & (F.col("place") == F.col("_seq"))).select("id", "seq", "place"), "arrivals")
+        won.append(winners)
+        rest = still.select("id", "seq", "place").join(winners.select("id"), "id", "left_anti").join(winners.select("seq"), "seq", "left_anti")
+        still = written(sides(written(rest, "arrivals")), "arrivals")
+    applied = reduce(DataFrame.unionByName, won).select(F.col("id").alias("_won"), F.col("place._row").alias("_by"), F.col("place").alias("_place"))
+    out = all_rows.join(applied, F.col("id") == F.col("_won"), "left")
+    later = F.struct("seq", "id", "_row") > F.col("_place")
+    word = F.when(F.col("poison_reason").isNotNull(), "poison").when(F.col("_row") == F.col("_by"), "applied").when(later, "duplicate").otherwise("collision")
+    return out.withColumn("disposition", word).drop("_row", "_won", "_by", "_place")

@@ -109,6 +109,10 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT * FROM (SELECT pos, id, json, sum(octet_length(encode(json))) OVER (ORDER BY pos)::BIGINT AS bytes_so_far FROM (SELECT seq AS pos, id, id || type || payload AS json FROM ev WHERE seq > 100 ORDER BY seq LIMIT 500)) WHERE bytes_so_far <= 6000",
         "push_budget": with_ledger + "SELECT count(*) AS events, count(*) FILTER (octet_length(encode(payload)) > 16) AS too_large, count(*) > 500 OR count(*) FILTER (octet_length(encode(payload)) > 16) > 0 AS refused FROM ev",
         "device_registry": with_ledger + "SELECT CASE WHEN device_id IN ('d0', 'd2', 'd4') THEN 'accept' WHEN device_id IN ('d1', 'd3', 'd5') THEN 'reject' ELSE 'unknown' END AS verdict, count(*) AS n FROM ev GROUP BY 1",
+        "failover_pull": "SELECT 'e' || event_id AS id, min(relay) AS relay, event_id + 1 AS pos FROM events, (SELECT unnest([0, 1, 2]) AS relay) WHERE (event_id + 1 + relay) % 4 <> 0 AND event_id + 1 > CASE relay WHEN 0 THEN 300 WHEN 1 THEN 50 ELSE 0 END GROUP BY event_id",
+        "failover_cursors": "SELECT relay, CASE relay WHEN 1 THEN 1099511627776 ELSE greatest(max(event_id + 1), CASE relay WHEN 0 THEN 300 ELSE 0 END) END AS since FROM events, (SELECT unnest([0, 1, 2]) AS relay) WHERE (event_id + 1 + relay) % 4 <> 0 GROUP BY relay",
+        "failover_backfill": "SELECT event_id + 1 AS seq, 'e' || event_id AS id FROM events WHERE event_id + 1 <= 700 AND (event_id + 2) % 4 = 0",
+        "replay_dispositions": """SELECT event_id AS seq, 'e' || (event_id - event_id % 3) AS id, CASE WHEN event_type = 'error' THEN 'poison' WHEN row_number() OVER (PARTITION BY event_type = 'error', event_id - event_id % 3 ORDER BY event_id) = 1 THEN 'applied' ELSE 'duplicate' END AS disposition FROM events""",
         "authorize_tokens": """WITH a AS (SELECT event_id, user_id % 8 AS d, CASE WHEN event_id % 2 = 0 THEN 'relay:push' ELSE 'relay:pull' END AS scope FROM events)
             SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'missing capability token' WHEN d = 0 THEN 'device revoked: d0' WHEN d = 2 THEN 'token revoked: t2' WHEN d = 1 THEN 'unknown device: d1'
                 WHEN (d = 3 AND event_id > 500) OR (d = 4 AND event_id % 2 = 1) OR d = 5 OR (d = 6 AND event_id < 1000) THEN 'capability rejected for ' || scope END AS refused FROM a""",

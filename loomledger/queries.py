@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomledger.functions import ed25519
 from loomledger.operators import auth, blobs, chain, retention, revoke, sync, tombstone
 from loomledger.operators.fold import Fold, rebuilt_tally
-from loomledger.operators.validate import typed
+from loomledger.operators.validate import accepted, typed
 from loomledger.plans.event_view import ledger, table
 from loomledger.session import Ledger
 from loomledger.sources.scratch import written
@@ -276,6 +276,37 @@ def device_registry(spark, d):
     return rows.groupBy(word.alias("verdict")).agg(F.count("*").alias("n"))
 
 
+def _replicas(spark, d):
+    """Three relays, each without a quarter of the events, in their own order."""
+    e = ledger(spark, d).select("id", "seq", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("relay"))
+    return e.filter((F.col("seq") + F.col("relay")) % 4 != 0).withColumn("pos", F.col("seq"))
+
+
+@_query
+def failover_pull(spark, d):
+    cursors = spark.createDataFrame([(0, 300), (1, 50)], "relay int, since long")
+    return sync.pulled_from_all(_replicas(spark, d), cursors)[0].select("id", "relay", "pos")
+
+
+@_query
+def failover_cursors(spark, d):
+    cursors = spark.createDataFrame([(0, 300), (1, 1 << 40)], "relay int, since long")
+    return sync.pulled_from_all(_replicas(spark, d), cursors)[1]
+
+
+@_query
+def failover_backfill(spark, d):
+    return sync.backfill(_log(spark, d), _replicas(spark, d).filter("relay = 1"), 700).select("seq", "id")
+
+
+@_query
+def replay_dispositions(spark, d):
+    """Runs of three events share an id; errors are unfit."""
+    e = table(spark, d, "events")
+    rows = e.select(F.col("event_id").alias("seq"), F.concat(F.lit("e"), (F.col("event_id") - F.col("event_id") % 3).cast("string")).alias("id"), F.when(F.col("event_type") == "error", "unfit").alias("poison_reason"))
+    return accepted(rows).select("seq", "id", "disposition")
+
+
 # authorization: every event asks, with its device's token or its user group's grant, at the time of its id
 
 

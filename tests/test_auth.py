@@ -1,11 +1,14 @@
-"""Signatures against published vectors, the event gate, countersignatures, generators and device identity."""
+"""Arrivals, signatures against published vectors, the event gate, countersignatures, generators and device identity."""
+
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from loomledger.functions import ed25519
 from loomledger.functions.canonical import hash_of
-from loomledger.operators import auth, identity
+from loomledger.operators import auth, identity, sync
+from loomledger.operators.validate import accepted
 from loomledger.sources import generate
 
 #: Seed, public key, message and signature of RFC 8032, section 7.1, tests 1 to 3.
@@ -105,3 +108,24 @@ def test_device_identity():
     with pytest.raises(identity.DeviceMismatch):
         identity.adopt(meta, "till-2")
     assert identity.cursor(meta, "ack.seq") == 0
+
+
+def test_arrivals_against_reading_one_by_one(spark):
+    r = random.Random(5)
+    rows = [(r.randrange(25), f"e{r.randrange(25)}", "unfit" if r.random() < 0.1 else None) for _ in range(90)] + [(None, "e1", "event without seq")]
+    ids, seqs, want = set(), set(), []
+    for seq, key, bad in sorted((x for x in rows if not x[2]), key=lambda x: x[:2]):
+        word = "duplicate" if key in ids else "collision" if seq in seqs else "applied"
+        if word == "applied":
+            ids.add(key)
+            seqs.add(seq)
+        want.append((seq, key, word))
+    want += [(seq, key, "poison") for seq, key, bad in rows if bad]
+    df = spark.createDataFrame(rows, "seq long, id string, poison_reason string")
+    assert sorted(map(str, [(x.seq, x.id, x.disposition) for x in accepted(df).collect()])) == sorted(map(str, want))
+    assert accepted(df.limit(0)).count() == 0
+
+
+def test_relays():
+    assert sync.relay_order([0, 90, 0, 40], 50) == [0, 2, 3, 1]
+    assert sync.outbox_full(50_000, 0) and not sync.outbox_full(50_000, 1)
