@@ -22,7 +22,7 @@ TOKEN = "struct<id:string,deviceId:string,scopes:array<string>,issuedAt:bigint,e
 GRANT = "struct<id:string,deviceId:string,scopes:array<string>,issuedBy:string,issuedAt:bigint,expiresAt:bigint,signature:string>"
 
 
-def _listed(rows: DataFrame, keys: DataFrame, on: Column, name: str, *more: str) -> DataFrame:
+def listed(rows: DataFrame, keys: DataFrame, on: Column, name: str, *more: str) -> DataFrame:
     """rows plus `name` (on is among keys' first column) and keys' columns `more`; every row once."""
     key = keys.columns[0]
     keys = keys.filter(F.col(key).isNotNull()).dropDuplicates([key]).select(F.col(key).alias(f"_{name}"), *more)
@@ -62,9 +62,9 @@ def authorized(requests: DataFrame, registry: DataFrame, devices_gone: DataFrame
     A token may be used before issuedAt (not before notBefore), and up to expiresAt.
     """
     t = F.col("token")
-    rows = _listed(requests, registry.select("device_id", F.col("pem").alias("_pem")), t["deviceId"], "_known", "_pem")
-    rows = _listed(rows, devices_gone, t["deviceId"], "_device_gone")
-    rows = _listed(rows, tokens_gone, t["id"], "_token_gone")
+    rows = listed(requests, registry.select("device_id", F.col("pem").alias("_pem")), t["deviceId"], "_known", "_pem")
+    rows = listed(rows, devices_gone, t["deviceId"], "_device_gone")
+    rows = listed(rows, tokens_gone, t["id"], "_token_gone")
     fit = _true((t["id"] != "") & (t["expiresAt"] > t["issuedAt"]) & (F.col("now") <= t["expiresAt"]))
     fit &= F.coalesce(F.col("now") >= t["notBefore"], F.lit(True)) & _true(F.array_contains(t["scopes"], F.col("scope")))
     ask = fit & F.col("_known") & ~F.col("_device_gone") & ~F.col("_token_gone")
@@ -82,7 +82,7 @@ def authorized(requests: DataFrame, registry: DataFrame, devices_gone: DataFrame
 def granted(requests: DataFrame, authority_pem: str, grants_gone: DataFrame) -> DataFrame:
     """requests (grant, scope, now in ms) plus `refused`. A grant holds from issuedAt to expiresAt, both included."""
     g = F.col("grant")
-    rows = _listed(requests, grants_gone, g["id"], "_gone")
+    rows = listed(requests, grants_gone, g["id"], "_gone")
     fit = _true((g["expiresAt"] > g["issuedAt"]) & F.col("now").between(g["issuedAt"], g["expiresAt"]) & F.array_contains(g["scopes"], F.col("scope"))) & ~F.col("_gone")
     rows = rows.withColumn("_signed", holds(F.lit(authority_pem), grant_text(g), g["signature"], fit))
     reason = F.when(g.isNull(), "missing scope grant").when(~F.col("_signed"), F.concat(F.lit("grant rejected for "), F.col("scope")))
@@ -99,7 +99,7 @@ def countersigned(events: DataFrame, registry: DataFrame, threshold: int) -> Dat
     if isinstance(threshold, bool) or not isinstance(threshold, int) or not 1 <= threshold <= size:
         raise ValueError(f"threshold {threshold} out of range 1..{size}")
     votes = events.select("id", "hash", (event_hash() == F.col("hash")).alias("_whole"), F.explode("countersignatures").alias("c"))
-    votes = _listed(votes, registry.select("device_id", F.col("pem").alias("_pem")), F.col("c.deviceId"), "_known", "_pem")
+    votes = listed(votes, registry.select("device_id", F.col("pem").alias("_pem")), F.col("c.deviceId"), "_known", "_pem")
     votes = votes.withColumn("_ok", holds(F.col("_pem"), F.col("hash"), F.col("c.signatureHex"), F.col("_known") & _true(F.col("_whole"))))
     tallied = votes.filter("_ok").select("id", "c.deviceId").distinct().groupBy("id").agg(F.count("*").alias("valid"))
     rows = events.select("id").join(tallied, "id", "left").select("id", F.coalesce("valid", F.lit(0)).alias("valid"))
@@ -113,7 +113,7 @@ def authentic(events: DataFrame, registry: DataFrame | None, limit: float | None
     """
     if registry is None:
         return events.withColumn("authentic", F.lit(True))
-    rows = _listed(events, registry.select("device_id", F.col("pem").alias("_pem")), F.col("device_id"), "_known", "_pem")
+    rows = listed(events, registry.select("device_id", F.col("pem").alias("_pem")), F.col("device_id"), "_known", "_pem")
     ask = F.col("_known") & _true(event_hash() == F.col("hash")) & _true(F.col("signature") != "")
     rows = rows.withColumn("authentic", holds(F.col("_pem"), F.col("hash"), F.col("signature"), ask))
     if limit is None:

@@ -1,16 +1,55 @@
-"""Revocation logs: convergent merge, winners per token, and who is revoked."""
+"""Revocation logs: authentic events, convergent merge, winners per token, and who is revoked."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomledger.functions import ed25519
+from loomledger.functions.canonical import quoted
+from loomledger.operators.auth import listed
 from loomledger.sources.scratch import written
 
 ROOT = "REVOKE-GENESIS"
+VERSION = 1
+#: One signed event as it is exchanged; the hash covers the fields before it, in this order.
+SIGNED = "v int, tokenId string, deviceId string, epoch long, admin string, issuedAt long, prev string, hash string, sig string, id string"
 _COLUMNS = ["hash", "prev", "token_id", "device_id", "epoch"]
 
 
+def signed(private_pem: str, admin: str, token_id: str, device_id: str, epoch: int, issued_at: int, prev: str = ROOT) -> dict:
+    """One event of an admin, signed."""
+    if not (token_id and device_id and admin and prev) or epoch < 0:
+        raise ValueError("a revocation needs a token, a device, an admin, a prev and an epoch from 0")
+    core = {"v": VERSION, "tokenId": token_id, "deviceId": device_id, "epoch": epoch, "admin": admin, "issuedAt": issued_at, "prev": prev}
+    digest = hashlib.sha256(json.dumps(core, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+    return core | {"hash": digest, "sig": ed25519.sign(private_pem, digest), "id": digest}
+
+
+def verified(events: DataFrame, admins: DataFrame) -> DataFrame:
+    """events (SIGNED) plus `rejected`, the first reason or null; admins: admin, pem."""
+    c, text = F.col, {"tokenId", "deviceId", "admin", "prev"}
+    core = [n.split()[0] for n in SIGNED.split(", ")[:7]]
+    parts = [F.concat(F.lit(f'"{n}":'), quoted(c(n)) if n in text else c(n).cast("string")) for n in core]
+    rows = listed(events, admins.select(c("admin").alias("_admin"), c("pem").alias("_pem")), c("admin"), "_known", "_pem")
+    empty = lambda n: F.coalesce(c(n) == "", F.lit(True))
+    cheap = (
+        F.when(~c("v").eqNullSafe(F.lit(VERSION)), F.concat(F.lit("unsupported v "), F.coalesce(c("v").cast("string"), F.lit("null"))))
+        .when(empty("tokenId"), "empty tokenId").when(empty("deviceId"), "empty deviceId").when(empty("admin"), "empty admin")
+        .when(F.coalesce(c("epoch") < 0, F.lit(True)), F.concat(F.lit("bad epoch "), F.coalesce(c("epoch").cast("string"), F.lit("null"))))
+        .when(c("issuedAt").isNull(), "bad issuedAt").when(empty("prev"), "empty prev")
+        .when(~c("id").eqNullSafe(c("hash")), "id/hash split")
+        .when(~c("hash").eqNullSafe(F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)), "hash mismatch (tampered payload?)")
+        .when(~c("_known"), F.concat(F.lit("unknown admin "), c("admin")))
+    )
+    rows = rows.withColumn("_cheap", cheap)
+    rows = rows.withColumn("_signed", ed25519.holds(c("_pem"), c("hash"), c("sig"), c("_cheap").isNull()))
+    return rows.select(*events.columns, F.when(c("_cheap").isNotNull(), c("_cheap")).when(~c("_signed"), "bad admin signature").alias("rejected"))
+
+
 def merged(known: DataFrame, remote: DataFrame, name: str = "revokes") -> tuple[DataFrame, dict[str, int]]:
     """known plus what of remote hangs, through any number of prevs, on it or on the root; and {added, skipped, rejected}.
 

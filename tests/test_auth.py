@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomledger.functions import ed25519
 from loomledger.functions.canonical import hash_of
-from loomledger.operators import auth, identity, sync
+from loomledger.operators import auth, identity, revoke, sync
 from loomledger.operators.validate import accepted
 from loomledger.sources import generate
 
@@ -129,3 +129,18 @@ def test_arrivals_against_reading_one_by_one(spark):
 def test_relays():
     assert sync.relay_order([0, 90, 0, 40], 50) == [0, 2, 3, 1]
     assert sync.outbox_full(50_000, 0) and not sync.outbox_full(50_000, 1)
+
+
+def test_signed_revocations(spark):
+    pem, private = KEYS[0]
+    good = revoke.signed(private, "ann", "t1", "d1", 2, 77)
+    rows = {
+        "good": (good, None), "edit": (good | {"epoch": 3}, "hash mismatch (tampered payload?)"), "split": (good | {"id": "x"}, "id/hash split"), "version": (good | {"v": 2}, "unsupported v 2"),
+        "admin": (revoke.signed(private, "bob", "t1", "d1", 2, 77), "unknown admin bob"), "key": (revoke.signed(KEYS[1][1], "ann", "t1", "d1", 2, 77), "bad admin signature"),
+        "sig": (good | {"sig": None}, "bad admin signature"), "token": (good | {"tokenId": ""}, "empty tokenId"), "epoch": (good | {"epoch": -1}, "bad epoch -1"), "time": (good | {"issuedAt": None}, "bad issuedAt"),
+    }
+    events = spark.createDataFrame([e | {"name": k} for k, (e, _) in rows.items()], revoke.SIGNED + ", name string")
+    admins = spark.createDataFrame([("ann", pem)], "admin string, pem string")
+    assert {r.name: r.rejected for r in revoke.verified(events, admins).collect()} == {k: why for k, (_, why) in rows.items()}
+    with pytest.raises(ValueError):
+        revoke.signed(private, "ann", "", "d1", 0, 1)
