@@ -2,10 +2,12 @@
 
 Several sequence lengths are permitted. Documents, cut where they exceed the
 largest, are taken longest first; each goes to the open bin it fills best. When
-none has room, a new bin opens at the size whose cost per expected token is
-least: a size's cost is its tokens plus their attention, and what it is expected
-to hold is bounded by what is still to come. At the end each bin shrinks to the
-smallest permitted length that holds its contents.
+none has room, a new bin opens at the size whose cost per token is least: a
+size's cost is its tokens plus their attention, and what it would hold comes from
+a trial fill, longest first, from the shard's pieces still to come that no bin
+opened before counts on. The trial's bin is priced at the smallest permitted
+length that holds it; should pieces go elsewhere after all, where they fit
+better, the bin shrinks likewise at the end (not seen to happen in random tables).
 
 Bins are filled within shards of about SHARD pieces, dealt by a hash of id and
 piece, so that no task or group grows with the input; the number of shards
@@ -21,6 +23,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -40,9 +43,49 @@ def cost(capacity: int) -> float:
     return capacity * (1 + capacity / ATTENTION)
 
 
-def size_to_open(length: int, left: int, capacities: tuple[int, ...]) -> int:
-    """The size of least cost per token that it may come to hold, with `left` tokens to come, this piece included."""
-    return min((c for c in capacities if c >= length), key=lambda c: (cost(c) / min(c, max(length, left)), c))
+class _Free:
+    """Lengths still to come that no open bin counts on; counts only fall, so that emptied lengths are skipped by links."""
+
+    def __init__(self, lengths: list[int]) -> None:
+        self.count = [0] * (max(lengths, default=0) + 1)
+        for n in lengths:
+            self.count[n] += 1
+        self._down = list(range(len(self.count)))
+
+    def longest(self, most: int) -> int:
+        """The longest such length up to `most`, or 0."""
+        at = most = max(0, min(most, len(self.count) - 1))
+        while at and not self.count[at]:
+            at = self._down[at] if self._down[at] < at else at - 1
+        while most > at:  # shorten the links that were followed
+            most, self._down[most] = self._down[most] if self._down[most] < most else most - 1, at
+        return at
+
+    def drop(self, length: int, n: int = 1) -> None:
+        self.count[length] -= n
+
+
+def trial(length: int, capacity: int, free: _Free | None) -> tuple[int, list[tuple[int, int]]]:
+    """What a bin of this capacity would hold: its tokens, and the (length, count) that join the first piece, longest first."""
+    held, taken, at = length, [], capacity
+    while free and (at := free.longest(min(at, capacity - held))):
+        n = min(free.count[at], (capacity - held) // at)
+        taken.append((at, n))
+        held += at * n
+        at -= 1
+    return held, taken
+
+
+def size_to_open(length: int, left: int, capacities: tuple[int, ...], free: _Free | None = None) -> int:
+    """The size whose bin, shrunk to what a trial fill puts there, costs least per token; `left` tokens are to come, this piece included."""
+    fits = [c for c in capacities if c >= length]
+    enough = min((c for c in fits if c >= left), default=max(fits))  # nothing is left for a size beyond it
+
+    def price(capacity: int) -> float:
+        held, _ = trial(length, capacity, free)
+        return cost(min(c for c in fits if c >= held)) / held
+
+    return min((c for c in fits if c <= enough), key=lambda c: (price(c), c))
 
 
 def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[list[tuple[int, int]], list[int]]:
@@ -50,12 +93,18 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[
     rooms: list[tuple[int, int]] = []  # (room left, bin), in order
     placed, opened, used = [], [], []
     left = sum(lengths)
+    free, to_come = _Free(lengths), Counter(lengths)
     for n in lengths:
+        to_come[n] -= 1
+        if free.count[n] > to_come[n]:
+            free.drop(n)
         at = bisect_left(rooms, (n, -1))
         if at < len(rooms):
             room, b = rooms.pop(at)
         else:
-            room, b = size_to_open(n, left, capacities), len(opened)
+            room, b = size_to_open(n, left, capacities, free), len(opened)
+            for length, count in trial(n, room, free)[1]:
+                free.drop(length, count)
             opened.append(room)
             used.append(0)
         placed.append((b, used[b]))

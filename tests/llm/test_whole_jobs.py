@@ -1,0 +1,21 @@
+"""Cases in which an operator once did less than its whole job."""
+
+from loomledger.llm import packing
+
+
+def test_packing_opens_larger_bins_to_be_shared():
+    _, capacities = packing.pack([300] * 10)
+    # three texts in 1024 cost 1.28 a token, one in 512 costs 1.81
+    assert capacities == [1024, 1024, 1024, 512]
+    paid = sum(map(packing.cost, packing.pack([300] * 10_000)[1]))
+    assert paid < 0.75 * 10_000 * packing.cost(512)
+
+
+def test_packing_does_not_count_on_pieces_twice():
+    # both 600 would share with the 400; the first bin counts on it, so the second opens at its own size
+    _, capacities = packing.pack([2000, 600, 600, 400])
+    assert capacities == [2048, 1024, 1024]
+    free = packing._Free([300, 300, 200])
+    assert packing.trial(300, 1024, free) == (900, [(300, 2)])
+    free.drop(300, 2)
+    assert packing.trial(300, 1024, free) == (500, [(200, 1)])
