@@ -1,7 +1,7 @@
 """Secret scans: patterns propose candidates, a random forest removes false findings.
 
-Candidates are tokens that follow a known shape or stand after a credential
-word. The forest sees each candidate's length, character classes and
+Candidates are private-key blocks, passwords in addresses, tokens that follow a
+known shape, and values given to a name that contains a credential word. The forest sees each candidate's length, character classes and
 transitions, the share of it that dictionary words cover, and what stands
 beside it (credential words, checksum words, paths). It is trained here, from labelled findings
 that a seeded generator writes in the common shapes of secrets and of what
@@ -17,6 +17,7 @@ ignored; texts of any length are scanned whole.
 from __future__ import annotations
 
 import random
+import re
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -43,11 +44,19 @@ SHAPES = [
     r"sk_live_[0-9A-Za-z]{16,}",
     r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
 ]
-_HEAD = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?"
+#: A private-key block; if it is cut off, its long lines.
+_KEY_NAME = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+KEY_BLOCK = rf"-----BEGIN {_KEY_NAME}(?:(?:[^-]|-(?!----))*+-----END {_KEY_NAME}|(?:\s+[A-Za-z0-9+/]{{32,}}={{0,2}})++)"
+#: A credential word, written with '_', '-', a blank or nothing between its parts.
+_CREDENTIAL = "|".join(dict.fromkeys(re.sub("[_-]", "[ _-]?", w) for w in CREDENTIAL_WORDS))
+#: What stands before a value: a name that contains a credential word, a mark of assignment and perhaps an authentication scheme.
+_HEAD = rf"(?i:[a-z0-9+/_-]*(?:{_CREDENTIAL})[a-z0-9_-]*[\"']?\]?\s*(?:=>|:=|[=:])\s*[\"']?(?:(?:bearer|basic|token)\s+)?)"
+#: What stands before the password of an address.
+_ADDRESS = r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"']*:"
 _EDGE = r"(?<![A-Za-z0-9+/_-])"
-#: Everything proposed: a value given to a credential name, or a token of a known shape; the plain shape needs a digit.
-PROPOSE = rf"{_EDGE}(?:{_HEAD}[^\s\"']{{6,}}|{'|'.join(SHAPES)}|(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{16,}})"
-FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "distinct", "hex", "numeric", "uuid", "known", "dictionary", "slashes", "credential", "checksum", "assigned", "path"]
+#: Everything proposed: a key block, an address's password, a value given to a credential name, or a token of a known shape; the plain shape needs a digit.
+PROPOSE = rf"{_EDGE}(?:{KEY_BLOCK}|{_ADDRESS}[^\s/@\"']+(?=@)|{_HEAD}[^\s\"']{{6,}}|{'|'.join(SHAPES)}|(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{16,}})"
+FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "distinct", "hex", "numeric", "uuid", "known", "dictionary", "slashes", "credential", "checksum", "assigned", "path", "address", "letters"]
 
 
 def _share(text: Column, drop: str) -> Column:
@@ -73,13 +82,15 @@ def features(candidate: Column, before: Column) -> Column:
         yes(candidate.rlike(r"^[0-9a-fA-F]+$")),
         yes(candidate.rlike(r"^[0-9 -]+$")),
         yes(candidate.rlike(r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$")),
-        yes(candidate.rlike(rf"^(?:{'|'.join(SHAPES)})$")),
+        yes(candidate.rlike(rf"^(?:{KEY_BLOCK}|{'|'.join(SHAPES)})$")),
         1 - _share(F.lower(candidate), "|".join(sorted(DICTIONARY, key=len, reverse=True))),
         F.length(F.regexp_replace(candidate, "[^/.]+", "")),
-        yes(low.rlike("|".join(CREDENTIAL_WORDS))),
+        yes(low.rlike(_CREDENTIAL)),
         yes(low.rlike("|".join(CHECKSUM_WORDS))),
-        yes(before.rlike(r"[=:]\s*[\"']?$")),
+        yes(before.rlike(r"[=:]>?\s*[\"']?(?i:(?:bearer|basic|token)\s+)?$")),
         yes(before.rlike(r"[/.@]$")),
+        yes(before.rlike(rf"{_ADDRESS}$")),
+        yes(candidate.rlike(r"^[A-Z]?[a-z]+[.,;:!?)]*$|^[A-Z]+[.,;:!?)]*$")),
     ]
     return F.struct(*[v.cast("double").alias(name) for name, v in zip(FEATURES, values, strict=True)])
 
@@ -90,11 +101,19 @@ def labelled(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, int]]:
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     draw = lambda chars, k: "".join(r.choices(chars, k=k))
     prose = lambda: " ".join(draw("abcdefghinorstuw", r.randint(2, 8)) for _ in range(5)) + " "
-    assign = lambda word: prose() + word + r.choice(["=", " = ", ": ", '="', " = \"", ":"])
+    assign = lambda word: prose() + name(word) + r.choice(["=", " = ", ": ", '="', " = \"", ":", '": "', "': '", " => ", " := "])
+    name = lambda word: r.choice(["", "", "", "db_", "client_", "MY-"]) + r.choice([word, word, word.upper()]) + r.choice(["", "", "", "_1", "_value"])
+    address = lambda: prose() + r.choice(["postgres", "https", "redis", "amqp", "mongodb+srv", "ftp"]) + "://" + r.choice(["", draw("abcdefghinorstuw", 5), r.choice(DICTIONARY)]) + ":"
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    mixed = lambda chars, k: "".join(r.sample(draw(chars, k - 2) + r.choice("0123456789") + r.choice("!@#$%^&*?~"), k))
     kinds = [
         lambda: (draw(hexa, r.randint(12, 40)), assign(r.choice(CREDENTIAL_WORDS)), 1),
         lambda: (draw(alnum, r.randint(12, 48)), assign(r.choice(CREDENTIAL_WORDS)), 1),
         lambda: (draw(alnum, r.randint(8, 14)) + r.choice("!@#$%"), assign(r.choice(["password", "passwd", "pwd"])), 1),
+        lambda: (draw(lower, r.randint(4, 10)) + draw("0123456789", r.randint(1, 4)) + draw(lower, r.randint(0, 4)) + r.choice(["", "", "!", "#"]), assign(r.choice(CREDENTIAL_WORDS)), 1),
+        lambda: (mixed(r.choice([alnum, lower]), r.randint(8, 16)), assign(r.choice(CREDENTIAL_WORDS)), 1),
+        lambda: (r.choice([mixed(alnum, r.randint(8, 16)), draw(alnum, r.randint(6, 24)), draw(lower, r.randint(4, 10)) + draw("0123456789", r.randint(1, 4)), draw(lower, r.randint(4, 14))]), address(), 1),
+        lambda: (f"-----BEGIN {(k := r.choice(['', 'RSA ', 'EC ', 'OPENSSH ']))}PRIVATE KEY-----\n" + "\n".join(draw(alnum + "+/", 64) for _ in range(r.randint(1, 26))) + f"\n-----END {k}PRIVATE KEY-----", prose(), 1),
         lambda: ("AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), prose(), 1),
         lambda: ("gh" + r.choice("pousr") + "_" + draw(alnum, 36), prose(), 1),
         lambda: ("sk_live_" + draw(alnum, r.randint(20, 32)), prose(), 1),
@@ -106,6 +125,10 @@ def labelled(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, int]]:
         lambda: (r.choice("-_").join(r.choices(DICTIONARY, k=r.randint(3, 5))) + draw("0123456789", r.randint(1, 3)), prose(), 0),
         lambda: ("/".join([*r.choices(DICTIONARY, k=r.randint(3, 5)), "v" + draw("0123456789", 1)]), prose() + r.choice(["/", "./", ""]), 0),
         lambda: (r.choice(["your", "my", "example", "changeme", "dummy"]) + r.choice("-_") + r.choice(DICTIONARY) + r.choice(["", "1", "123"]), assign(r.choice(CREDENTIAL_WORDS)), 0),
+        lambda: (r.choice([draw(lower, r.randint(6, 12)), draw(lower, r.randint(6, 12)).capitalize(), draw(lower, r.randint(6, 12)).upper()]) + r.choice(["", "", ",", "."]), assign(r.choice([*CREDENTIAL_WORDS, "author", "authority", "secretary", "tokens"])), 0),
+        lambda: (r.choice([*DICTIONARY, "changeme", "xxxxxx", "******"]), address(), 0),
+        lambda: ("<" + r.choice(["", "your-"]) + r.choice(DICTIONARY) + ">", assign(r.choice(CREDENTIAL_WORDS)), 0),
+        lambda: (r.choice(["${", "{{", "$("]) + "_".join(r.choices(DICTIONARY, k=2)).upper() + "}", assign(r.choice(CREDENTIAL_WORDS)), 0),
         lambda: (r.choice(["x", "*", "0"]) * r.randint(8, 24), assign(r.choice(CREDENTIAL_WORDS)), 0),
         lambda: (draw("abcdefghinorstuw", r.randint(16, 22)) + draw("0123456789", r.randint(1, 2)), prose(), 0),
     ]
@@ -155,7 +178,7 @@ def _scored(docs: DataFrame, trees: list) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     has = F.coalesce(F.col("text").rlike(PROPOSE), F.lit(False))
     rows = docs.withColumn("_match", F.when(has, F.regexp_extract_all(text, F.lit(f"({PROPOSE})"), F.lit(1)))).withColumn("_between", F.when(has, F.split(text, PROPOSE)))
-    head = lambda m: F.regexp_extract(m, f"^({_HEAD})", 1)
+    head = lambda m: F.regexp_extract(m, f"^({_ADDRESS}|{_HEAD})", 1)
     parts = F.transform("_match", lambda m, i: F.struct(F.substring(m, F.length(head(m)) + 1, F.length(m)).alias("candidate"), head(m).alias("head"), F.concat(F.right(F.get("_between", i), F.lit(BEFORE)), head(m)).alias("before")))
     rows = rows.withColumn("_parts", parts)
     rows = rows.withColumn("_parts", F.transform("_parts", lambda p: F.struct(p["candidate"].alias("candidate"), p["head"].alias("head"), features(p["candidate"], p["before"]).alias("f"))))
