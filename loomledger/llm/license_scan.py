@@ -1,10 +1,12 @@
 """License scans by a positional index of rare licence words.
 
-Templates are indexed as postings (word, template, place). Each file's licence
-words of highest inverse document frequency are looked up there; postings whose
-file place minus template place agree vote for one alignment; an alignment
-with enough votes is compared word for word, and counts only if the template's
-mandatory key phrase stands in it.
+Templates are indexed as postings (word, template, place), of each template the
+places whose words have the highest inverse document frequency. Every place of
+such a word in a file is looked up there; postings whose file place minus
+template place agree vote for one alignment; an alignment with enough votes is
+compared word for word, and counts only if the template's mandatory key phrase
+stands in it. A template has so many posted places that an alignment which
+covers enough of it cannot miss more than would leave it the votes it needs.
 
 All steps are built-in DataFrame functions. Document frequencies cover every
 document. Texts that hold no key phrase's first word, in any case, cannot match
@@ -42,8 +44,7 @@ TEMPLATES = [
     ("cc-by-sa-4.0", "cc by sa 4 0", "licensed under cc by sa 4 0"),
     ("cc-by-nc-4.0", "cc by nc 4 0", "licensed under cc by nc 4 0"),
 ]
-#: Rarest licence words that each file looks up, votes an alignment needs, and share of a template's words it must then hold.
-RAREST = 16
+#: Votes an alignment needs, and share of a template's words it must then hold.
 MIN_VOTES = 2
 MIN_COVER = 0.8
 
@@ -79,6 +80,17 @@ def _tokens(docs: DataFrame) -> DataFrame:
     )
 
 
+def posted(idf: dict[str, float]) -> list[tuple[str, int, int]]:
+    """(word, template, place): of each template the rarest words, as many as it may miss and MIN_VOTES more."""
+    out = []
+    for t, (_, _, text) in enumerate(TEMPLATES):
+        words = text.split()
+        missed = max(m for m in range(len(words) + 1) if (len(words) - m) / len(words) >= MIN_COVER)
+        rarest = sorted(range(len(words)), key=lambda i: (-idf.get(words[i], float("inf")), i))
+        out += [(words[i], t, i) for i in rarest[: missed + MIN_VOTES]]
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
     """Per row of docs: n_words, base phrase places, labels of both kinds, and the best template's cover as score."""
     spark = docs.sparkSession
@@ -87,15 +99,11 @@ def scan(docs: DataFrame) -> DataFrame:
     # document frequencies: at most one row per word of the fixed vocabulary
     df = tokens.select(F.explode("licence_words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
     total = tokens.count()
-    idf = df.select("word", F.log(F.lit(float(total + 1)) / F.col("df")).alias("idf"))
+    idf = {r["word"]: r["idf"] for r in df.select("word", F.log(F.lit(float(total + 1)) / F.col("df")).alias("idf")).collect()}
+    postings = spark.createDataFrame(posted(idf), "word string, template int, at int")
 
     files = tokens.filter(F.col("words").isNotNull())
-    places = files.select("doc_id", "row", F.posexplode("words").alias("place", "word")).filter(F.col("word").isin(_VOCABULARY))
-    by_word = places.groupBy("row", "word").agg(F.collect_list("place").alias("places")).join(F.broadcast(idf), "word", "left")
-    rarest = by_word.groupBy("row").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("idf", F.lit(float("inf"))).alias("idf"), "word", "places")), asc=False), 1, RAREST).alias("rare"))
-    lookups = rarest.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.explode("r.places").alias("place"))
-
-    postings = spark.createDataFrame([(w, t, i) for t, (_, _, text) in enumerate(TEMPLATES) for i, w in enumerate(text.split())], "word string, template int, at int")
+    lookups = files.select("row", F.posexplode("words").alias("place", "word"))
     votes = lookups.join(F.broadcast(postings), "word").groupBy("row", "template", (F.col("place") - F.col("at")).alias("start")).agg(F.count("*").alias("votes"))
     aligned = votes.filter(F.col("votes") >= MIN_VOTES).join(
         F.broadcast(spark.createDataFrame([(t, label, key.split(), text.split()) for t, (label, key, text) in enumerate(TEMPLATES)], "template int, label string, key array<string>, notice array<string>")), "template"

@@ -1,6 +1,6 @@
 """Cases in which an operator once did less than its whole job."""
 
-from loomledger.llm import packing, secrets
+from loomledger.llm import license_scan, packing, secrets
 from tests.llm.test_llm_operators import docs
 
 
@@ -39,3 +39,20 @@ def test_planted_secrets_of_every_form_are_redacted(spark):
     assert [out[i] for i in range(len(texts))] == [a + "[SECRET]" + b for a, _, b in PLANTED] + CLEAN
     spans = {(r.doc_id, r.start, r.end) for r in secrets.scan(docs(spark, texts)).filter("is_secret").collect()}
     assert spans == {(i, len(a), len(a) + len(s)) for i, (a, s, _) in enumerate(PLANTED)}
+
+
+def test_every_notice_of_a_file_is_found(spark):
+    notices = [text for _, _, text in license_scan.TEMPLATES]
+    filler = " every file of the source and the software holds words beside that notice "
+    texts = [filler.join(notices), filler.join(reversed(notices))] + [filler + n + filler for n in notices] * 2
+    # a notice with as many words changed as it may miss, none of them in its key phrase
+    for _, key, text in license_scan.TEMPLATES:
+        words, at = text.split(), len(text[: text.index(key)].split())
+        loose = [i for i in range(len(words)) if not at <= i < at + len(key.split())]
+        changed = set(loose[-max(m for m in range(len(loose) + 1) if (len(words) - m) / len(words) >= license_scan.MIN_COVER) or len(words) :])
+        texts.append(filler + " ".join("zz" if i in changed else w for i, w in enumerate(words)) + filler)
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.scan(docs(spark, texts)).collect()}
+    labels = [label for label, _, _ in license_scan.TEMPLATES]
+    assert got[0] >= set(labels) and got[1] >= set(labels)
+    for i, label in enumerate(labels * 3, 2):
+        assert label in got[i]
