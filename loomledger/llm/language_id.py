@@ -6,8 +6,10 @@ language, and a document's probabilities are the mean over all its bytes. The
 network is trained here in numpy by backpropagation through time, with the
 language of the document as every position's label.
 
-Learning uses at most SAMPLE documents per language, the first by a hash of the
-id, that are not held out, and the LANGUAGES most frequent languages. Prediction
+Learning uses every language that has a text that is not held out and not empty,
+and of each at most SAMPLE documents, the first by a hash of the id; many
+languages share ROWS documents, at least FEWEST each. The states grow with the
+languages. Windows that a text's end leaves partial are learned with a mask. Prediction
 reads every byte of every text; windows, not texts, are the unit of work, so
 that very long texts need no more memory.
 
@@ -23,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import held_out
@@ -31,7 +33,9 @@ from ._common import held_out
 WINDOW = 64
 HIDDEN = 8
 SAMPLE = 400
-LANGUAGES = 64
+#: Documents that all languages share, and the least that each has.
+ROWS = 28_000
+FEWEST = 16
 STEPS = 220
 BATCH = 256
 RATE = 0.02
@@ -56,9 +60,14 @@ def windows_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return flat.T, valid, owner
 
 
+def hidden_for(n_languages: int) -> int:
+    """States of a layer: HIDDEN up to 8 languages, then one more for every 2, at most 64."""
+    return int(min(64, max(HIDDEN, HIDDEN + (n_languages - 8) // 2)))
+
+
 def new_model(n_languages: int) -> Model:
     r = np.random.default_rng(SEED)
-    h = HIDDEN
+    h = hidden_for(n_languages)
     draw = lambda *shape, scale: (r.normal(size=shape) * scale).astype(np.float32)
     return {
         "wf": draw(3 * h, 256, scale=0.5), "uf": draw(3 * h, h, scale=h**-0.5), "wb": draw(3 * h, 256, scale=0.5), "ub": draw(3 * h, h, scale=h**-0.5),
@@ -76,7 +85,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def _step(w: np.ndarray, u: np.ndarray, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
     """One step of a gated recurrent unit for bytes x and states h: the new state and what backpropagation needs."""
-    k = HIDDEN
+    k = u.shape[1]
     g, a = np.take(w, x, axis=1), u @ h
     zr = _sigmoid(g[: 2 * k] + a[: 2 * k])
     z, r = zr[:k], zr[k:]
@@ -92,13 +101,14 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def position_sums(model: Model, x: np.ndarray, valid: np.ndarray) -> np.ndarray:
     """(language, window): the sum of each window's position probabilities."""
     t_all, b = x.shape
-    state = np.zeros((HIDDEN, b), np.float32)
-    ahead = np.empty((t_all, HIDDEN, b), np.float32)
+    size = model["uf"].shape[1]
+    state = np.zeros((size, b), np.float32)
+    ahead = np.empty((t_all, size, b), np.float32)
     for t in range(t_all):
         state = ahead[t] = _step(model["wf"], model["uf"], x[t], state)[0]
     out = np.zeros((len(model["v"]), b), np.float32)
-    state = np.zeros((HIDDEN, b), np.float32)
-    vf, vb = model["v"][:, :HIDDEN], model["v"][:, HIDDEN:]
+    state = np.zeros((size, b), np.float32)
+    vf, vb = model["v"][:, :size], model["v"][:, size:]
     whole = valid.min(initial=t_all)
     for t in range(t_all - 1, -1, -1):
         if t >= whole:  # padding leaves the backward state at zero
@@ -110,23 +120,25 @@ def position_sums(model: Model, x: np.ndarray, valid: np.ndarray) -> np.ndarray:
     return out
 
 
-def _run(w: np.ndarray, u: np.ndarray, x: np.ndarray) -> list[tuple]:
-    h = np.zeros((HIDDEN, x.shape[1]), np.float32)
+def _run(w: np.ndarray, u: np.ndarray, x: np.ndarray, mask: np.ndarray) -> list[tuple]:
+    """Steps through x (time, window); where mask is 0 the state is zero."""
+    h = np.zeros((u.shape[1], x.shape[1]), np.float32)
     tape = []
-    for row in x:
+    for row, keep in zip(x, mask, strict=True):
         new, *rest = _step(w, u, row, h)
+        new = new * keep
         tape.append((row, h, *rest, new))
         h = new
     return tape
 
 
-def _back(w: np.ndarray, u: np.ndarray, tape: list[tuple], d_out: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _back(w: np.ndarray, u: np.ndarray, tape: list[tuple], d_out: list[np.ndarray], mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Gradients of w and u by backpropagation through time; d_out: the loss's gradient at each step's state."""
     dw, du = np.zeros_like(w), np.zeros_like(u)
     carry = np.zeros_like(tape[0][1])
     steps, grads = [], []
-    for (x, h, z, r, n, a, _), d in zip(reversed(tape), reversed(d_out), strict=True):
-        d = d + carry
+    for (x, h, z, r, n, a, _), d, keep in zip(reversed(tape), reversed(d_out), mask[::-1], strict=True):
+        d = (d + carry) * keep
         dn = d * (1 - z) * (1 - n * n)
         dz = d * (h - n) * z * (1 - z)
         dr = dn * a * r * (1 - r)
@@ -141,41 +153,42 @@ def _back(w: np.ndarray, u: np.ndarray, tape: list[tuple], d_out: list[np.ndarra
     return dw, du
 
 
-def gradients(model: Model, x: np.ndarray, labels: np.ndarray) -> tuple[float, Model]:
-    """Mean cross-entropy over all positions of full windows x (time, window), and its gradients."""
-    n = x.size
-    f, b = _run(model["wf"], model["uf"], x), _run(model["wb"], model["ub"], x[::-1])
+def gradients(model: Model, x: np.ndarray, labels: np.ndarray, valid: np.ndarray | None = None) -> tuple[float, Model]:
+    """Mean cross-entropy over all valid positions of windows x (time, window), and its gradients; windows are full if valid is not given."""
+    mask = np.arange(len(x))[:, None] < (np.full(x.shape[1], len(x)) if valid is None else valid)
+    mask = mask.astype(np.float32)
+    n, size = int(mask.sum()), model["uf"].shape[1]
+    f, b = _run(model["wf"], model["uf"], x, mask), _run(model["wb"], model["ub"], x[::-1], mask[::-1])
     v, one_hot = model["v"], np.eye(len(model["v"]), dtype=np.float32)[labels].T
     dv, dc, loss, df, db = np.zeros_like(v), np.zeros_like(model["c"]), 0.0, [], []
     for t in range(len(x)):
         h = np.concatenate([f[t][-1], b[len(x) - 1 - t][-1]])
         p = _softmax(v @ h + model["c"])
-        loss -= float(np.log(np.maximum((p * one_hot).sum(0), 1e-12)).sum())
-        d = (p - one_hot) / n
+        loss -= float(np.log(np.maximum((p * one_hot).sum(0), 1e-12)) @ mask[t])
+        d = (p - one_hot) * mask[t] / n
         dv += d @ h.T
         dc += d.sum(1, keepdims=True)
         dh = v.T @ d
-        df.append(dh[:HIDDEN])
-        db.append(dh[HIDDEN:])
-    dwf, duf = _back(model["wf"], model["uf"], f, df)
-    dwb, dub = _back(model["wb"], model["ub"], b, db[::-1])
+        df.append(dh[:size])
+        db.append(dh[size:])
+    dwf, duf = _back(model["wf"], model["uf"], f, df, mask)
+    dwb, dub = _back(model["wb"], model["ub"], b, db[::-1], mask[::-1])
     return loss / n, {"wf": dwf, "uf": duf, "wb": dwb, "ub": dub, "v": dv, "c": dc}
 
 
 def fit(texts: list[str], labels: list[int], n_languages: int) -> Model:
     """Train on windows drawn evenly over languages."""
     x, valid, owner = windows_of(texts)
-    full = np.flatnonzero(valid == WINDOW)
     model = new_model(n_languages)
     lab = np.array(labels)[owner]
-    pools = [p for k in range(n_languages) if len(p := full[lab[full] == k])]
+    pools = [p for k in range(n_languages) if len(p := np.flatnonzero(lab == k))]
     if not pools:
         return model
     r = np.random.default_rng(SEED)
     m, s = ({k: np.zeros_like(w) for k, w in model.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
-        pick = np.concatenate([r.choice(p, -(-BATCH // len(pools))) for p in pools])
-        _, grad = gradients(model, x[:, pick], lab[pick])
+        pick = np.concatenate([r.choice(p, max(4, -(-BATCH // len(pools)))) for p in pools])
+        _, grad = gradients(model, x[:, pick], lab[pick], valid[pick])
         norm = float(np.sqrt(sum((g * g).sum() for g in grad.values())))
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for k, g in grad.items():
@@ -188,17 +201,16 @@ def fit(texts: list[str], labels: list[int], n_languages: int) -> Model:
 
 def train(docs: DataFrame) -> tuple[list[str], Model | None]:
     """Learn from a bounded sample of documents that are not held out."""
-    known = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    languages = sorted(r["lang"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect())
-    chosen = None
-    for lang in languages:  # top-k by hash, of ids alone
-        part = known.filter(F.col("lang") == lang).select("lang", "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
+    known = docs.filter(F.col("lang").isNotNull() & (F.col("lang") != "und") & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & (F.col("text") != ""))
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
+    if not languages:
         return [], None
+    most = min(SAMPLE, max(FEWEST, ROWS // len(languages)))
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # top-k by hash, of ids alone
+    chosen = known.select("lang", "doc_id").withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= most).select("lang", "doc_id")
     # at most SAMPLE ids a language; a text adds at most 4,000 characters, from a place that the id's hash gives
     at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 4000, F.lit(0)) + 1).cast("int") + 1
-    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).filter(F.col("text").isNotNull())
+    texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).filter(F.col("text") != "")
     rows = [(r["lang"], r["doc_id"], r["t"]) for r in texts.select("lang", "doc_id", F.substring("text", at, F.lit(4000)).alias("t")).dropDuplicates(["lang", "doc_id"]).collect()]
     rows.sort()
     if not rows:
@@ -215,12 +227,13 @@ def predict(texts: list[str | None], languages: list[str], model: Model | None)
     sums, sizes = np.zeros((len(languages), len(texts))), np.zeros(len(texts))
     for lo, hi in _slices(texts):
         x, valid, owner = windows_of(texts[lo:hi])
-        for i in range(0, x.shape[1], WIDTH):
-            got = position_sums(model, np.ascontiguousarray(x[:, i : i + WIDTH]), valid[i : i + WIDTH])
-            own = owner[i : i + WIDTH] + lo
+        width = max(64, min(WIDTH, WIDTH * 128 // len(languages)))
+        for i in range(0, x.shape[1], width):
+            got = position_sums(model, np.ascontiguousarray(x[:, i : i + width]), valid[i : i + width])
+            own = owner[i : i + width] + lo
             for k in range(len(languages)):
                 sums[k] += np.bincount(own, weights=got[k], minlength=len(texts))
-            sizes += np.bincount(own, weights=valid[i : i + WIDTH], minlength=len(texts))
+            sizes += np.bincount(own, weights=valid[i : i + width], minlength=len(texts))
     mean = sums / np.maximum(sizes, 1)
     best = mean.argmax(0)
     for i, ok in enumerate(lettered):

@@ -1,6 +1,10 @@
 """Cases in which an operator once did less than its whole job."""
 
-from loomledger.llm import license_scan, packing, secrets
+import random
+
+import numpy as np
+
+from loomledger.llm import language_id, license_scan, packing, secrets
 from tests.llm.test_llm_operators import docs
 
 
@@ -56,3 +60,28 @@ def test_every_notice_of_a_file_is_found(spark):
     assert got[0] >= set(labels) and got[1] >= set(labels)
     for i, label in enumerate(labels * 3, 2):
         assert label in got[i]
+
+
+def test_every_language_is_learned(spark):
+    r = random.Random(3)
+    # 70 languages of words of their own; those of the last have texts of less than one window
+    words = [["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(2, 6))) for _ in range(12)] for _ in range(70)]
+    rows = [(i, f"l{i % 70:02}", " ".join(r.choices(words[i % 70], k=6 if i % 70 == 69 else 60))) for i in range(70 * 20)]
+    got = language_id.identify(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()
+    right = {r.doc_id for r in got if r.lang_pred == rows[r.doc_id][1]}
+    by_lang = [sum(i % 70 == k for i in right) for k in range(70)]
+    assert sum(n >= 10 for n in by_lang) == 70, by_lang
+
+
+def test_gradients_leave_out_what_is_beyond_a_text():
+    model = {k: v.astype(np.float64) for k, v in language_id.new_model(3).items()}
+    x, labels, valid = np.random.default_rng(0).integers(0, 256, (6, 4)), np.array([0, 1, 2, 1]), np.array([6, 3, 1, 5])
+    loss, grad = language_id.gradients(model, x, labels, valid)
+    beyond = np.where(np.arange(6)[:, None] < valid, x, 0)
+    assert abs(loss - language_id.gradients(model, beyond, labels, valid)[0]) < 1e-12
+    for name, at in (("uf", (3, 2)), ("ub", (20, 1)), ("wb", (1, int(x[2, 1])))):
+        for sign, out in ((1, up := []), (-1, down := [])):
+            moved = {k: v.copy() for k, v in model.items()}
+            moved[name][at] += sign * 1e-5
+            out.append(language_id.gradients(moved, x, labels, valid)[0])
+        assert abs((up[0] - down[0]) / 2e-5 - grad[name][at]) < 1e-3
