@@ -38,12 +38,14 @@ def pairs(events: DataFrame) -> DataFrame:
 
 
 def islands(intervals: DataFrame) -> DataFrame:
-    """(lo, hi): the intervals merged where they touch; ranges of seqs are merged apart first, so that the last window sees one row per range and island."""
+    """(lo, hi): the intervals merged where they touch; ranges of seqs are merged apart first, and the last window sees only islands at a range's border, at most two each."""
     width = 1 << 20
     cut = intervals.select("lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))).alias("zone"))
     cut = cut.select("zone", F.greatest("lo", F.col("zone") * width).alias("lo"), F.least("hi", (F.col("zone") + 1) * width - 1).alias("hi"))
-    local = _merged(cut, ["zone"]).drop("zone")
-    return _merged(local.withColumn("all", F.lit(0)), ["all"]).drop("all")
+    local = _merged(cut, ["zone"])
+    border = (F.col("lo") == F.col("zone") * width) | (F.col("hi") == (F.col("zone") + 1) * width - 1)
+    across = _merged(local.filter(border).drop("zone").withColumn("all", F.lit(0)), ["all"]).drop("all")
+    return local.filter(~border).drop("zone").unionByName(across)
 
 
 def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
