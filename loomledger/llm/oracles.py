@@ -7,25 +7,16 @@ _GROWTH = (1 + q.ACCURACY) / (1 - q.ACCURACY)
 
 
 def _quality_rules() -> str:
-    ratios = {
-        "symbols_per_word": "n_symbols / greatest(n_words, 1)",
-        "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
-        "repeat_share": "n_repeat_words / greatest(n_words, 1)",
-        "mean_word_chars": "word_chars / greatest(n_words, 1)",
-    }
-    value = f"CASE WHEN b = 0 THEN 0.0 ELSE 0.0001 * pow({_GROWTH!r}, b) * 2 / (1 + {_GROWTH!r}) END"
-    levels = (("own", "lang, source"), ("lang", "lang"), ("every", "1"))
-    hist, fence = [], []
-    for name, keys in levels:
-        cols = {"own": "lang, source", "lang": "lang, NULL AS source", "every": "NULL AS lang, NULL AS source"}[name]
-        part = {"own": "lang, source, ratio", "lang": "lang, ratio", "every": "ratio"}[name]
-        hist.append(f"""h_{name} AS (SELECT {cols}, ratio, b, n, sum(n) OVER (PARTITION BY {part} ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {part}) AS total
-            FROM (SELECT {part}, b, count(*) AS n FROM each GROUP BY {part}, b)),
-        f_{name} AS (SELECT lang, source, ratio, max(total) AS total, min(b) FILTER (upto >= total * 0.25) AS lo, min(b) FILTER (upto >= total * 0.75) AS hi FROM h_{name} GROUP BY lang, source, ratio)""")
-    fence_of = lambda lo, hi: f"({value.replace('b', hi)}) + {q.FENCE} * (({value.replace('b', hi)}) - ({value.replace('b', lo)}))"
-    slack = "CASE e.ratio " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in q.SLACK.items()) + " END"
-    # each document's ratios against its group's cutoff
-    each = " UNION ALL ".join(f"SELECT doc_id, rn, lang, source, '{k}' AS ratio, {v} AS v FROM c" for k, v in ratios.items())
+    rates = {m: f"({x}) / greatest({n}, 1)" for m, (x, n) in q.MEASURES.items()} | {n: f"{n}::DOUBLE" for n in q.SIZES}
+    value = lambda b: f"CASE WHEN {b} = 0 THEN 0.0 ELSE 0.0001 * pow({_GROWTH!r}, {b}) * 2 / (1 + {_GROWTH!r}) END"
+    levels = []
+    for name, cols, part in (("own", "lang, source,", "lang, source, ratio"), ("lang", "lang,", "lang, ratio"), ("every", "", "ratio")):
+        quartiles = ", ".join(f"{value(f'min(b) FILTER (upto >= total * {p})')} AS {n}" for n, p in q.QUARTILES.items())
+        levels.append(f"""f_{name} AS (SELECT {part}, max(total) AS total, {quartiles} FROM (SELECT {cols} ratio, b, sum(n) OVER (PARTITION BY {part} ORDER BY b) AS upto, sum(n) OVER (PARTITION BY {part}) AS total
+            FROM (SELECT {part}, b, count(*) AS n FROM each GROUP BY {part}, b)) GROUP BY {part})""")
+    drawn = lambda own, wide: ", ".join(f"({own}.total * {own}.{n} + {q.PRIOR} * {wide}.{n}) / ({own}.total + {q.PRIOR}) AS {n}" for n in q.QUARTILES)
+    each = " UNION ALL ".join(f"SELECT rn, lang, source, '{k}' AS ratio, {v} AS v FROM c" for k, v in rates.items())
+    counted = " UNION ALL ".join(f"SELECT rn, lang, source, '{m}' AS ratio, {x} AS x, {n}::DOUBLE AS n, '{n}' AS size FROM c" for m, (x, n) in q.MEASURES.items())
     return rf"""
     WITH w AS (SELECT row_number() OVER () AS rn, doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS words,
             list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
@@ -37,14 +28,18 @@ def _quality_rules() -> str:
             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
         FROM w LEFT JOIN rep ON rep.rn = w.rn),
     c AS (SELECT *, (n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM c0),
-    ratio AS ({each}),
+    rate AS ({each}),
     each AS (SELECT r.lang, r.source, r.ratio, CASE WHEN v <= 0.0001 THEN 0 ELSE ceil(ln(v / 0.0001) / ln({_GROWTH!r}))::INT END AS b
-        FROM ratio r JOIN c ON c.rn = r.rn WHERE NOT base_failed),
-    {", ".join(hist)},
-    judged AS (SELECT e.rn, bool_and(e.v <= coalesce(CASE WHEN o.total >= {q.MIN_GROUP} THEN {fence_of("o.lo", "o.hi")} WHEN l.total >= {q.MIN_GROUP} THEN {fence_of("l.lo", "l.hi")}
-            ELSE {fence_of("a.lo", "a.hi")} END + {slack}, 'inf'::DOUBLE)) AS passes
-        FROM ratio e LEFT JOIN f_own o ON o.lang IS NOT DISTINCT FROM e.lang AND o.source IS NOT DISTINCT FROM e.source AND o.ratio = e.ratio
-        LEFT JOIN f_lang l ON l.lang IS NOT DISTINCT FROM e.lang AND l.ratio = e.ratio LEFT JOIN f_every a ON a.ratio = e.ratio GROUP BY e.rn)
+        FROM rate r JOIN c ON c.rn = r.rn WHERE NOT base_failed),
+    {", ".join(levels)},
+    l2 AS (SELECT f_lang.lang, f_lang.ratio, {drawn("f_lang", "f_every")} FROM f_lang JOIN f_every USING (ratio)),
+    o2 AS (SELECT f_own.lang, f_own.source, f_own.ratio, l2.hi - l2.mid AS lang_up, f_every.hi - f_every.mid AS every_up, {drawn("f_own", "l2")}
+        FROM f_own JOIN l2 ON l2.lang IS NOT DISTINCT FROM f_own.lang AND l2.ratio = f_own.ratio JOIN f_every ON f_every.ratio = f_own.ratio),
+    cut AS (SELECT lang, source, ratio, mid, mid + {q.FENCE} * greatest(mid - lo, least(hi - mid, lang_up, every_up)) AS rate FROM o2),
+    counted AS ({counted}),
+    judged AS (SELECT e.rn, bool_and(coalesce(e.x <= r.rate * n + {q.Z} * sqrt(r.rate * n) + {q.Z} * {q.Z} * greatest(1.0, n / t.mid), true)) AS passes
+        FROM counted e LEFT JOIN cut r ON r.lang IS NOT DISTINCT FROM e.lang AND r.source IS NOT DISTINCT FROM e.source AND r.ratio = e.ratio
+        LEFT JOIN cut t ON t.lang IS NOT DISTINCT FROM e.lang AND t.source IS NOT DISTINCT FROM e.source AND t.ratio = e.size GROUP BY e.rn)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND passes) AS kept
     FROM c JOIN judged ON judged.rn = c.rn"""
 
