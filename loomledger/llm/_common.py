@@ -16,14 +16,20 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: spark.checkpoint.dir, or a temp folder if unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """Folder that the driver and all executors share: spark.checkpoint.dir. Only a local session without one gets a temp folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="loomledger-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/loomledger"
 
 
+#: Folders of scratch tables in the order they were made.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back, so that later steps don't recompute it."""
     spark = df.sparkSession
@@ -32,18 +38,22 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_written(df: DataFrame) -> None:
-    """Delete the table behind a frame from written(); for scratch that nothing reads again."""
-    spark = df.sparkSession
-    root = scratch_dir(spark)
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/loomledger/" in folder and root.rsplit("/", 1)[-1] in folder:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def made() -> int:
+    """How many scratch tables there are, as a mark for drop_made."""
+    return len(_made)
+
+
+def drop_made(spark: SparkSession, since: int, but_last: bool = False) -> None:
+    """Delete the scratch tables made since a mark (but for the last one), once all that reads them is itself written."""
+    end = len(_made) - but_last
+    for folder in _made[since:end]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    del _made[since:end]
 
 
 def ascii_lower(text: Column) -> Column:

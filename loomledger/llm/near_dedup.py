@@ -9,21 +9,25 @@ least value is kept. Bands of ROWS coordinates give candidate buckets.
 Buckets are never expanded into all pairs. First each member is compared with
 its bucket's pivot (the smallest class), which settles groups whose members
 resemble the pivot. In buckets that still hold more than one component the
-members, ordered by component, are cut into blocks; blocks that span different
-components meet in a task. There a member's full set is written against its
+members, ordered by component, are cut into blocks; GROUP blocks against GROUP
+blocks that span different components meet in a task, so that one bucket's
+comparisons are many tasks' work. There a member's full set is written against its
 pivot's: a bit for each of the pivot's shingles, and the shingles beyond those.
 Near copies of one text are small in this form, and sizes of intersections are
 exact, so that only links leave the task and never candidate pairs. No cap is
-set on members, partners or candidates.
+set on members, partners or candidates. Wherever a bucket or a pivot is a join's
+key, its rows are dealt over SALTS tasks, and what they join is repeated for the
+salts that occur.
 
 With BANDS bands of ROWS coordinates a pair at the threshold is missed with
 probability (1 - 0.75 ** ROWS) ** BANDS, 2e-6.
 
 Defined cases: null, empty and blank texts have an empty set and link with
 nothing; fewer than five words make one shingle; repeated rows share a class;
-ids are taken as unique, rows that share one share its component; rows with a
-null id have the component of an equal text, else none; an empty table gives an empty result; extra columns
-are ignored.
+ids are taken as unique and below 2**62, rows that share one share its component;
+a row with a null id ranks behind every id: its component is that of a near text
+with an id, else null, and it is kept if it stands for its component; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, written
+from ._common import LOWER, UPPER, drop_made, made, written
 
 WORDS = 5
 BANDS = 48
@@ -44,6 +48,11 @@ ROWS = 5
 #: Link where PERCENT * union <= 100 * intersection.
 PERCENT = 75
 BLOCK = 64
+#: Blocks of a bucket that meet as many in one task.
+GROUP = 16
+SALTS = 64
+#: Rows without an id have one from here on while they are compared.
+_NO_ID = 1 << 62
 #: Cells of the counts that bound how many shingles beyond the pivot's two members share.
 CELLS = 256
 BROADCAST_IDS = 1_000_000
@@ -140,14 +149,18 @@ def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(ids, "doc_id")
 
 
+def _salt(c: str) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+
+
 def _with_sets(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """Pairs (a, b), a pivot and a member, with both full sets."""
-    pairs = written(pairs, name)
+    """Pairs (a, b), a pivot and a member, with both full sets; a pivot's pairs are dealt by salts of their members."""
+    pairs = written(pairs.select("a", "b", _salt("b")), name)
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
     sets = written(_texts(docs, ids).mapInPandas(_hashed, "cls long, hashes binary"), name)
-    left = sets.select(F.col("cls").alias("a"), F.col("hashes").alias("set_a"))
+    left = pairs.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("set_a")), "a")
     right = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("set_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
+    return pairs.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "set_a", "set_b")
 
 
 def _against_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -229,60 +242,83 @@ def _members(block: list) -> tuple:
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    digests = written(docs.select("doc_id", "text").mapInPandas(_digest, "doc_id long, n_shingles long, digest binary"), "near_digests")
+    real = lambda c: F.when(F.col(c) < _NO_ID, F.col(c))
+    rows = _grouped(docs)
+    return rows.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _key() -> Column:
+    """A row's id; rows without one get one by their text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.pmod(F.xxhash64("text"), F.lit(_NO_ID)) + _NO_ID)
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    docs = docs.select(_key().alias("doc_id"), "text")
+    digests = written(docs.mapInPandas(_digest, "doc_id long, n_shingles long, digest binary"), "near_digests")
     # a class per distinct set, named by its smallest doc_id; that row's text stands for it
-    classes = written(digests.filter("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("cls")), "near_classes")
+    classes = written(digests.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("cls")), "near_classes")
+    begun = made()
     signed = written(_texts(docs, classes.select(F.col("cls").alias("doc_id"))).mapInPandas(_signed, "cls long, n long, bands array<long>"), "near_signed")
 
-    bands = signed.select("cls", "n", F.explode("bands").alias("key"))
-    pivots = bands.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n")).alias("pivot")).filter("size > 1")
-    members = written(bands.join(pivots, "key").select("key", "cls", "n", "size", F.col("pivot.cls").alias("p"), F.col("pivot.n").alias("pn")), "near_members")
+    bands = signed.select("cls", "n", F.explode("bands").alias("key"), _salt("cls"))
+    part = bands.groupBy("key", "salt").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n")).alias("pivot"))
+    pivots = part.groupBy("key").agg(F.sum("size").alias("size"), F.min("pivot").alias("pivot"), F.collect_list("salt").alias("salts")).filter("size > 1")
+    pivots = pivots.select("key", F.explode("salts").alias("salt"), "size", F.col("pivot.cls").alias("p"), F.col("pivot.n").alias("pn"))
+    members = written(bands.join(pivots, ["key", "salt"]), "near_members")
     pairs = members.filter("cls <> p").filter(_could("n", "pn")).select(F.col("p").alias("a"), F.col("cls").alias("b")).distinct()
     links = written(_with_sets(pairs, docs, "near_pairs").mapInPandas(_verify, "a long, b long"), "near_links")
     comps = components(links, "near_components")
 
     # buckets that the pivot has not settled
-    placed = members.filter("size > 2").join(comps, members["cls"] == comps["node"], "left").select("key", "cls", "n", "p", F.coalesce("comp", "cls").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-    rest = written(placed.join(mixed, "key").filter("cls <> p"), "near_rest")
+    placed = members.filter("size > 2").join(comps, members["cls"] == comps["node"], "left").select("key", "salt", "cls", "n", "p", F.coalesce("comp", "cls").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_set("salt").alias("salts")).filter("lo <> hi").select("key", F.explode("salts").alias("salt"))
+    rest = written(placed.join(mixed, ["key", "salt"]).filter("cls <> p"), "near_rest")
     own = rest.select(F.col("p").alias("a"), F.col("cls").alias("b")).distinct()
     against = written(_with_sets(own, docs, "near_own").mapInPandas(_against_pivot, "p long, cls long, mask binary, extra binary"), "near_against")
     blocks = _blocks(rest.join(against, ["p", "cls"]))
     more = written(blocks.mapInPandas(_block_links, "a long, b long").distinct(), "near_more_links")
     if not more.isEmpty():
         comps = components(links.unionByName(more), "near_components")
+    comps = written(comps, "near_components")
+    drop_made(docs.sparkSession, begun, but_last=True)
 
     known = classes.join(comps, classes["cls"] == comps["node"], "left").select("digest", F.coalesce("comp", "cls").alias("component_id"))
-    rows = digests.join(known, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return digests.join(known, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group, with docs' own columns; rows with a null id are dropped, repeated rows of one id count once."""
-    kept = groups(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group, with docs' own columns; repeated rows of one id count once, rows without an id as in groups()."""
+    kept = written(_grouped(docs).filter("doc_id = component_id").select("doc_id"), "near_kept")
+    once = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
+    rows = docs.join(once, _key() == once["_kept_id"], "left_semi")
+    if kept.count() > once.count():
+        rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("id")).dropDuplicates(["id"]).select("row.*")
+    return rows
 
 
 def _blocks(rest: DataFrame) -> DataFrame:
     """(left, right): for each bucket the pairs of blocks that hold different components.
 
     Components of BLOCK members and more are cut into blocks of their own; smaller ones share blocks, each whole in one.
+    A bucket's blocks fall into groups of about GROUP; every two groups, and each with itself, are a key of their own.
     """
-    sizes = rest.groupBy("key", "comp").agg(F.count("*").alias("m"))
-    small = sizes.filter(F.col("m") < BLOCK).groupBy("key").agg(F.sum("m").alias("total"))
-    plan = sizes.join(small, "key", "left")
+    sizes = rest.groupBy("key", "comp").agg(F.count("*").alias("m"), F.collect_set("salt").alias("salts"))
+    totals = sizes.groupBy("key").agg(F.coalesce(F.sum(F.when(F.col("m") < BLOCK, F.col("m"))), F.lit(0)).alias("small"), F.sum("m").alias("total"))
     big = F.col("m") >= BLOCK
-    plan = plan.select(
-        "key", "comp", big.alias("big"),
-        F.when(big, F.ceil(F.col("m") / BLOCK)).otherwise(F.ceil(F.col("total") / BLOCK)).cast("long").alias("cuts"),
+    plan = sizes.join(totals, "key").select(
+        "key", "comp", F.explode("salts").alias("salt"), big.alias("big"),
+        F.ceil(F.when(big, F.col("m")).otherwise(F.col("small")) / BLOCK).cast("long").alias("cuts"),
+        F.ceil(F.col("total") / (BLOCK * GROUP)).cast("int").alias("groups"),
     )
-    cut = rest.join(plan, ["key", "comp"]).select(
-        "key", "big", F.struct("cls", "comp", "n", "mask", "extra").alias("m"),
+    cut = rest.join(plan, ["key", "comp", "salt"]).select(
+        "key", "groups", F.struct("cls", "comp", "n", "mask", "extra").alias("m"),
         F.when(F.col("big"), F.col("comp")).otherwise(F.lit(-1)).alias("owner"),
         F.pmod(F.xxhash64(F.when(F.col("big"), F.col("cls")).otherwise(F.col("comp"))), F.col("cuts")).alias("cut"),
     )
-    blocks = written(cut.groupBy("key", "owner", "cut").agg(F.collect_list("m").alias("members")), "near_blocks")
-    left = blocks.select("key", F.col("owner").alias("o1"), F.col("cut").alias("c1"), F.col("members").alias("left"))
-    right = blocks.select("key", F.col("owner").alias("o2"), F.col("cut").alias("c2"), F.col("members").alias("right"))
-    ahead = (F.col("o1") < F.col("o2")) | ((F.col("o1") == F.col("o2")) & (F.col("o1") == -1) & (F.col("c1") <= F.col("c2")))
-    return left.join(right, "key").filter(ahead).select("left", "right")
+    blocks = written(cut.groupBy("key", "groups", "owner", "cut").agg(F.collect_list("m").alias("members")), "near_blocks")
+    blocks = blocks.withColumn("g", F.pmod(F.xxhash64("owner", "cut"), F.col("groups")).cast("int"))
+    left = blocks.select("key", F.col("g").alias("lo"), F.explode(F.expr("sequence(g, groups - 1)")).alias("hi"), F.col("owner").alias("o1"), F.col("cut").alias("c1"), F.col("members").alias("left"))
+    right = blocks.select("key", F.explode(F.expr("sequence(0, g)")).alias("lo"), F.col("g").alias("hi"), F.col("owner").alias("o2"), F.col("cut").alias("c2"), F.col("members").alias("right"))
+    both_small = (F.col("o1") == F.col("o2")) & (F.col("o1") == -1)
+    once = (F.col("lo") < F.col("hi")) | (F.col("o1") < F.col("o2")) | (both_small & (F.col("c1") <= F.col("c2")))
+    return left.join(right, ["key", "lo", "hi"]).filter(((F.col("o1") != F.col("o2")) | both_small) & once).select("left", "right")
