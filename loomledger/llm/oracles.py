@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
+from . import decontaminate as w
 from . import quality_rules as q
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -48,18 +49,27 @@ QUALITY_RULES = _quality_rules()
 
 _ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 DECONTAMINATE = rf"""
-    WITH d AS (SELECT row_number() OVER () AS rn, doc_id, {_ALNUM} AS words FROM documents),
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, {_ALNUM} AS words FROM documents),
     b AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {_ALNUM} AS words FROM benchmark),
     bw AS (SELECT item, least(10, len(words)) AS k, words, unnest(range(0, len(words) - least(10, len(words)) + 1)) AS s FROM b WHERE len(words) > 0),
-    grams AS (SELECT DISTINCT item, k, array_to_string(words[s + 1 : s + k], ' ') AS gram FROM bw),
+    grams AS (SELECT DISTINCT item, k, words[s + 1 : s + k] AS w, array_to_string(words[s + 1 : s + k], ' ') AS gram FROM bw),
     ks AS (SELECT DISTINCT k FROM grams),
     dw AS (SELECT rn, words, k, unnest(range(0, len(words) - k + 1)) AS s FROM d, ks WHERE len(words) >= k),
     hits AS (SELECT dw.rn, dw.s, dw.k, g.item FROM dw JOIN grams g ON g.k = dw.k AND g.gram = array_to_string(dw.words[dw.s + 1 : dw.s + dw.k], ' ')),
     cover AS (SELECT rn, count(DISTINCT p) AS n_hit FROM (SELECT rn, unnest(range(s, s + k)) AS p FROM hits) GROUP BY rn),
-    items AS (SELECT rn, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY rn)
+    items AS (SELECT rn, list_sort(list(DISTINCT item)) AS items FROM hits GROUP BY rn),
+    post AS MATERIALIZED (SELECT rn, word, p FROM (SELECT rn, unnest(words) AS word, unnest(range(len(words))) AS p FROM d) WHERE word IN (SELECT unnest(words) FROM b)),
+    df AS (SELECT word, count(*) AS df FROM post GROUP BY word),
+    ranked AS (SELECT item, gram, i, word, coalesce(df.df, 0) AS df, row_number() OVER (PARTITION BY item, gram ORDER BY coalesce(df.df, 0), i) AS r
+        FROM (SELECT item, gram, unnest(w) AS word, unnest(range(len(w))) AS i FROM grams) LEFT JOIN df USING (word)),
+    rare AS (SELECT x.item, x.gram, x.word AS t1, y.word AS t2, y.i - x.i AS delta FROM ranked x LEFT JOIN ranked y ON y.item = x.item AND y.gram = x.gram AND y.r = 2 WHERE x.r = 1 AND x.df > 0),
+    probes AS (SELECT DISTINCT t1, t2, delta FROM rare),
+    near AS (SELECT DISTINCT x.rn, t1, t2, delta FROM probes JOIN post x ON x.word = t1 JOIN post y ON y.rn = x.rn AND y.word = t2 AND y.p <> x.p AND y.p BETWEEN x.p + delta - {w.SLOP} AND x.p + delta + {w.SLOP}
+        UNION SELECT DISTINCT x.rn, t1, t2, delta FROM probes JOIN post x ON x.word = t1 WHERE t2 IS NULL),
+    n AS (SELECT rn, count(DISTINCT item) AS n_near FROM near n JOIN rare r ON r.t1 = n.t1 AND r.t2 IS NOT DISTINCT FROM n.t2 AND r.delta IS NOT DISTINCT FROM n.delta GROUP BY rn)
     SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(items), 0)::BIGINT AS n_items,
-        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-    FROM d LEFT JOIN cover USING (rn) LEFT JOIN items USING (rn)"""
+        sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+    FROM d LEFT JOIN cover USING (rn) LEFT JOIN items USING (rn) LEFT JOIN n USING (rn)"""
 
 NEAR_DEDUP = r"""
     WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
