@@ -2,16 +2,21 @@
 
 Candidates are private-key blocks, passwords in addresses, tokens that follow a
 known shape, and values given to a name that contains a credential word. The forest sees each candidate's length, character classes and
-transitions, the share of it that dictionary words cover, and what stands
-beside it (credential words, checksum words, paths). It is trained here, from labelled findings
-that a seeded generator writes in the common shapes of secrets and of what
-passes for them (checksums, ids, placeholders, paths); LABELLED bounds them.
-The trees then become one SQL expression, so that scoring is built-in functions.
+transitions, the share of it that dictionary words cover, the file path named
+before it, and the words beside it (credential and checksum words). It is trained
+here, from labelled findings that a seeded generator writes in the common shapes
+of secrets and of what passes for them (checksums, ids, placeholders, paths);
+LABELLED bounds them. The trees then become one SQL expression, so that scoring
+is built-in functions.
+
+Every part of the pattern either starts where a run of its characters starts or
+takes runs whole (possessively), so that its time is linear in a text's length.
 
 Defined cases: null and empty texts have no findings; repeated rows are scanned
 each; overlapping candidates are kept apart by start, the longest match of the
 one pattern at a place; an empty table gives an empty result; extra columns are
-ignored; texts of any length are scanned whole.
+kept by redact() and ignored by scan(), whatever their names; texts of any
+length are scanned whole.
 """
 
 from __future__ import annotations
@@ -21,42 +26,61 @@ import re
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LABELLED = 4000
+LABELLED = 5000
 TREES = 25
 DEPTH = 7
 SEED = 7
 THRESHOLD = 0.5
 #: Characters before a candidate that count as its neighbourhood.
-BEFORE = 40
+BEFORE = 80
 
 #: Words that stand beside secrets, and beside what merely looks like one; dictionary words of placeholders and identifiers.
 CREDENTIAL_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "bearer", "private_key"]
 CHECKSUM_WORDS = ["sha1", "sha256", "md5", "checksum", "digest", "commit", "revision", "hash", "etag", "uuid", "guid", "integrity", "build"]
-DICTIONARY = ["example", "changeme", "password", "secret", "your", "test", "sample", "dummy", "placeholder", "token", "null", "none", "default", "user", "name", "config", "file", "value", "string", "path", "module", "class", "function", "handler", "service", "client", "server", "index", "internal", "public", "static"]
+DICTIONARY = [
+    "about", "access", "account", "action", "admin", "after", "alpha", "application", "archive", "array", "asset", "author", "backup", "base", "before", "beta", "branch", "bucket", "build", "button",
+    "cache", "changeme", "channel", "class", "client", "cloud", "code", "column", "common", "config", "connection", "content", "context", "control", "core", "count", "create", "custom", "data", "database",
+    "date", "default", "delete", "demo", "deploy", "design", "detail", "device", "display", "document", "download", "driver", "dummy", "element", "email", "engine", "entry", "error", "event", "example",
+    "export", "feature", "field", "file", "filter", "final", "first", "folder", "form", "format", "frame", "from", "function", "group", "handler", "header", "hello", "home", "host", "image",
+    "import", "index", "info", "input", "insert", "instance", "internal", "item", "label", "last", "layout", "level", "library", "limit", "line", "link", "list", "local", "location", "login",
+    "main", "manager", "master", "member", "menu", "message", "method", "model", "module", "name", "network", "node", "none", "null", "number", "object", "option", "order", "output", "package",
+    "page", "parent", "parse", "password", "path", "pattern", "place", "placeholder", "plugin", "policy", "process", "product", "profile", "project", "property", "public", "query", "queue", "read", "record",
+    "release", "remote", "report", "request", "required", "resource", "response", "result", "sample", "schema", "script", "search", "secret", "select", "server", "service", "session", "setting", "simple", "source",
+    "static", "status", "storage", "string", "style", "system", "table", "target", "task", "temp", "template", "test", "text", "time", "title", "token", "type", "update", "upload", "user",
+    "value", "version", "video", "view", "window", "word", "work", "world", "write", "your",
+]
+#: Parts of a path that speak for a real configuration, and for a file of examples.
+CONFIG_PATHS = ["config", "settings", "secrets", "credentials", "deploy", "prod", ".env", ".pem", ".tfvars", ".ini", ".yml", ".yaml", ".properties", ".npmrc", "id_rsa"]
+EXAMPLE_PATHS = ["test", "spec", "fixture", "example", "sample", "mock", "demo", "docs", "readme", "node_modules", "vendor", ".lock", ".min.js", ".md"]
 #: Candidate shapes, tried in this order at each place.
 SHAPES = [
     r"AKIA[0-9A-Z]{16}",
     r"gh[pousr]_[0-9A-Za-z]{36}",
     r"xox[abprs]-[0-9A-Za-z-]{10,}",
     r"sk_live_[0-9A-Za-z]{16,}",
-    r"eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,}",
+    r"eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+",
 ]
 #: A private-key block; if it is cut off, its long lines.
 _KEY_NAME = r"[A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-KEY_BLOCK = rf"-----BEGIN {_KEY_NAME}(?:(?:[^-]|-(?!----))*+-----END {_KEY_NAME}|(?:\s+[A-Za-z0-9+/]{{32,}}={{0,2}})++)"
+KEY_BLOCK = rf"-----BEGIN {_KEY_NAME}(?:(?:[^-]++|-(?!----))*+-----END {_KEY_NAME}|(?:\s++[A-Za-z0-9+/]{{32,}}+={{0,2}})++)"
 #: A credential word, written with '_', '-', a blank or nothing between its parts.
 _CREDENTIAL = "|".join(dict.fromkeys(re.sub("[_-]", "[ _-]?", w) for w in CREDENTIAL_WORDS))
+#: A whole name; a blank belongs to it only between the parts of a credential word.
+_BLANKS = "|".join(sorted({rf"(?<={a}) (?={b})" for a, b in (re.split("[_-]", w) for w in CREDENTIAL_WORDS if re.search("[_-]", w))}))
+_NAME = rf"(?:[a-z0-9+/_-]++|{_BLANKS})++"
 #: What stands before a value: a name that contains a credential word, a mark of assignment and perhaps an authentication scheme.
-_HEAD = rf"(?i:[a-z0-9+/_-]*(?:{_CREDENTIAL})[a-z0-9_-]*[\"']?\]?\s*(?:=>|:=|[=:])\s*[\"']?(?:(?:bearer|basic|token)\s+)?)"
+_HEAD = rf"(?i:(?=[a-z0-9+/_-]*?(?:{_CREDENTIAL})){_NAME}[\"']?\]?\s*+(?:=>|:=|[=:])\s*+[\"']?(?:(?:bearer|basic|token)\s++)?)"
 #: What stands before the password of an address.
-_ADDRESS = r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@\"']*:"
+_ADDRESS = r"(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]++://[^\s/:@\"']*+:"
 _EDGE = r"(?<![A-Za-z0-9+/_-])"
-#: Everything proposed: a key block, an address's password, a value given to a credential name, or a token of a known shape; the plain shape needs a digit.
-PROPOSE = rf"{_EDGE}(?:{KEY_BLOCK}|{_ADDRESS}[^\s/@\"']+(?=@)|{_HEAD}[^\s\"']{{6,}}|{'|'.join(SHAPES)}|(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{{16,}})"
-FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "distinct", "hex", "numeric", "uuid", "known", "dictionary", "slashes", "credential", "checksum", "assigned", "path", "address", "letters"]
+#: Everything proposed: a key block, an address's password, a value given to a credential name, or a token of a known shape; the plain shape needs a digit and starts where its run of characters does.
+PROPOSE = rf"{_EDGE}(?:{KEY_BLOCK}|{_ADDRESS}[^\s/@\"']++(?=@)|{_HEAD}[^\s\"']{{6,}}+|{'|'.join(SHAPES)}|(?<!=)(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{16,}}+)"
+FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "distinct", "hex", "numeric", "uuid", "known", "dictionary", "slashes", "credential", "checksum", "assigned", "in_path", "config_path", "example_path", "address", "letters"]
+#: A file named on the candidate's line before it, up to its line number.
+_PATH = r"([\w.-]*[/.][\w./-]*\w)(?::\d+)?:\s[^\n]*$"
 
 
 def _share(text: Column, drop: str) -> Column:
@@ -70,6 +94,7 @@ def features(candidate: Column, before: Column) -> Column:
     for pattern, one in ((r"[0-9]+", "0"), (r"[a-z]+", "a"), (r"[A-Z]+", "A"), (r"[^0-9a-zA-Z]+", "-")):
         runs = F.regexp_replace(runs, pattern, one)
     low = F.lower(before)
+    path = F.regexp_extract(low, _PATH, 1)
     n = F.greatest(F.length(candidate), F.lit(1))
     yes = lambda c: c.cast("double")
     values = [
@@ -89,6 +114,8 @@ def features(candidate: Column, before: Column) -> Column:
         yes(low.rlike("|".join(CHECKSUM_WORDS))),
         yes(before.rlike(r"[=:]>?\s*[\"']?(?i:(?:bearer|basic|token)\s+)?$")),
         yes(before.rlike(r"[/.@]$")),
+        yes(path.rlike("|".join(map(re.escape, CONFIG_PATHS)))),
+        yes(path.rlike("|".join(map(re.escape, EXAMPLE_PATHS)))),
         yes(before.rlike(rf"{_ADDRESS}$")),
         yes(candidate.rlike(r"^[A-Z]?[a-z]+[.,;:!?)]*$|^[A-Z]+[.,;:!?)]*$")),
     ]
@@ -100,7 +127,9 @@ def labelled(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, int]]:
     r = random.Random(seed)
     hexa, alnum = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
     draw = lambda chars, k: "".join(r.choices(chars, k=k))
-    prose = lambda: " ".join(draw("abcdefghinorstuw", r.randint(2, 8)) for _ in range(5)) + " "
+    words = lambda: " ".join(draw("abcdefghinorstuw", r.randint(2, 8)) for _ in range(5)) + " "
+    file = lambda parts: "/".join(r.choices(DICTIONARY, k=r.randint(0, 2)) + [r.choice(DICTIONARY) + r.choice(parts)]) + r.choice(["", ":" + draw("123456789", 2)]) + ": "
+    prose = lambda: words() if r.random() < 0.8 else file(CONFIG_PATHS + EXAMPLE_PATHS + [".py", ".c"])
     assign = lambda word: prose() + name(word) + r.choice(["=", " = ", ": ", '="', " = \"", ":", '": "', "': '", " => ", " := "])
     name = lambda word: r.choice(["", "", "", "db_", "client_", "MY-"]) + r.choice([word, word, word.upper()]) + r.choice(["", "", "", "_1", "_value"])
     address = lambda: prose() + r.choice(["postgres", "https", "redis", "amqp", "mongodb+srv", "ftp"]) + "://" + r.choice(["", draw("abcdefghinorstuw", 5), r.choice(DICTIONARY)]) + ":"
@@ -112,6 +141,7 @@ def labelled(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, int]]:
         lambda: (draw(alnum, r.randint(8, 14)) + r.choice("!@#$%"), assign(r.choice(["password", "passwd", "pwd"])), 1),
         lambda: (draw(lower, r.randint(4, 10)) + draw("0123456789", r.randint(1, 4)) + draw(lower, r.randint(0, 4)) + r.choice(["", "", "!", "#"]), assign(r.choice(CREDENTIAL_WORDS)), 1),
         lambda: (mixed(r.choice([alnum, lower]), r.randint(8, 16)), assign(r.choice(CREDENTIAL_WORDS)), 1),
+        lambda: (draw(alnum, r.randint(0, 4)) + r.choice("!@#$%^&*?") + r.choice(DICTIONARY) + draw("0123456789", r.randint(1, 3)) + r.choice(["", "!", "#"]), assign(r.choice(CREDENTIAL_WORDS)), 1),
         lambda: (r.choice([mixed(alnum, r.randint(8, 16)), draw(alnum, r.randint(6, 24)), draw(lower, r.randint(4, 10)) + draw("0123456789", r.randint(1, 4)), draw(lower, r.randint(4, 14))]), address(), 1),
         lambda: (f"-----BEGIN {(k := r.choice(['', 'RSA ', 'EC ', 'OPENSSH ']))}PRIVATE KEY-----\n" + "\n".join(draw(alnum + "+/", 64) for _ in range(r.randint(1, 26))) + f"\n-----END {k}PRIVATE KEY-----", prose(), 1),
         lambda: ("AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), prose(), 1),
@@ -131,6 +161,8 @@ def labelled(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, int]]:
         lambda: (r.choice(["${", "{{", "$("]) + "_".join(r.choices(DICTIONARY, k=2)).upper() + "}", assign(r.choice(CREDENTIAL_WORDS)), 0),
         lambda: (r.choice(["x", "*", "0"]) * r.randint(8, 24), assign(r.choice(CREDENTIAL_WORDS)), 0),
         lambda: (draw("abcdefghinorstuw", r.randint(16, 22)) + draw("0123456789", r.randint(1, 2)), prose(), 0),
+        lambda: (draw(alnum, r.randint(20, 44)), file(CONFIG_PATHS) + name(r.choice(CREDENTIAL_WORDS)) + " = ", 1),
+        lambda: (draw(alnum, r.randint(20, 44)), file(EXAMPLE_PATHS), 0),
     ]
     return [r.choice(kinds)() for _ in range(n)]
 
@@ -141,21 +173,15 @@ def trained(spark: SparkSession) -> list[list]:
     rows = rows.select(features(F.col("candidate"), F.col("before")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="0.6").fit(rows)
-    trees, lines = [], [x.strip() for x in model.toDebugString.splitlines()]
-    starts = [i for i, x in enumerate(lines) if x.startswith("Tree ")] + [len(lines)]
-    for a, b in zip(starts, starts[1:], strict=False):
-        tree, _ = _read_tree(lines, a + 1, b)
-        trees.append(tree)
-    return trees
+    return [_branch(tree._call_java("rootNode")) for tree in model.trees]
 
 
-def _read_tree(lines: list[str], at: int, end: int) -> tuple[list | float, int]:
-    if lines[at].startswith("Predict:"):
-        return float(lines[at].split(":")[1]), at + 1
-    part = lines[at].strip("If ()").split()  # feature N <= T
-    low, at = _read_tree(lines, at + 1, end)
-    high, at = _read_tree(lines, at + 1, end)
-    return [FEATURES[int(part[1])], float(part[3]), low, high], at
+def _branch(node) -> list | float:
+    """A tree's node as nested lists, down to the leaves' labels."""
+    if node.subtreeDepth() == 0:
+        return float(node.prediction())
+    split = node.split()
+    return [FEATURES[split.featureIndex()], float(split.threshold()), _branch(node.leftChild()), _branch(node.rightChild())]
 
 
 def vote(trees: list, f: Column) -> Column:
@@ -174,40 +200,48 @@ def vote(trees: list, f: Column) -> Column:
 
 
 def _scored(docs: DataFrame, trees: list) -> DataFrame:
-    """docs with `between` and `found` (candidate, head, before, score): the text is between[0] + found[0] + between[1] + ..."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """Per row: `row` with all of docs' columns, `text`, `matched` (null: nothing proposed), `between` and `parts` (candidate, head, score): the text is between[0] + head + candidate + between[1] + ..."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
     has = F.coalesce(F.col("text").rlike(PROPOSE), F.lit(False))
-    rows = docs.withColumn("_match", F.when(has, F.regexp_extract_all(text, F.lit(f"({PROPOSE})"), F.lit(1)))).withColumn("_between", F.when(has, F.split(text, PROPOSE)))
+    rows = rows.select("row", "text", F.when(has, F.regexp_extract_all("text", F.lit(f"({PROPOSE})"), F.lit(1))).alias("matched"), F.when(has, F.split("text", PROPOSE)).alias("between"))
     head = lambda m: F.regexp_extract(m, f"^({_ADDRESS}|{_HEAD})", 1)
-    parts = F.transform("_match", lambda m, i: F.struct(F.substring(m, F.length(head(m)) + 1, F.length(m)).alias("candidate"), head(m).alias("head"), F.concat(F.right(F.get("_between", i), F.lit(BEFORE)), head(m)).alias("before")))
-    rows = rows.withColumn("_parts", parts)
-    rows = rows.withColumn("_parts", F.transform("_parts", lambda p: F.struct(p["candidate"].alias("candidate"), p["head"].alias("head"), features(p["candidate"], p["before"]).alias("f"))))
-    return rows.withColumn("_parts", F.transform("_parts", lambda p: F.struct(p["candidate"].alias("candidate"), p["head"].alias("head"), vote(trees, p["f"]).alias("score"))))
+    parts = F.transform("matched", lambda m, i: F.struct(m.alias("whole"), head(m).alias("head"), F.get("between", i).alias("gap")))
+    parts = F.transform(parts, lambda p: F.struct(F.substring(p["whole"], F.length(p["head"]) + 1, F.length(p["whole"])).alias("candidate"), p["head"].alias("head"), F.concat(F.right(p["gap"], F.lit(BEFORE)), p["head"]).alias("before")))
+    rows = rows.withColumn("parts", parts)
+    rows = rows.withColumn("parts", F.transform("parts", lambda p: F.struct(p["candidate"].alias("candidate"), p["head"].alias("head"), features(p["candidate"], p["before"]).alias("f"))))
+    return rows.withColumn("parts", F.transform("parts", lambda p: F.struct(p["candidate"].alias("candidate"), p["head"].alias("head"), vote(trees, p["f"]).alias("score"))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per candidate: doc_id, start and end (characters from 0), secret_sha256, score, is_secret."""
-    rows = _scored(docs.select("doc_id", "text"), trained(docs.sparkSession)).filter("_match is not null").withColumn("_row", F.monotonically_increasing_id())
-    each = rows.select("doc_id", "_row", F.posexplode(F.arrays_zip("_parts", F.slice("_between", F.lit(1), F.size("_match")).alias("_gap"))).alias("i", "x"))
-    each = each.select("doc_id", "_row", "i", F.length("x._gap").alias("gap"), F.col("x._parts").alias("p"))
-    each = each.withColumn("whole", F.length("p.head") + F.length("p.candidate"))
-    upto = F.sum(F.col("gap") + F.col("whole")).over(Window.partitionBy("_row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = _scored(docs.select("doc_id", "text"), trained(docs.sparkSession)).filter("matched is not null")
+    gaps = F.slice("between", F.lit(1), F.size("matched"))
+    # running ends of the pieces before each candidate, per row, without another shuffle
+    sizes = F.zip_with(gaps, "parts", lambda g, p: F.struct((F.length(g) + F.length(p["head"])).alias("ahead"), F.length(p["candidate"]).alias("own"), p.alias("p")))
+    placed = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,candidate:string,score:double>>").alias("out")),
+        lambda s, x: F.struct((s["at"] + x["ahead"] + x["own"]).alias("at"), F.array_append(s["out"], F.struct((s["at"] + x["ahead"]).alias("start"), (s["at"] + x["ahead"] + x["own"]).alias("end"), x["p"]["candidate"].alias("candidate"), x["p"]["score"].alias("score"))).alias("out")),
+        lambda s: s["out"],
+    )
+    each = rows.select(F.col("row.doc_id").alias("doc_id"), F.explode(placed).alias("x"))
     return each.select(
         "doc_id",
-        (upto - F.length("p.candidate")).cast("long").alias("start"),
-        upto.cast("long").alias("end"),
-        F.sha2("p.candidate", 256).alias("secret_sha256"),
-        F.col("p.score").alias("score"),
-        (F.col("p.score") >= THRESHOLD).alias("is_secret"),
+        F.col("x.start").cast("long").alias("start"),
+        F.col("x.end").cast("long").alias("end"),
+        F.sha2("x.candidate", 256).alias("secret_sha256"),
+        F.col("x.score").alias("score"),
+        (F.col("x.score") >= THRESHOLD).alias("is_secret"),
     )
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret's characters replaced; all rows and columns stay. n_chars, if there is one, follows the text."""
     rows = _scored(docs, trained(docs.sparkSession))
-    pieces = F.transform("_parts", lambda p, i: F.concat(F.get("_between", i), p["head"], F.when(p["score"] >= THRESHOLD, F.lit(mark)).otherwise(p["candidate"])))
-    clean = F.when(F.col("_match").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), F.element_at("_between", -1)))
-    rows = rows.withColumn("text", clean)
+    pieces = F.transform("parts", lambda p, i: F.concat(F.get("between", i), p["head"], F.when(p["score"] >= THRESHOLD, F.lit(mark)).otherwise(p["candidate"])))
+    clean = F.when(F.col("matched").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), F.element_at("between", -1)))
+    rows = rows.select("row", "matched", clean.alias("clean"))
+    changed = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_match").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        changed["n_chars"] = F.when(F.col("matched").isNull(), F.col("row.n_chars")).otherwise(F.length("clean")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[changed.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
