@@ -9,7 +9,7 @@ stands in it. A template has so many posted places that an alignment which
 covers enough of it cannot miss more than would leave it the votes it needs.
 
 All steps are built-in DataFrame functions. Document frequencies cover every
-document. Texts that hold no key phrase's first word, in any case, cannot match
+document. Texts that do not hold the first word of any phrase cannot match
 and are spared the later steps; nothing else is skipped.
 
 Defined cases: null and empty texts have no words, no labels and score 0; a
@@ -49,7 +49,7 @@ MIN_VOTES = 2
 MIN_COVER = 0.8
 
 _VOCABULARY = sorted({w for _, _, text in TEMPLATES for w in text.split()})
-_HEADS = "|".join(sorted({k.split()[0] if k.split()[0] != "the" else k.split()[1] for k in [*BASE, *(k for _, k, _ in TEMPLATES)]}))
+_HEADS = sorted({k.split()[0] if k.split()[0] != "the" else k.split()[1] for k in [*BASE, *(k for _, k, _ in TEMPLATES)]})
 
 
 def _phrase_starts(words: Column, phrase: str) -> Column:
@@ -67,17 +67,11 @@ def _all(conditions) -> Column:
 
 
 def _tokens(docs: DataFrame) -> DataFrame:
-    """One row per document: its word count, the licence words in it, and all its words if it may hold a key phrase."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), text.alias("text"), F.array_remove(F.split(text, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "").alias("cased"))
-    may = F.col("text").rlike(rf"(?i)(?<![a-z0-9\x80-\x{{10FFFF}}])(?:{_HEADS})(?![a-z0-9\x80-\x{{10FFFF}}])")
-    vocabulary = F.array(*[F.lit(w) for v in _VOCABULARY for w in dict.fromkeys((v, v.capitalize(), v.upper()))])
-    return rows.select(
-        "doc_id", "row",
-        F.size("cased").cast("long").alias("n_words"),
-        F.array_distinct(F.transform(F.array_intersect("cased", vocabulary), lambda w: F.lower(w))).alias("licence_words"),
-        F.when(may, alnum_words(F.col("text"))).alias("words"),
-    )
+    """One row per document: its word count, the licence words in it in any case, and all its words if it may hold a key phrase."""
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), alnum_words(F.col("text")).alias("words"))
+    may = F.arrays_overlap("licence_words", F.array(*map(F.lit, _HEADS)))
+    rows = rows.withColumn("licence_words", F.array_intersect("words", F.array(*map(F.lit, _VOCABULARY))))
+    return rows.select("doc_id", "row", F.size("words").cast("long").alias("n_words"), "licence_words", F.when(may, F.col("words")).alias("words"))
 
 
 def posted(idf: dict[str, float]) -> list[tuple[str, int, int]]:

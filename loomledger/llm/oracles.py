@@ -1,6 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express."""
 
 from . import decontaminate as w
+from . import license_scan as lic
 from . import quality_rules as q
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -71,6 +72,31 @@ DECONTAMINATE = rf"""
         sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
     FROM d LEFT JOIN cover USING (rn) LEFT JOIN items USING (rn) LEFT JOIN n USING (rn)"""
 
+
+def _license_scan() -> str:
+    """An alignment covers enough of a template if it has MIN_COVER of its words in place; posting lists lose none of those."""
+    templates = ", ".join(f"({i}, '{label}', ' {key} ', string_split('{notice}', ' '))" for i, (label, key, notice) in enumerate(lic.TEMPLATES))
+    base = " UNION ALL ".join(f"SELECT rn, '{label}' AS label, s FROM places WHERE words[s + 1 : s + {len(p.split())}] = string_split('{p}', ' ')" for p, label in lic.BASE.items())
+    return rf"""
+    WITH d AS MATERIALIZED (SELECT row_number() OVER () AS rn, doc_id, {_ALNUM} AS words FROM documents),
+    places AS (SELECT rn, words, unnest(range(len(words))) AS s FROM d),
+    base AS ({base}),
+    t(template, label, key, notice) AS (VALUES {templates}),
+    may AS (SELECT rn, words, label, key, notice FROM d JOIN t ON contains(' ' || array_to_string(words, ' ') || ' ', key)),
+    aligned AS (SELECT *, unnest(range(1 - len(notice), len(words))) AS s FROM may),
+    found AS (SELECT rn, label, len(list_filter(range(len(notice)), lambda i: s + i >= 0 AND words[(s + i + 1)::BIGINT] = notice[i + 1])) / len(notice) AS cover
+        FROM aligned WHERE contains(' ' || array_to_string(words[greatest(s, 0) + 1 : greatest(s, 0) + len(notice)], ' ') || ' ', key)),
+    lb AS (SELECT rn, label FROM found WHERE cover >= {lic.MIN_COVER} UNION SELECT rn, label FROM base),
+    b AS (SELECT rn, count(*) AS n, min(s) AS lo, max(s) AS hi, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM base GROUP BY rn),
+    f AS (SELECT rn, max(cover) AS cover FROM found WHERE cover >= {lic.MIN_COVER} GROUP BY rn),
+    l AS (SELECT rn, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM lb GROUP BY rn)
+    SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(b.n, 0)::BIGINT AS n_base, b.lo::BIGINT AS first_word, b.hi::BIGINT AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(l.labels, '') AS labels,
+        coalesce(f.cover, CASE WHEN b.n > 0 THEN 0.5 ELSE 0.0 END)::DOUBLE AS score
+    FROM d LEFT JOIN b USING (rn) LEFT JOIN f USING (rn) LEFT JOIN l USING (rn)"""
+
+
+LICENSE_SCAN = _license_scan()
+
 NEAR_DEDUP = r"""
     WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
     s AS (SELECT DISTINCT doc_id, hash(CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 4], ' ') END) AS h

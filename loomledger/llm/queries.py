@@ -74,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_license_scan": oracles.LICENSE_SCAN,
         "op5_suffix_dedup": oracles.SUFFIX_DEDUP,
         "op6_warc": oracles.WARC,
         "op7_decontaminate": oracles.DECONTAMINATE,
