@@ -9,8 +9,8 @@ opened before counts on. The trial's bin is priced at the smallest permitted
 length that holds it; should pieces go elsewhere after all, where they fit
 better, the bin shrinks likewise at the end (not seen to happen in random tables).
 
-Bins are filled within shards of about SHARD pieces, dealt by a hash of id and
-piece, so that no task or group grows with the input; the number of shards
+Bins are filled within shards of about SHARD pieces, dealt by a hash of row and
+piece (so that rows without an id or of one id spread too), so that no task or group grows with the input; the number of shards
 follows a count of the pieces. Only lengths travel, never texts.
 
 Defined cases: null, empty and blank texts have no tokens and go to no bin (bin
@@ -126,12 +126,12 @@ def _pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """Per piece of each row: doc_id, piece, n_tokens (words), bin, capacity, start within the bin."""
     most = max(CAPACITIES)
-    lengths = written(docs.select("doc_id", F.size(space_words(F.col("text"))).alias("n")), "pack_lengths")
+    lengths = written(docs.select("doc_id", F.monotonically_increasing_id().alias("row"), F.size(space_words(F.col("text"))).alias("n")), "pack_lengths")
     total = lengths.agg(F.sum(F.greatest(F.ceil(F.col("n") / most), F.lit(1)))).first()[0] or 0
     shards = max(1, -(-int(total) // SHARD))
-    pieces = lengths.filter("n > 0").select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("int").alias("n_tokens"))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    pieces = lengths.filter("n > 0").select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("int"))).alias("piece"))
+    pieces = pieces.select("doc_id", "row", "piece", F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("int").alias("n_tokens"))
+    dealt = pieces.select("doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))
     return (
         dealt.groupBy("shard").applyInPandas(_pack_shard, _SCHEMA)
         .unionByName(lengths.filter("n = 0").selectExpr("doc_id", "0 as piece", "0 as n_tokens", "cast(null as string) as bin", "cast(null as int) as capacity", "0 as start"))
