@@ -7,8 +7,10 @@ network is trained here in numpy by backpropagation through time, with the
 language of the document as every position's label.
 
 Learning uses every language that has a text that is not held out and not empty,
-and of each at most SAMPLE documents, the first by a hash of the id; many
-languages share ROWS documents, at least FEWEST each. The states grow with the
+and of each at most SAMPLE documents, the first by a hash of the id, and of a
+document at most CHARS characters from a place that the hash gives; many
+languages share ROWS documents, at least FEWEST each. These bound what is learned
+from, never what is labelled. The states grow with the
 languages. Windows that a text's end leaves partial are learned with a mask. Prediction
 reads every byte of every text; windows, not texts, are the unit of work, so
 that very long texts need no more memory.
@@ -36,6 +38,8 @@ SAMPLE = 400
 #: Documents that all languages share, and the least that each has.
 ROWS = 28_000
 FEWEST = 16
+#: Characters that one document gives to learning.
+CHARS = 4000
 STEPS = 220
 BATCH = 256
 RATE = 0.02
@@ -176,14 +180,14 @@ def gradients(model: Model, x: np.ndarray, labels: np.ndarray, valid: np.ndarray
     return loss / n, {"wf": dwf, "uf": duf, "wb": dwb, "ub": dub, "v": dv, "c": dc}
 
 
-def fit(texts: list[str], labels: list[int], n_languages: int) -> Model:
-    """Train on windows drawn evenly over languages."""
+def fit(texts: list[str], labels: list[int], n_languages: int) -> Model | None:
+    """Train on windows drawn evenly over languages; no model without a window."""
     x, valid, owner = windows_of(texts)
     model = new_model(n_languages)
     lab = np.array(labels)[owner]
     pools = [p for k in range(n_languages) if len(p := np.flatnonzero(lab == k))]
     if not pools:
-        return model
+        return None
     r = np.random.default_rng(SEED)
     m, s = ({k: np.zeros_like(w) for k, w in model.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
@@ -208,10 +212,9 @@ def train(docs: DataFrame) -> tuple[list[str], Model | None]:
     most = min(SAMPLE, max(FEWEST, ROWS // len(languages)))
     first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")  # top-k by hash, of ids alone
     chosen = known.select("lang", "doc_id").withColumn("_at", F.row_number().over(first)).filter(F.col("_at") <= most).select("lang", "doc_id")
-    # at most SAMPLE ids a language; a text adds at most 4,000 characters, from a place that the id's hash gives
-    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - 4000, F.lit(0)) + 1).cast("int") + 1
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - CHARS, F.lit(0)) + 1).cast("int") + 1
     texts = docs.select("doc_id", "lang", "text").join(F.broadcast(chosen.distinct()), ["doc_id", "lang"]).filter(F.col("text") != "")
-    rows = [(r["lang"], r["doc_id"], r["t"]) for r in texts.select("lang", "doc_id", F.substring("text", at, F.lit(4000)).alias("t")).dropDuplicates(["lang", "doc_id"]).collect()]
+    rows = [(r["lang"], r["doc_id"], r["t"]) for r in texts.select("lang", "doc_id", F.substring("text", at, F.lit(CHARS)).alias("t")).dropDuplicates(["lang", "doc_id"]).collect()]
     rows.sort()
     if not rows:
         return languages, None
