@@ -30,7 +30,7 @@ def canonical(e: dict[str, Column]) -> Column:
 
 
 #: Payloads whose text Spark's variants would print otherwise: exponents, digits as keys, escapes, or doubled keys (which do not parse).
-_ODD = r'[eE][+-]?\d|"\d+"\s*:|\\|[\x{2028}\x{2029}\x{10000}-\x{10FFFF}]|\.\d{15,}|\.\d*0[,}\]\s]|\d{17,}|-0[,}\]\s]'
+_ODD = r'(?<=[\d.])[eE][+-]?\d|"\d+"\s*:|\\|[\x{2028}\x{2029}\x{10000}-\x{10FFFF}]|\.\d{15,}|\.\d*0[,}\]\s]|\d{17,}|-0[,}\]\s]'
 
 
 def sorted_json(payload: Column) -> Column:
@@ -45,9 +45,11 @@ def number_json(x: float | int | bool | None) -> str:
     """A number as ECMAScript prints it."""
     if isinstance(x, int):
         x = float(x) if abs(x) > 1 << 53 else x
-    if isinstance(x, int) or x == int(x) and abs(x) < 1e21:
-        return str(int(x))
+    if isinstance(x, int):
+        return str(x)
     digits, _, exponent = repr(x).partition("e")
+    if x == int(x) and abs(x) < 1e21:  # the shortest digits that name it, then zeros
+        return ("-" if x < 0 else "") + digits.lstrip("-").replace(".", "").ljust(int(exponent) + 1, "0") if exponent else str(int(x))
     if not exponent:
         return digits
     n = int(exponent)

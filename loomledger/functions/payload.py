@@ -41,5 +41,18 @@ def optional(v: Column, *fields: str) -> Column:
 
 
 def number_text(x: Column) -> Column:
-    """A number as logs print it: whole ones without a fraction."""
-    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(x.cast("string"))
+    """A number as ECMAScript prints it: whole ones below 1e21 without a fraction, exponents only from there and below 1e-6. Digits are the JVM's; before Java 19 some doubles get one more than the shortest."""
+    text = x.cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa = F.regexp_replace(F.regexp_extract(text, r"^-?([\d.]+)E", 1), r"\.0$", "")
+    digits, n = F.regexp_replace(mantissa, r"\.", ""), F.regexp_extract(text, r"E(-?\d+)$", 1).try_cast("int")
+    long_ = F.concat(sign, F.rpad(digits, n + 1, "0"))
+    short = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -n - 1), digits)
+    return (
+        F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string"))
+        .when(n.isNull(), text)
+        .when((n >= 0) & (n < 21) & (F.length(digits) <= n + 1), long_)
+        .when((n >= 0) & (n < 21), F.concat(sign, F.substring(digits, F.lit(1), n + 1), F.lit("."), F.substring(digits, n + 2, F.length(digits))))
+        .when((n < 0) & (n >= -7 + 1), short)
+        .otherwise(F.concat(sign, mantissa, F.when(n > 0, "e+").otherwise("e-"), F.abs(n).cast("string")))
+    )

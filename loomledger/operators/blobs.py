@@ -33,6 +33,36 @@ def damaged(blobs: DataFrame) -> DataFrame:
     return blobs.filter(key(F.col("content")) != F.col("key")).select("key")
 
 
+def put(blobs: DataFrame, refs: DataFrame, content: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(blobs (key, content), refs (key, refs)) with new contents (content): each row is one reference, equal contents are one blob."""
+    rows = content.select(key(F.col("content")).alias("key"), "content")
+    new = rows.join(blobs.select("key"), "key", "left_anti").dropDuplicates(["key"])
+    return blobs.unionByName(new), counted(refs, rows.select("key", F.lit(1).cast("long").alias("refs")))
+
+
+def counted(refs: DataFrame, changes: DataFrame) -> DataFrame:
+    """refs with changes (key, refs: more or fewer) added up; keys without references are gone."""
+    return refs.unionByName(changes).groupBy("key").agg(F.sum("refs").alias("refs")).filter("refs > 0")
+
+
+def linked(refs: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(refs, unknown): links (+1) and unlinks (-1) of known keys applied; keys without a reference are refused."""
+    unknown = changes.join(refs.select("key"), "key", "left_anti").select("key").distinct()
+    return counted(refs, changes.join(refs.select("key"), "key", "left_semi")), unknown
+
+
+def fetched(wanted: DataFrame, blobs: DataFrame, refs: DataFrame, quarantined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, content) of wanted keys that are referenced, stored, not quarantined and whole; (key) that were found damaged and join the quarantine)."""
+    rows = wanted.select("key").distinct().join(refs.select("key"), "key", "left_semi").join(quarantined.select("key"), "key", "left_anti").join(blobs, "key")
+    whole = key(F.col("content")) == F.col("key")
+    return rows.filter(whole).select("key", "content"), rows.filter(~whole).select("key")
+
+
+def stats(blobs: DataFrame, refs: DataFrame) -> DataFrame:
+    """(key, size, refcount) of every referenced blob that is stored."""
+    return refs.join(blobs.select("key", F.octet_length("content").cast("long").alias("size")), "key").select("key", "size", F.col("refs").alias("refcount"))
+
+
 def quota(events: DataFrame, limit: int, estimate: int) -> DataFrame:
     """One row: bytes used, limit, and whether one more event of the estimated size still fits."""
     used = F.coalesce(F.sum(F.octet_length("payload").cast("long")), F.lit(0).cast("long"))

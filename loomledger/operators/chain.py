@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomledger.functions.canonical import FIELDS, event_hash, hash_of
+from loomledger.operators.neighbours import before
 from loomledger.schema import GENESIS
 
 
@@ -41,27 +42,35 @@ def chained(events: DataFrame, log: str, tips: dict[str, tuple[int, str]] | None
     return ordered.mapInPandas(link, f"{schema}, prev_hash string, hash string")
 
 
-def checked(events: DataFrame, log: str, order: str = "pos", gaps: DataFrame | None = None) -> DataFrame:
-    """events with `fault` (null: fine): every check needs only the row before, in file order. gaps: (log, seq) that quarantined lines left."""
-    w = Window.partitionBy(log).orderBy(order)
-    rows = events.withColumn("_hash", event_hash())
-    rows = rows.withColumns({"_prev": F.coalesce(F.lag("hash").over(w), F.lit(GENESIS)), "_expect": F.coalesce(F.lag("seq").over(w) + 1, F.lit(1))})
+def checked(events: DataFrame, log: str, order: str = "pos", gaps: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
+    """events with `fault` (null: fine): every check needs only the row before, in file order.
+
+    gaps: (log, seq) that quarantined lines left. markers: (log, truncated_before, tip) of logs whose start was swept; others start at 1 from GENESIS.
+    """
+    rows = before(events.withColumn("_hash", event_hash()), log, order, "_before", "hash", "seq")
+    first, base = F.lit(1), F.lit(GENESIS)
+    if markers is not None:
+        m = markers.select(F.col(log).alias("_marked"), F.col("truncated_before").alias("_first"), F.col("tip").alias("_base"))
+        rows = rows.join(m, F.col(log) == F.col("_marked"), "left").drop("_marked")
+        first, base = F.coalesce("_first", first), F.coalesce("_base", base)
+    rows = rows.withColumns({"_prev": F.coalesce("_before.hash", base), "_expect": F.coalesce(F.col("_before.seq") + 1, first)})
     if gaps is None:
         rows = rows.withColumn("_gap", F.lit(False))
     else:
         marks = gaps.select(log, "seq").distinct().withColumn("_gap", F.lit(True))
         rows = rows.join(marks, [log, "seq"], "left").withColumn("_gap", F.coalesce("_gap", F.lit(False)))
+    # fixed values: what a fault is called
     fault = (
-        F.when(F.col("_hash") != F.col("hash"), "hash mismatch (tampered payload?)")
+        F.when(F.col("_hash").isNull() | ~F.col("_hash").eqNullSafe(F.col("hash")), "hash mismatch (tampered payload?)")
         .when(F.col("seq") < F.col("_expect"), "duplicate seq (forked/edited log?)")
         .when((F.col("seq") > F.col("_expect")) & ~F.col("_gap"), "seq gap (truncated/edited log?)")
-        .when((F.col("prev_hash") != F.col("_prev")) & ~F.col("_gap"), "prev_hash mismatch (truncated/edited log?)")
+        .when(~F.col("prev_hash").eqNullSafe(F.col("_prev")) & ~F.col("_gap"), "prev_hash mismatch (truncated/edited log?)")
     )
-    return rows.withColumn("fault", fault).drop("_hash", "_prev", "_expect", "_gap")
+    return rows.withColumn("fault", fault).drop("_hash", "_before", "_prev", "_expect", "_gap", "_first", "_base")
 
 
-def verdicts(events: DataFrame, log: str, order: str = "pos", gaps: DataFrame | None = None) -> DataFrame:
+def verdicts(events: DataFrame, log: str, order: str = "pos", gaps: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:
     """(log, ok, at, reason): each log's first fault in file order."""
     first = F.min(F.when(F.col("fault").isNotNull(), F.struct(order, F.col("seq").alias("at"), F.col("fault").alias("reason"))))
-    out = checked(events, log, order, gaps).groupBy(log).agg(first.alias("f"))
+    out = checked(events, log, order, gaps, markers).groupBy(log).agg(first.alias("f"))
     return out.select(log, F.col("f").isNull().alias("ok"), "f.at", "f.reason")

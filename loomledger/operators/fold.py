@@ -41,6 +41,7 @@ class Fold:
             F.min(F.when(~is_undo, F.col("seq"))).alias("first_step"),
             F.min_by(F.when(~is_undo, F.col("type")), F.when(~is_undo, F.col("seq"))).alias("step"),
         )
+        self._moves: DataFrame | None = None
         domain = self.events.filter(F.col("type").isin(DOMAIN)).drop("target")
         self._domain = domain.join(self._refs, domain["id"] == self._refs["target"], "left").drop("target")
 
@@ -55,7 +56,12 @@ class Fold:
         )
 
     def moves_in_full(self) -> DataFrame:
-        """(seq, event_id, item, qty signed, voided, underflow, on_hand, first_undo)."""
+        """(seq, event_id, item, qty signed, voided, underflow, on_hand, first_undo); folded once and stored, since four views read it."""
+        if self._moves is None:
+            self._moves = written(self._folded(), "moves")
+        return self._moves
+
+    def _folded(self) -> DataFrame:
         m = self._domain.filter(F.col("type").isin(ADD, REMOVE))
         sign = F.when(F.col("type") == ADD, 1.0).otherwise(-1.0)
         m = m.select("seq", "id", "item", (sign * F.col("qty")).alias("qty"), (F.col("type") == REMOVE).alias("remove"), "first_undo")

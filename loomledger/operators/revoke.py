@@ -53,21 +53,25 @@ def verified(events: DataFrame, admins: DataFrame) -> DataFrame:
 def merged(known: DataFrame, remote: DataFrame, name: str = "revokes") -> tuple[DataFrame, dict[str, int]]:
     """known plus what of remote hangs, through any number of prevs, on it or on the root; and {added, skipped, rejected}.
 
-    Each pass adds one generation by a join; passes end when none is added. A
-    hash that stands twice in remote counts once as added, then as skipped.
+    Every pass doubles how far back each event looks (its prev's prev, and so on), so that a chain of n takes log n passes.
+    A hash that stands twice in remote counts once as added, then as skipped.
     """
     total = remote.count()
     new = written(remote.select(*_COLUMNS).dropDuplicates(["hash"]).join(known.select("hash"), "hash", "left_anti"), name)
-    reached = written(known.select(*_COLUMNS), name)
-    edge = reached.select("hash").unionByName(known.sparkSession.createDataFrame([(ROOT,)], "hash string"))
-    while True:
-        step = written(new.join(edge.select(F.col("hash").alias("prev")).distinct(), "prev", "left_semi").join(reached.select("hash"), "hash", "left_anti").select(*_COLUMNS), name)
-        if step.isEmpty():
+    sure = known.select("hash").unionByName(known.sparkSession.createDataFrame([(ROOT,)], "hash string")).distinct()
+    # `up`: the furthest ancestor seen so far; null once it is known to be the root's or known's
+    now = written(new.select("hash", "prev").join(sure.select(F.col("hash").alias("prev"), F.lit(True).alias("_sure")), "prev", "left").select("hash", F.when(F.col("_sure").isNull(), F.col("prev")).alias("up")), name)
+    open_ = now.filter("up is not null").count()
+    for _ in range(open_.bit_length() + 1):  # what still looks up after so many passes goes round in a circle
+        above = now.select(F.col("hash").alias("up"), F.col("up").alias("_next"))
+        step = written(now.filter("up is not null").join(above, "up").select("hash", F.col("_next").alias("up")).unionByName(now.filter("up is null")), name)
+        now = step
+        if now.filter("up is not null").isEmpty():
             break
-        reached, edge = written(reached.unionByName(step), name), step.select("hash")
-    added = reached.count() - known.count()
-    lost = new.join(reached.select("hash"), "hash", "left_anti").count()
-    return reached, {"added": added, "skipped": total - added - lost, "rejected": lost}
+    reached = now.filter("up is null").select("hash")
+    out = written(known.select(*_COLUMNS).unionByName(new.join(reached, "hash", "left_semi").select(*_COLUMNS)), name)
+    added = out.count() - known.count()
+    return out, {"added": added, "skipped": total - added - (new.count() - added), "rejected": new.count() - added}
 
 
 def dangling(events: DataFrame) -> DataFrame:
@@ -89,3 +93,28 @@ def is_revoked(tokens: DataFrame, events: DataFrame) -> DataFrame:
     """tokens (token_id, epoch) plus `revoked`: an event of the token has its epoch or a later one."""
     top = events.groupBy("token_id").agg(F.max("epoch").alias("_top"))
     return tokens.join(top, "token_id", "left").withColumn("revoked", F.coalesce(F.col("_top") >= F.col("epoch"), F.lit(False))).drop("_top")
+
+
+def snapshot(events: DataFrame) -> DataFrame:
+    """All events by epoch, then hash: what another replica merges."""
+    return events.orderBy("epoch", "hash")
+
+
+def since(events: DataFrame, cursor: int) -> tuple[DataFrame, int]:
+    """(events in order of arrival (column pos, from 0) behind the cursor, new cursor). A cursor beyond the log is an error."""
+    size = events.count()
+    if isinstance(cursor, bool) or not isinstance(cursor, int) or not 0 <= cursor <= size:
+        raise ValueError(f"revoke rejected: bad cursor {cursor}")
+    return events.filter(F.col("pos") >= cursor), size
+
+
+def exchanged(local: DataFrame, relay: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides after a handshake: the local log takes the relay's events, then the relay what it lacks."""
+    mine, _ = merged(local, relay)
+    theirs, _ = merged(relay, mine)
+    return mine, theirs
+
+
+def sidecar(df: DataFrame) -> DataFrame:
+    """Revocations of a JSON-lines text (column raw) in columns; lines that do not parse are left out."""
+    return df.select(F.from_json("raw", SIGNED).alias("e")).filter("e.hash is not null and e.prev is not null").select("e.*")

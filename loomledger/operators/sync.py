@@ -87,6 +87,40 @@ def purge(log: DataFrame, revoked: DataFrame, already: DataFrame, cursor: int) -
     return {"scanned": new.count(), "quarantined": ids.count()}, ids
 
 
+def evidence(known: DataFrame, events: DataFrame, reasons: DataFrame, now: int) -> DataFrame:
+    """The quarantine (event_id, reason, ts, event as JSON) with the events that reasons (event_id, reason) name; what is known stays as it is."""
+    new = reasons.groupBy("event_id").agg(F.min("reason").alias("reason")).join(known.select("event_id"), "event_id", "left_anti")
+    body = F.to_json(F.struct(*[F.col(c) for c in events.columns]))
+    rows = events.withColumn("_event", body).select(F.col("id").alias("event_id"), F.col("_event").alias("event")).dropDuplicates(["event_id"])
+    return known.unionByName(new.join(rows, "event_id", "left").select("event_id", "reason", F.lit(now).cast("long").alias("ts"), F.coalesce("event", "event_id").alias("event")))
+
+
+def listed_evidence(quarantine: DataFrame) -> DataFrame:
+    """The quarantine, oldest first."""
+    return quarantine.select("event_id", "reason", "ts", "event").orderBy("ts", "event_id")
+
+
+def is_quarantined(quarantine: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (id) with `quarantined`."""
+    known = quarantine.select(F.col("event_id").alias("id")).distinct().withColumn("_known", F.lit(True))
+    return ids.join(known, "id", "left").select("id", F.coalesce("_known", F.lit(False)).alias("quarantined"))
+
+
+def fingerprint(revoked: DataFrame, version: int | str | None = None) -> str:
+    """One text for a set of revoked devices (a digest that does not depend on their order) and the version of what else revokes."""
+    row = revoked.select("device_id").distinct().agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("device_id").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+    return f"{row['n']}:{row['h']}|{'' if version is None else version}"
+
+
+def purged(log: DataFrame, revoked: DataFrame, already: DataFrame, meta: dict[str, str], version: int | str | None = None) -> tuple[dict, DataFrame, dict[str, str]]:
+    """purge() behind the cursor kept in meta, or from the start if what is revoked has changed: (counts, ids, new meta)."""
+    print_ = fingerprint(revoked, version)
+    since = int(meta.get("sync.purge_seq", 0)) if meta.get("sync.purge_revoke_fp") == print_ else 0
+    counts, ids = purge(log, revoked, already, since)
+    top = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m")).first()["m"]
+    return counts, ids, meta | {"sync.purge_seq": str(max(since, top)), "sync.purge_revoke_fp": print_}
+
+
 def relay_order(not_before: list[int], now: int) -> list[int]:
     """Relays in list order, those still cooling down last."""
     return sorted(range(len(not_before)), key=lambda i: now < not_before[i])

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomledger.schema import HIDE, SHOW
+from loomledger.sources.scratch import written
 
 
 def operations(events: DataFrame) -> DataFrame:
@@ -56,12 +57,74 @@ def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "_island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_island")
 
 
-def guard_seal(events: DataFrame, log: DataFrame, held: DataFrame, sealed: int, ack: int) -> int:
-    """The largest seal up to min(sealed, ack) that sweeps nothing unapplied or held and parts no operation from its target."""
+def _clamped(events: DataFrame, log: DataFrame, sealed: int, ack: int) -> int:
     seal = min(sealed, ack)
     gap = first_unapplied(log.filter(F.col("seq") <= seal), events)
-    seal = seal if gap is None else min(seal, gap - 1)
+    return seal if gap is None else min(seal, gap - 1)
+
+
+def guard_seal(events: DataFrame, log: DataFrame, held: DataFrame, sealed: int, ack: int) -> int:
+    """The largest seal up to min(sealed, ack) that sweeps nothing unapplied or held and parts no operation from its target."""
+    seal = _clamped(events, log, sealed, ack)
     low = holds(held, events).filter(F.col("seq") <= seal).agg(F.min("seq")).first()[0]
     seal = seal if low is None else low - 1
     inside = islands(pairs(events)).filter((F.col("lo") <= seal) & (F.col("hi") >= seal)).agg(F.min("lo")).first()[0]
     return max(0, seal if inside is None else inside - 1)
+
+
+def guard(events: DataFrame, log: DataFrame, held: DataFrame, sealed: int, ack: int) -> tuple[int, DataFrame, list[tuple[int, int]]]:
+    """The seal of guard_seal() and what forced it down: holds with `blocks`, and the pairs (target's seq, operation's seq) that a seal on the way would have parted.
+
+    A hold blocks if it lies at or below the seal that those of earlier ids left. Of several parted pairs the
+    earliest operation's moves the seal; only the island around the seal is searched.
+    """
+    clamp = _clamped(events, log, sealed, ack)
+    w = Window.partitionBy("_all").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = holds(held, events).withColumn("_all", F.lit(0))  # holds are set by hand, one by one
+    left = F.least(F.lit(clamp), F.coalesce(F.min(F.when(F.col("seq") <= clamp, F.col("seq"))).over(w) - 1, F.lit(clamp)))
+    blocked = rows.withColumn("blocks", F.coalesce(F.col("seq") <= left, F.lit(False))).drop("_all")
+    low = blocked.filter("blocks").agg(F.min("seq")).first()[0]
+    seal = clamp if low is None else low - 1
+    effective = guard_seal(events, log, held, sealed, ack)
+    parted: list[tuple[int, int]] = []
+    if effective < seal:
+        ops = operations(events).select(F.col("seq").alias("op_seq"), "target")
+        both = ops.join(events.select(F.col("id").alias("target"), F.col("seq").alias("target_seq")), "target").select("target_seq", "op_seq")
+        near = written(both.filter((F.least("target_seq", "op_seq") <= seal) & (F.greatest("target_seq", "op_seq") > effective)), "island")
+        while seal > effective:  # as often as pairs are reported
+            pair = near.filter((F.col("target_seq") <= seal) != (F.col("op_seq") <= seal)).agg(F.min(F.struct("op_seq", "target_seq")).alias("p")).first()["p"]
+            if pair is None:
+                break
+            parted.append((pair["target_seq"], pair["op_seq"]))
+            seal = max(0, min(parted[-1]) - 1)
+    return effective, blocked, parted
+
+
+def planned(requests: DataFrame, events: DataFrame) -> DataFrame:
+    """requests (id, op: hide or show) with what is to be done: `error`, or `existing` (the first hide, if it is hidden already), or a new event's `type` and `payload`."""
+    stored = events.select("id").distinct().withColumn("_stored", F.lit(True))
+    hidden = hidden_ids(events).select(F.col("target").alias("id"), F.lit(True).alias("_hidden"))
+    first = operations(events).filter("op = 'hide'").groupBy(F.col("target").alias("id")).agg(F.min_by("event_id", "seq").alias("_first"))
+    rows = requests.join(stored, "id", "left").join(hidden, "id", "left").join(first, "id", "left")
+    hide = F.col("op") == "hide"
+    error = F.when(hide & F.col("_stored").isNull(), F.concat(F.lit("ERR_UNKNOWN_TARGET: tombstone.hide needs a stored event id (got "), "id", F.lit(")"))).when(
+        ~hide & F.col("_hidden").isNull(), F.concat(F.lit("ERR_NOT_HIDDEN: tombstone.show needs a hidden event id (got "), "id", F.lit(")"))
+    )
+    rows = rows.withColumn("error", error).withColumn("existing", F.when(hide & F.col("error").isNull() & F.col("_hidden"), F.col("_first")))
+    new = F.col("error").isNull() & F.col("existing").isNull()
+    payload = F.to_json(F.when(hide, F.struct(F.col("id").alias("hides"), F.lit(None).cast("string").alias("shows"))).otherwise(F.struct(F.lit(None).cast("string").alias("hides"), F.col("id").alias("shows"))))
+    return rows.select("id", "op", "error", "existing", F.when(new, F.when(hide, HIDE).otherwise(SHOW)).alias("type"), F.when(new, payload).alias("payload"))
+
+
+def held_after(held: DataFrame, set_: DataFrame, released: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(holds, refused): holds (id, reason) with new ones set and some released; a hold of an event that is not stored is refused."""
+    known = events.select("id").distinct()
+    refused = set_.join(known, "id", "left_anti").select("id", F.concat(F.lit("ERR_UNKNOWN_TARGET: hold needs a stored event id (got "), "id", F.lit(")")).alias("error"))
+    new = set_.join(known, "id", "left_semi").dropDuplicates(["id"]).select("id", "reason")
+    old = held.join(new.select("id"), "id", "left_anti").select("id", "reason")
+    return old.unionByName(new).join(released.select("id"), "id", "left_anti"), refused
+
+
+def is_held(held: DataFrame, ids: DataFrame) -> DataFrame:
+    """ids (id) with `held`."""
+    return ids.join(held.select("id").distinct().withColumn("_held", F.lit(True)), "id", "left").select("id", F.coalesce("_held", F.lit(False)).alias("held"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomledger.functions import payload as p
+from loomledger.functions.canonical import event_hash
 from loomledger.schema import ADD, APPEND_STATES, ENTRY, HIDE, REMOVE, SHOW, TRANSITIONS, UNDO
 from loomledger.sources.scratch import written
 
@@ -47,6 +48,25 @@ def typed(events: DataFrame) -> DataFrame:
     return rows.withColumn("poison_reason", reason).drop("_object")
 
 
+def gated(rows: DataFrame, swept_ids: DataFrame) -> DataFrame:
+    """typed rows whose `poison_reason` also tells ids that were excised and must not come back, and hashes that do not fit (only such as are 64 hex digits)."""
+    gone = swept_ids.select(F.col("id").alias("_swept")).distinct()
+    rows = rows.join(gone, F.col("id") == F.col("_swept"), "left")
+    wrong = F.coalesce(F.col("hash").rlike("^[0-9a-f]{64}$") & (event_hash() != F.col("hash")), F.lit(False))
+    # fixed values: what a refusal is called
+    reason = (
+        F.when(F.col("_swept").isNotNull(), F.concat(F.lit("swept id reused: "), "id", F.lit(" was excised and must not be re-appended")))
+        .when(wrong, F.concat(F.lit("tamper rejected: hash mismatch for event "), "id", F.lit(" (seq "), F.col("seq").cast("string"), F.lit(")")))
+    )
+    return rows.withColumn("poison_reason", F.coalesce("poison_reason", reason)).drop("_swept")
+
+
+def corrupt(events: DataFrame) -> DataFrame:
+    """(event_id, reason) of stored events whose payload is no JSON object; their rows leave the views like a quarantined event's."""
+    bad = ~F.coalesce(p.kind_of(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
+    return events.filter(bad).select(F.col("id").alias("event_id"), F.concat(F.lit("corrupt-payload seq="), F.col("seq").cast("string")).alias("reason"))
+
+
 def accepted(rows: DataFrame) -> DataFrame:
     """typed rows with `disposition`: applied, duplicate (a known id again), collision (a new id on a taken seq) or poison.
 

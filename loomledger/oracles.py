@@ -90,6 +90,30 @@ def oracle_sql() -> dict[str, str]:
         "chain_verify": f"""WITH {_LEDGER}, c AS (SELECT actor, substr(actor, 2)::BIGINT % 5 AS k, count(*) AS n FROM ev GROUP BY actor)
             SELECT actor, NOT ((k = 1 AND n > 3) OR (k = 2 AND n >= 2)) AS ok, CASE WHEN k = 1 AND n > 3 THEN 4 WHEN k = 2 AND n >= 2 THEN 2 END::BIGINT AS at,
                 CASE WHEN k = 1 AND n > 3 THEN 'seq gap (truncated/edited log?)' WHEN k = 2 AND n >= 2 THEN 'hash mismatch (tampered payload?)' END AS reason FROM c""",
+        "truncate_verify": f"""WITH RECURSIVE {_CHAIN}, nn AS (SELECT actor, max(place) // 2 AS s, max(place) AS n FROM ch WHERE place > 0 GROUP BY actor)
+            SELECT nn.actor, NOT (substr(nn.actor, 2)::BIGINT % 5 = 2 AND s > 0) AS ok, CASE WHEN substr(nn.actor, 2)::BIGINT % 5 = 2 AND s > 0 THEN s + 1 END AS at,
+                CASE WHEN substr(nn.actor, 2)::BIGINT % 5 = 2 AND s > 0 THEN 'hash mismatch (tampered payload?)' END AS reason, CASE WHEN s > 0 THEN s + 1 END AS truncated_before, ch.hash AS tip, CASE WHEN s > 0 THEN s END AS removed
+            FROM nn LEFT JOIN ch ON ch.actor = nn.actor AND ch.place = nn.s AND s > 0""",
+        "gate_reasons": f"""WITH RECURSIVE {_CHAIN} SELECT ch.id, CASE WHEN ev.seq % 50 = 0 THEN 'swept id reused: ' || ch.id || ' was excised and must not be re-appended'
+            ELSE 'tamper rejected: hash mismatch for event ' || ch.id || ' (seq ' || place || ')' END AS poison_reason FROM ch JOIN ev ON ev.id = ch.id WHERE place > 0 AND (ev.seq % 50 = 0 OR place % 31 = 0)""",
+        "quarantine_corrupt": with_ledger + "SELECT id AS event_id, CASE WHEN seq % 970 = 0 THEN 'before' ELSE 'corrupt-payload seq=' || seq END AS reason, CASE WHEN seq % 970 = 0 THEN 1 ELSE 5 END::BIGINT AS ts FROM ev WHERE seq % 97 IN (0, 1)",
+        "purge_runs": with_ledger
+        + """, m AS (SELECT max(seq) AS top, max(seq) // 2 AS half FROM ev) SELECT 0 AS run, count(*) FILTER (seq <= half) AS scanned, count(*) FILTER (seq <= half AND device_id = 'd5') AS quarantined FROM ev, m
+            UNION ALL SELECT 1, 0, 0 UNION ALL SELECT 2, count(*) FILTER (seq > half), count(*) FILTER (seq > half AND device_id = 'd5') FROM ev, m UNION ALL SELECT 3, count(*), count(*) FILTER (device_id = 'd1') FROM ev""",
+        "guard_pairs": f"""WITH RECURSIVE {_LEDGER}, pr AS (SELECT t.seq AS t, o.seq AS o FROM ev o JOIN ev t ON t.id = o.target WHERE o.type IN ('tombstone.hide', 'tombstone.show')),
+            it AS (SELECT max(seq) // 2 AS e, NULL::BIGINT AS t, NULL::BIGINT AS o FROM ev UNION ALL SELECT greatest(0, least(arg_min(pr.t, pr.o), min(pr.o)) - 1), arg_min(pr.t, pr.o), min(pr.o) FROM it JOIN pr ON (pr.t <= e) <> (pr.o <= e) GROUP BY e)
+            SELECT t AS target_seq, o AS op_seq, (SELECT min(e) FROM it) AS effective FROM it WHERE t IS NOT NULL OR (SELECT count(*) FROM it) = 1""",
+        "hide_plans": with_ledger
+        + """, ops AS (SELECT seq, id, type, target FROM ev WHERE type IN ('tombstone.hide', 'tombstone.show')), hid AS (SELECT target FROM ops GROUP BY target HAVING arg_max(type, seq) = 'tombstone.hide'),
+            first AS (SELECT target, arg_min(id, seq) AS f FROM ops WHERE type = 'tombstone.hide' GROUP BY target), q AS (SELECT 'e' || (c_custkey * 10) AS id, CASE WHEN c_custkey % 3 = 0 THEN 'show' ELSE 'hide' END AS op FROM customer),
+            x AS (SELECT q.id, op, ev.id IS NOT NULL AS stored, hid.target IS NOT NULL AS hidden, f FROM q LEFT JOIN ev ON ev.id = q.id LEFT JOIN hid ON hid.target = q.id LEFT JOIN first ON first.target = q.id),
+            y AS (SELECT *, CASE WHEN op = 'hide' AND NOT stored THEN 'ERR_UNKNOWN_TARGET: tombstone.hide needs a stored event id (got ' || id || ')' WHEN op = 'show' AND NOT hidden THEN 'ERR_NOT_HIDDEN: tombstone.show needs a hidden event id (got ' || id || ')' END AS error FROM x),
+            z AS (SELECT *, CASE WHEN error IS NULL AND op = 'hide' AND hidden THEN f END AS existing FROM y)
+            SELECT id, op, error, existing, CASE WHEN error IS NULL AND existing IS NULL THEN 'tombstone.' || op END AS type, CASE WHEN error IS NULL AND existing IS NULL THEN '{"' || op || CASE op WHEN 'hide' THEN 's' ELSE 's' END || '":"' || id || '"}' END AS payload FROM z""",
+        "blob_store": """WITH d AS (SELECT doc_id, coalesce(text, '') AS c, sha256(coalesce(text, '')) AS key FROM documents)
+            SELECT key, max(octet_length(encode(c)))::BIGINT AS size, (count(*) + count(*) FILTER (doc_id % 4 = 0) - count(*) FILTER (doc_id % 4 = 1)) AS refcount FROM d GROUP BY key HAVING refcount > 0""",
+        "revoke_since": f"WITH {_REVOKES} SELECT hash, substr(hash, 2)::BIGINT AS pos FROM r WHERE pos >= 100",
+        "health": with_ledger + "SELECT count(*) AS events, 0 AS skipped, 0 AS quarantined, FALSE AS repaired_tail, 0 AS n_gaps FROM ev",
         "undo_targets": with_ledger + "SELECT u.id AS undo_id, u.seq AS undo_seq, u.target, t.type AS target_type, t.seq AS target_seq, u.seq < t.seq AS ahead FROM ev u LEFT JOIN ev t ON t.id = u.target WHERE u.type = 'undo.compensate'",
         "want_list": with_ledger + "SELECT seq AS pos, id FROM ev WHERE seq % 3 = 0",
         "want_merged": with_ledger + "SELECT CASE WHEN seq % 5 = 0 THEN 0 ELSE 1 END AS later, seq AS pos, id FROM ev WHERE seq % 3 = 0",
@@ -111,7 +135,7 @@ def oracle_sql() -> dict[str, str]:
         "device_registry": with_ledger + "SELECT CASE WHEN device_id IN ('d0', 'd2', 'd4') THEN 'accept' WHEN device_id IN ('d1', 'd3', 'd5') THEN 'reject' ELSE 'unknown' END AS verdict, count(*) AS n FROM ev GROUP BY 1",
         "failover_pull": "SELECT 'e' || event_id AS id, min(relay) AS relay, event_id + 1 AS pos FROM events, (SELECT unnest([0, 1, 2]) AS relay) WHERE (event_id + 1 + relay) % 4 <> 0 AND event_id + 1 > CASE relay WHEN 0 THEN 300 WHEN 1 THEN 50 ELSE 0 END GROUP BY event_id",
         "failover_cursors": "SELECT relay, CASE relay WHEN 1 THEN 1099511627776 ELSE greatest(max(event_id + 1), CASE relay WHEN 0 THEN 300 ELSE 0 END) END AS since FROM events, (SELECT unnest([0, 1, 2]) AS relay) WHERE (event_id + 1 + relay) % 4 <> 0 GROUP BY relay",
-        "failover_backfill": "SELECT event_id + 1 AS seq, 'e' || event_id AS id FROM events WHERE event_id + 1 <= 700 AND (event_id + 2) % 4 = 0",
+        "failover_backfill": "SELECT event_id + 1 AS seq, 'e' || event_id AS id FROM events WHERE event_id + 1 <= (SELECT (max(event_id) + 1) // 2 FROM events) AND (event_id + 2) % 4 = 0",
         "replay_dispositions": """SELECT event_id AS seq, 'e' || (event_id - event_id % 3) AS id, CASE WHEN event_type = 'error' THEN 'poison' WHEN row_number() OVER (PARTITION BY event_type = 'error', event_id - event_id % 3 ORDER BY event_id) = 1 THEN 'applied' ELSE 'duplicate' END AS disposition FROM events""",
         "authorize_tokens": """WITH a AS (SELECT event_id, user_id % 8 AS d, CASE WHEN event_id % 2 = 0 THEN 'relay:push' ELSE 'relay:pull' END AS scope FROM events)
             SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'missing capability token' WHEN d = 0 THEN 'device revoked: d0' WHEN d = 2 THEN 'token revoked: t2' WHEN d = 1 THEN 'unknown device: d1'
@@ -125,7 +149,7 @@ def oracle_sql() -> dict[str, str]:
         "seal_islands": f"""WITH {_LEDGER}, {_PAIRS}, w AS (SELECT lo, hi, max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM p),
             g AS (SELECT lo, hi, sum(CASE WHEN e IS NULL OR lo > e + 1 THEN 1 ELSE 0 END) OVER (ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM w) SELECT min(lo) AS lo, max(hi) AS hi FROM g GROUP BY g""",
         "held_events": with_ledger + "SELECT 'e' || (c_custkey * 7) AS id, c_mktsegment AS reason, ev.seq FROM customer LEFT JOIN ev ON ev.id = 'e' || (c_custkey * 7)",
-        "sweep": with_ledger + "SELECT count(*) FILTER (seq > 300) AS kept, min(seq) FILTER (seq > 300) AS first, sha256(arg_max(id, seq) FILTER (seq <= 300)) AS tip, 301::BIGINT AS truncated_before, max(seq) + 1 AS next_seq FROM ev",
+        "sweep": with_ledger + "SELECT count(*) FILTER (seq > 300) AS kept, min(seq) FILTER (seq > 300) AS first, sha256(arg_max(id, seq) FILTER (seq <= 300)) AS tip, 301::BIGINT AS truncated_before, 301::BIGINT AS next_seq FROM ev",
         "revoke_winners": f"WITH {_REVOKES} SELECT hash, prev, token_id, device_id, epoch FROM r QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY epoch DESC, hash) = 1",
         "revoke_dangling": f"WITH {_REVOKES} SELECT hash, prev FROM r WHERE prev <> 'REVOKE-GENESIS' AND prev NOT IN (SELECT hash FROM r)",
         "revoke_merge": f"WITH RECURSIVE {_REVOKES}, t AS (SELECT hash, prev FROM r WHERE prev = 'REVOKE-GENESIS' UNION SELECT r.hash, r.prev FROM r JOIN t ON r.prev = t.hash) SELECT hash, prev FROM t",

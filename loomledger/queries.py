@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomledger.functions import ed25519
 from loomledger.operators import auth, blobs, chain, retention, revoke, sync, tombstone
 from loomledger.operators.fold import Fold, rebuilt_tally
-from loomledger.operators.validate import accepted, typed
+from loomledger.operators.validate import accepted, corrupt, gated, typed
 from loomledger.plans.event_view import ledger, table
 from loomledger.session import Ledger
 from loomledger.sources.scratch import written
@@ -118,6 +118,11 @@ def event_point(spark, d):
     return Ledger(ledger(spark, d)).point("e77").select("seq", "id", "type", "actor", "payload")
 
 
+@_query
+def health(spark, d):
+    return Ledger(ledger(spark, d)).health().select("events", "skipped", "quarantined", "repaired_tail", F.size("gaps").alias("n_gaps"))
+
+
 @_query
 def max_seq(spark, d):
     return ledger(spark, d).agg(F.coalesce(F.max("seq"), F.lit(0)).alias("max_seq"))
@@ -165,6 +170,33 @@ def chain_verify(spark, d):
     return chain.verdicts(logs, "actor")
 
 
+def _chains(spark, d):
+    """Per-actor logs with real hashes."""
+    return written(chain.chained(ledger(spark, d), "actor"), "chains").withColumn("pos", F.col("seq"))
+
+
+@_query
+def truncate_verify(spark, d):
+    """Every actor's log swept to its middle, some tampered with behind the seal, and verified from its marker."""
+    logs = _chains(spark, d)
+    seals = written(logs.groupBy("actor").agg(F.floor(F.count("*") / 2).alias("sealed")), "seals")
+    rest, marks = retention.swept_logs(logs, seals, "actor")
+    marks = written(marks, "marks")
+    behind = (F.substring("actor", 2, 10).cast("long") % 5 == 2) & (F.col("seq") == F.col("truncated_before"))
+    rest = rest.join(marks.select("actor", "truncated_before"), "actor", "left").withColumn("ts_device", F.when(behind, F.col("ts_device") + 1).otherwise(F.col("ts_device"))).drop("truncated_before")
+    return chain.verdicts(rest, "actor", markers=marks).join(marks, "actor", "left").select("actor", "ok", "at", "reason", "truncated_before", "tip", "removed")
+
+
+@_query
+def gate_reasons(spark, d):
+    """Chained events, some changed after hashing and some excised before, at the gate of the fold."""
+    rows = _chains(spark, d)
+    rows = rows.withColumn("ts_device", F.when(F.col("seq") % 31 == 0, F.col("ts_device") + 1).otherwise(F.col("ts_device")))
+    swept = ledger(spark, d).filter("seq % 50 = 0")
+    out = gated(typed(rows), swept)
+    return out.filter("poison_reason is not null").select("id", "poison_reason")
+
+
 # joins and set algebra of replication
 
 
@@ -230,6 +262,28 @@ def purge_revoked(spark, d):
     return ids
 
 
+@_query
+def quarantine_corrupt(spark, d):
+    """Stored rows whose payload is no object any more, as evidence; some are known already."""
+    log = ledger(spark, d).withColumn("payload", F.when(F.col("seq") % 97 == 0, '{"value":').when(F.col("seq") % 97 == 1, "[1]").otherwise(F.col("payload")))
+    known = log.filter("seq % 970 = 0").select(F.col("id").alias("event_id"), F.lit("before").alias("reason"), F.lit(1).cast("long").alias("ts"), F.lit("{}").alias("event"))
+    return sync.evidence(known, log, corrupt(log), 5).select("event_id", "reason", "ts")
+
+
+@_query
+def purge_runs(spark, d):
+    """Four purges in a row: all, nothing new, a suffix, and all again since the revoked set has grown."""
+    log = ledger(spark, d).withColumn("origin_device", F.lit(""))
+    top = log.agg(F.max("seq")).first()[0]
+    devices = lambda *x: spark.createDataFrame([(i,) for i in x], "device_id string")
+    gone, meta, out = log.limit(0).select("id"), {}, []
+    for run, (until, revoked) in enumerate([(top // 2, ("d5",)), (top // 2, ("d5",)), (top, ("d5",)), (top, ("d5", "d1"))]):
+        counts, ids, meta = sync.purged(log.filter(F.col("seq") <= until), devices(*revoked), gone, meta)
+        out.append((run, counts["scanned"], counts["quarantined"]))
+        gone = written(gone.unionByName(ids), "gone")
+    return spark.createDataFrame(out, "run int, scanned long, quarantined long")
+
+
 @_query
 def excise(spark, d):
     f = _fold(spark, d)
@@ -296,7 +350,9 @@ def failover_cursors(spark, d):
 
 @_query
 def failover_backfill(spark, d):
-    return sync.backfill(_log(spark, d), _replicas(spark, d).filter("relay = 1"), 700).select("seq", "id")
+    """The relay is given half of the log as acknowledged."""
+    log = _log(spark, d)
+    return sync.backfill(log, _replicas(spark, d).filter("relay = 1"), log.agg(F.max("seq")).first()[0] // 2).select("seq", "id")
 
 
 @_query
@@ -369,6 +425,24 @@ def seal_islands(spark, d):
     return tombstone.islands(tombstone.pairs(written(typed(ledger(spark, d)), "typed")))
 
 
+@_query
+def guard_pairs(spark, d):
+    """What forces a seal down that two holds bound: the pairs it would part one after the other, and where it ends."""
+    rows = written(typed(ledger(spark, d)), "typed")
+    top = rows.agg(F.max("seq")).first()[0]
+    held = spark.createDataFrame([(f"e{top // 2}", "law"), (f"e{top // 2 + 7}", "law"), ("unknown", "law")], "id string, reason string")
+    effective, _, parted = tombstone.guard(rows, rows, held, top, top - 5)
+    return spark.createDataFrame([(t, o, effective) for t, o in parted] or [(None, None, effective)], "target_seq long, op_seq long, effective long")
+
+
+@_query
+def hide_plans(spark, d):
+    """Requests to hide and show, some of unknown, hidden or shown events."""
+    rows = written(typed(ledger(spark, d)), "typed")
+    asks = table(spark, d, "customer").select(F.concat(F.lit("e"), (F.col("c_custkey") * 10).cast("string")).alias("id"), F.when(F.col("c_custkey") % 3 == 0, "show").otherwise("hide").alias("op"))
+    return tombstone.planned(asks, rows)
+
+
 @_query
 def held_events(spark, d):
     held = table(spark, d, "customer").select(F.concat(F.lit("e"), (F.col("c_custkey") * 7).cast("string")).alias("id"), F.col("c_mktsegment").alias("reason"))
@@ -401,6 +475,13 @@ def revoke_merge(spark, d):
     return revoke.merged(rows.filter("epoch = 0 and prev = 'REVOKE-GENESIS'"), rows)[0].select("hash", "prev")
 
 
+@_query
+def revoke_since(spark, d):
+    """The suffix of a revocation log behind a cursor, in order of arrival."""
+    rows = _revokes(spark, d).withColumn("pos", F.substring("hash", 2, 20).cast("long"))
+    return revoke.since(rows, 100)[0].select("hash", "pos")
+
+
 @_query
 def revoked_devices(spark, d):
     return revoke.revoked_devices(_revokes(spark, d))
@@ -427,6 +508,19 @@ def blob_garbage(spark, d):
     return blobs.collect_garbage(docs.filter("doc_id % 5 <> 0"), refs, docs.filter("doc_id % 33 = 0"))
 
 
+@_query
+def blob_store(spark, d):
+    """Texts put into a store, each row a reference; some linked once more, some unlinked, and what is left of them."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    none = docs.limit(0)
+    store, refs = blobs.put(none.select(blobs.key(F.col("content")).alias("key"), "content"), none.select(blobs.key(F.col("content")).alias("key"), F.lit(0).cast("long").alias("refs")), docs.select("content"))
+    store, refs = written(store, "blobs"), written(refs, "refs")
+    change = F.when(F.col("doc_id") % 4 == 0, 1).when(F.col("doc_id") % 4 == 1, -1).cast("long")
+    changes = docs.select(blobs.key(F.col("content")).alias("key"), change.alias("refs")).filter("refs is not null")
+    refs, _ = blobs.linked(refs, changes)
+    return blobs.stats(store, refs)
+
+
 @_query
 def quota(spark, d):
     return blobs.quota(ledger(spark, d), 1_000_000, 512)
@@ -452,7 +546,7 @@ _sql("sql_pricing", "lineitem", """SELECT l_returnflag, l_linestatus, COUNT(*) A
 _sql("sql_nation_orders", "orders customer nation region", """SELECT r_name, n_name, COUNT(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
     JOIN region ON r_regionkey = n_regionkey GROUP BY r_name, n_name""")
 _sql("sql_semi", "orders lineitem", "SELECT o_orderpriority, COUNT(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) GROUP BY o_orderpriority")
-_sql("sql_anti", "customer orders", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_sql("sql_anti", "customer orders", "SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 250000)")
 _sql("sql_in_like", "part", "SELECT p_partkey, p_brand, p_type FROM part WHERE p_size IN (1, 5, 9, 14) AND p_type LIKE 'S%'")
 _sql("sql_top_customers", "customer", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
 _sql("sql_top_per_nation", "supplier", "SELECT s_nationkey, s_suppkey FROM (SELECT s_nationkey, s_suppkey, ROW_NUMBER() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS k FROM supplier) t WHERE k <= 2")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: One event of a log; payload is kept as JSON text and parsed where it is read.
-EVENT = "id string, seq long, type string, actor string, device_id string, ts_device long, payload string, prev_hash string, hash string, origin_seq long, origin_device string, server_time long, signature string"
+EVENT = "id string, seq long, type string, actor string, device_id string, ts_device long, payload string, prev_hash string, hash string, origin_seq long, origin_device string, server_time long, signature string, countersignatures array<struct<deviceId:string,signatureHex:string>>"
 
 #: Event types, what a transition leads to, and states that an entry may be appended in.
 GENESIS = "GENESIS"

@@ -26,24 +26,51 @@ class Ledger:
         return dict(zip(VIEWS, (self._events, f.entries(), f.tally(), f.tally_moves(), f.conflicts(), f.records()), strict=True))
 
     def query(self, sql: str, params: dict[str, Any] | list | None = None) -> DataFrame:
-        """SELECT over the views; named parameters may be written :x, $x or @x, positional ones as ?."""
-        if not re.match(r"(?is)^\s*(select|with|values|table|from|\()", sql):
+        """SELECT over the views; named parameters may be written :x, $x or @x, positional ones as ?. What would change anything is refused before it runs."""
+        if isinstance(params, dict):
+            params = {k.lstrip("$:@"): v for k, v in params.items()}
+            sql = _QUOTED_OR_NAME.sub(lambda m: m[0] if m["quoted"] else f":{m['name']}", sql)
+        if not _only_reads(self.spark, sql):
             raise ValueError("only queries are run here; events are appended, settings have calls of their own")
         used = set(re.findall(r"\w+", sql))
         for name, df in self.views().items():
             if name in used:
                 df.createOrReplaceTempView(name)
-        if isinstance(params, dict):
-            names = {k.lstrip("$:@"): v for k, v in params.items()}
-            return self.spark.sql(re.sub(r"[$@](\w+)", r":\1", sql), args=names)
         return self.spark.sql(sql, args=params) if params else self.spark.sql(sql)
 
     def conflicts(self) -> DataFrame:
         return self.fold.conflicts().filter("status = 'open'")
 
-    def health(self) -> DataFrame:
-        """One row: events applied, events skipped as unfit."""
-        return self.fold.typed.agg(F.count_if(F.col("poison_reason").isNull()).alias("events"), F.count_if(F.col("poison_reason").isNotNull()).alias("skipped"))
+    def health(self, scan: DataFrame | None = None) -> DataFrame:
+        """One row: events, skipped as unfit, and from the log's scan: lines quarantined, torn tails repaired, and the seqs behind gaps."""
+        own = self.fold.typed.agg(F.count("*").alias("events"), F.count_if(F.col("poison_reason").isNotNull()).alias("skipped"))
+        if scan is None:
+            return own.withColumns({"quarantined": F.lit(0).cast("long"), "repaired_tail": F.lit(False), "gaps": F.array().cast("array<long>")})
+        of_log = scan.agg(
+            F.count_distinct(F.when(F.col("state").isin("bad", "torn"), F.sha2("raw", 256))).alias("quarantined"),
+            F.coalesce(F.bool_or(F.col("state") == "torn"), F.lit(False)).alias("repaired_tail"),
+            F.array_sort(F.collect_list(F.when(F.col("gap"), F.get_json_object("text", "$.seq").try_cast("long")))).alias("gaps"),
+        )
+        return own.crossJoin(F.broadcast(of_log))  # one row each
 
     def point(self, event_id: str) -> DataFrame:
         return self._events.filter(F.col("id") == event_id)
+
+
+#: Text that no parameter stands in (literals, names in quotes, comments), or a parameter.
+_QUOTED_OR_NAME = re.compile(r"""(?s)(?P<quoted>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/)|[$@](?P<name>\w+)""")
+_WRITES = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
+
+
+def _only_reads(spark: SparkSession, sql: str) -> bool:
+    """Whether the parsed statement holds no command and no write, at any depth."""
+    loader = spark._jvm.Thread.currentThread().getContextClassLoader()
+    writes = [loader.loadClass(name) for name in _WRITES]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        plan = todo.pop()
+        if any(c.isInstance(plan) for c in writes):
+            return False
+        for below in (plan.children(), plan.innerChildren()):
+            todo += [x for i in range(below.size()) if loader.loadClass("org.apache.spark.sql.catalyst.plans.logical.LogicalPlan").isInstance(x := below.apply(i))]
+    return True

@@ -1,37 +1,65 @@
-"""JSON-lines logs: scan with recovery, markers, quarantine, and writing."""
+"""JSON-lines logs: scan with recovery, markers, quarantine, sweeping and writing."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from loomledger.schema import EVENT
-
-MARKER = "fielog-truncate"
+from loomledger.functions.canonical import canonical_json
+from loomledger.operators.neighbours import before
+from loomledger.schema import EVENT, GENESIS
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(log, pos, raw): every line of every file with its place. A log is read whole, since places count from its start."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("log"), F.posexplode(F.split("value", "\n")).alias("pos", "raw"))
-    return whole.filter(F.trim("raw") != "")
-
-
-def scanned(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with `state`: event, marker, torn (bad last line) or bad, and `gap`: the first good event after bad lines."""
+    """(log, pos, raw): every line of every file with its place from 0. Files are split; a split's places follow the counts of those before it."""
+    raw = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"))
+    counts = raw.groupBy("log", "block").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("log").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = counts.select("log", "block", ahead.alias("ahead"))
+    rows = raw.withColumn("at", F.monotonically_increasing_id())
+    rows = rows.withColumn("within", F.row_number().over(Window.partitionBy("log", "block").orderBy("at")) - 1)
+    rows = rows.join(ahead, ["log", "block"]).select("log", (F.col("ahead") + F.col("within")).alias("pos"), "raw")
+    return rows.filter(F.trim("raw") != "")
+
+
+@F.udf(T.StringType(), useArrow=True)
+def _second_chance(text):
+    """What Spark's parser refuses but JSON allows: doubled keys, of which the last counts."""
+    return None if text is None else canonical_json(text)
+
+
+def _is_marker(v: Column, word: str | None) -> Column:
+    """A marker by its typed fields; `word`: what its `marker` field must say, any text if not given."""
+    kind = lambda f: F.schema_of_variant(F.try_variant_get(v, f"$.{f}", "variant"))
+    says = kind("marker") == "STRING"
+    if word is not None:
+        says &= F.try_variant_get(v, "$.marker", "string") == word
+    typed = (kind("tip") == "STRING") & (kind("truncated_before") == "BIGINT") & (kind("next_seq") == "BIGINT")
+    return F.coalesce(says & typed & (kind("v") == "BIGINT") & (F.try_variant_get(v, "$.v", "int") == 1), F.lit(False))
+
+
+def scanned(spark: SparkSession, path: str, word: str | None = None) -> DataFrame:
+    """Lines with `text` (what to parse), `state` (event, marker, torn (bad last line) or bad) and `gap`: the first good event after bad lines.
+
+    A line that is JSON but no object is bad. A marker ends a run of bad lines.
+    """
     rows = lines(spark, path).withColumn("_v", F.try_parse_json("raw"))
-    kind = lambda f: F.schema_of_variant(F.try_variant_get("_v", f"$.{f}", "variant"))
-    marker = (F.try_variant_get("_v", "$.marker", "string") == MARKER) & (F.try_variant_get("_v", "$.v", "int") == 1) & (kind("tip") == "STRING") & (kind("truncated_before") == "BIGINT") & (kind("next_seq") == "BIGINT")
-    w = Window.partitionBy("log").orderBy("pos")
-    rows = rows.withColumns({"_marker": F.coalesce(marker, F.lit(False)), "_bad": F.col("_v").isNull(), "_last": F.lead("pos").over(w).isNull()})
-    state = F.when(F.col("_marker"), "marker").when(F.col("_bad") & F.col("_last"), "torn").when(F.col("_bad"), "bad").otherwise("event")
-    rows = rows.withColumn("state", state)
-    gap = (F.col("state") == "event") & F.coalesce(F.lag("state").over(w) == "bad", F.lit(False))
-    return rows.withColumn("gap", gap).select("log", "pos", "raw", "state", "gap")
+    again = _second_chance(F.when(F.col("_v").isNull(), F.col("raw")))
+    rows = rows.withColumn("text", F.when(F.col("_v").isNull(), again).otherwise(F.col("raw")))
+    rows = rows.withColumn("_v", F.coalesce("_v", F.try_parse_json("text")))
+    bad = ~F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    ends = rows.groupBy("log").agg(F.max("pos").alias("_end"))
+    rows = rows.join(ends, "log")
+    state = F.when(_is_marker(F.col("_v"), word), "marker").when(bad & (F.col("pos") == F.col("_end")), "torn").when(bad, "bad").otherwise("event")
+    rows = before(rows.select("log", "pos", "raw", "text", state.alias("state")), "log", "pos", "_before", "state")
+    gap = (F.col("state") == "event") & F.coalesce(F.col("_before.state") == "bad", F.lit(False))
+    return rows.withColumn("gap", gap).drop("_before")
 
 
 def events(scan: DataFrame) -> DataFrame:
     """The scan's events in columns, with log, pos and gap; the payload stays JSON text."""
-    e = F.from_json("raw", EVENT)
+    e = F.from_json("text", EVENT)
     return scan.filter("state = 'event'").select("log", "pos", "gap", e.alias("e")).select("log", "pos", "gap", "e.*")
 
 
@@ -42,12 +70,41 @@ def quarantine(scan: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return bad if known is None else bad.join(known.select("sha"), "sha", "left_anti")
 
 
-def marker_of(scan: DataFrame) -> DataFrame:
+def markers(scan: DataFrame) -> DataFrame:
     """Per log its last marker: log, truncated_before, tip, next_seq."""
-    last = scan.filter("state = 'marker'").groupBy("log").agg(F.max_by("raw", "pos").alias("raw"))
-    return last.select("log", F.from_json("raw", "truncated_before long, tip string, next_seq long").alias("m")).select("log", "m.*")
+    last = scan.filter("state = 'marker'").groupBy("log").agg(F.max_by("text", "pos").alias("text"))
+    return last.select("log", F.from_json("text", "truncated_before long, tip string, next_seq long").alias("m")).select("log", "m.*")
+
+
+def tips(scan: DataFrame) -> DataFrame:
+    """Per log where it goes on: log, max_seq (one less than the next, even if all events are swept) and last_hash."""
+    last = events(scan).groupBy("log").agg(F.max("seq").alias("_seq"), F.max_by("hash", "pos").alias("_hash"))
+    logs = scan.select("log").distinct()
+    rows = logs.join(last, "log", "left").join(markers(scan), "log", "left")
+    return rows.select("log", F.greatest(F.coalesce("_seq", F.lit(0)), F.coalesce(F.col("next_seq") - 1, F.lit(0))).alias("max_seq"), F.coalesce("_hash", "tip", F.lit(GENESIS)).alias("last_hash"))
+
+
+def after(scan: DataFrame, seq: int) -> DataFrame:
+    """The scan's events behind a seq."""
+    return events(scan).filter(F.col("seq") > seq)
+
+
+def swept_lines(scan: DataFrame, seals: DataFrame, word: str) -> DataFrame:
+    """(log, pos, raw): what each log keeps below its seal (log, sealed): unreadable lines, later events, and at pos -1 a new marker.
+
+    Old markers go. A log from which nothing is removed stays as it is.
+    """
+    seq = F.get_json_object("text", "$.seq").try_cast("long")
+    rows = scan.join(seals.select("log", "sealed"), "log", "left").withColumn("_seq", F.when(F.col("state") == "event", seq))
+    rows = rows.withColumn("_gone", F.coalesce(F.col("_seq") <= F.col("sealed"), F.lit(False)))
+    gone = rows.filter("_gone").groupBy("log").agg(F.max("sealed").alias("sealed"), F.max_by(F.get_json_object("text", "$.hash"), F.struct("_seq", "pos")).alias("tip"))
+    text = F.to_json(F.struct(F.lit(1).alias("v"), F.lit(word).alias("marker"), (F.col("sealed") + 1).alias("truncated_before"), "tip", (F.col("sealed") + 1).alias("next_seq")))
+    kept = rows.filter("not _gone").join(gone.select("log", F.lit(True).alias("_swept")), "log", "left").filter("state <> 'marker' or _swept is null")
+    return kept.select("log", "pos", "raw").unionByName(gone.select("log", F.lit(-1).cast("long").alias("pos"), text.alias("raw")))
 
 
 def append(log: DataFrame, path: str) -> None:
-    """Add events as JSON lines in files of their own; a scan of the folder reads them with the rest."""
+    """Add events as JSON lines in files of their own; a scan of the folder reads them with the rest. Repeated ids are an error, and nothing is written."""
+    if not log.groupBy("id").count().filter("count > 1").isEmpty():
+        raise ValueError("duplicate id in what is appended")
     log.write.mode("append").json(path)

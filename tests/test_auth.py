@@ -92,12 +92,12 @@ def test_corpus(spark):
 
 def test_faults_of_a_log():
     log = b'{"a":1}\n{"b":2}\n{"c":3}\n'
-    assert generate.bit_flipped(log, 2) == b'{"a":1}\n{#b":2}\n{"c":3}\n'
-    assert generate.tail_torn(log) == b'{"a":1}\n{"b":2}\n{"c'
-    assert generate.suffix_lost(log, 2) == b'{"a":1}\n'
-    for bad in (lambda: generate.bit_flipped(log, 3), lambda: generate.suffix_lost(log, 3), lambda: generate.tail_torn(b"\n ")):
-        with pytest.raises(ValueError):
-            bad()
+    assert generate.line_bounds(log) == [(0, 8), (8, 16), (16, 24)]
+    assert generate.with_byte(log, 9, ord("#")) == b'{"a":1}\n{#b":2}\n{"c":3}\n'
+    assert generate.without(log, 19) == b'{"a":1}\n{"b":2}\n{"c'
+    assert generate.without(log, 8, 16) == b'{"a":1}\n{"c":3}\n'
+    assert [k for k, _, _ in generate.faults(log, 1, 9)] == [k for k, _, _ in generate.faults(log, 1, 9)]
+    assert all(bad != log for _, _, bad in generate.faults(log, 1, 50))
 
 
 def test_device_identity():
