@@ -45,7 +45,8 @@ STAGES = [
     ("secret scans", secret_scan),
     ("best-fit packing", pack),
 ]
-#: Redaction by a trained forest has no SQL; tests/llm compares the whole with a version that uses none of the operators but the forest's votes.
+#: Redaction by a trained forest has no SQL. tests/llm/test_values.py compares the first three stages with SQL, each on what the SQL
+#: before it kept, redaction with the spans of scan() cut in Python, and packing with each document's words and the bins' sizes.
 ORACLE_SQL = None
 
 
