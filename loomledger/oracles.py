@@ -143,6 +143,9 @@ def oracle_sql() -> dict[str, str]:
         "authorize_grants": """WITH a AS (SELECT event_id, user_id % 5 AS g, CASE WHEN event_id % 2 = 0 THEN 'entries:append' ELSE 'entries:resolve' END AS scope FROM events)
             SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'missing scope grant'
                 WHEN g IN (0, 3) OR (g = 1 AND event_id NOT BETWEEN 100 AND 600) OR (g = 2 AND event_id % 2 = 1) THEN 'grant rejected for ' || scope END AS refused FROM a""",
+        "event_gate": """SELECT 's' || s_suppkey AS id, s_suppkey % 4 < 3 AND s_suppkey % 7 <> 0 AND s_suppkey % 13 > 1 AND s_suppkey % 11 <> 0 AND (s_suppkey % 3 <> 0 OR s_suppkey % 5 = 2) AS authentic FROM supplier""",
+        "countersignatures": """WITH v AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 7 = 0 OR s_suppkey % 5 = 0 THEN 0 WHEN s_suppkey % 5 = 2 THEN 2 ELSE 1 END AS valid FROM supplier)
+            SELECT 's' || k AS id, valid::BIGINT AS valid, valid >= 2 AS met FROM v""",
         "tombstones": with_ledger + "SELECT seq, id AS event_id, split_part(type, '.', 2) AS op, target FROM ev WHERE type IN ('tombstone.hide', 'tombstone.show')",
         "hidden_ids": with_ledger + "SELECT target FROM ev WHERE type IN ('tombstone.hide', 'tombstone.show') GROUP BY target HAVING arg_max(type, seq) = 'tombstone.hide'",
         "tombstone_targets": f"WITH {_LEDGER}, {_PAIRS} SELECT lo, hi FROM p",

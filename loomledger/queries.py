@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomledger.functions import ed25519
+from loomledger.functions.canonical import event_hash
 from loomledger.operators import auth, blobs, chain, retention, revoke, sync, tombstone
 from loomledger.operators.fold import Fold, rebuilt_tally
 from loomledger.operators.validate import accepted, corrupt, gated, typed
@@ -402,6 +403,55 @@ def authorize_grants(spark, d):
     return auth.granted(asks, public, spark.createDataFrame([("g0",)], "id string")).select("event_id", "refused")
 
 
+def _signed_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(events, registry): an entry per supplier, signed by one of four devices of which three are registered.
+
+    Every seventh is changed after it was hashed, some signatures are of other bytes, null or empty, and the
+    countersigners go by the key's remainder of 5: none, one, two, one twice, one and an unregistered device.
+    """
+    keys = _keys(4)
+    k = F.col("s_suppkey")
+    device = lambda i: F.concat(F.lit("d"), i.cast("string"))
+    private = lambda i: F.get(F.array(*[F.lit(x[1]) for x in keys]), i.cast("int"))
+    rows = table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        F.concat(F.lit("s"), k.cast("string")).alias("id"),
+        k.cast("long").alias("seq"),
+        F.lit("entry").alias("type"),
+        F.lit("office").alias("actor"),
+        device(k % 4).alias("device_id"),
+        k.cast("long").alias("ts_device"),
+        F.when(k % 3 == 0, '{"value":100}').otherwise('{"value":5}').alias("payload"),
+        F.lit("GENESIS").alias("prev_hash"),
+    )
+    rows = rows.withColumn("hash", event_hash())
+    own = ed25519.signed(private(k % 4), F.when(k % 13 > 1, F.when(k % 11 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash"))))
+    pairs = {1: (0, None), 2: (0, 1), 3: (1, 1), 4: (0, 3)}  # devices that countersign, by the key's remainder
+    of = lambda place: F.coalesce(*[F.when(k % 5 == r, F.lit(p[place]).cast("int")) for r, p in pairs.items()])
+    votes = [(of(place), ed25519.signed(private(of(place)), F.when(of(place).isNotNull(), F.col("hash")))) for place in (0, 1)]
+    counter = F.filter(F.array(*[F.struct(device(i).alias("deviceId"), s.alias("signatureHex")) for i, s in votes]), lambda c: c["deviceId"].isNotNull())
+    events = rows.select(
+        *[c for c in rows.columns if c not in ("s_suppkey", "payload")],
+        F.when(k % 7 == 0, '{"value":9}').otherwise(F.col("payload")).alias("payload"),
+        F.when(k % 13 == 1, "").otherwise(own).alias("signature"),
+        counter.alias("countersignatures"),
+    )
+    return written(events, "signed_events"), spark.createDataFrame([(f"d{i}", keys[i][0]) for i in range(3)], "device_id string, pem string")
+
+
+@_query
+def event_gate(spark, d):
+    """Which pulled events are authentic, entries of 50 or more only with two countersignatures."""
+    events, registry = _signed_events(spark, d)
+    return auth.authentic(events, registry, limit=50, threshold=2).select("id", "authentic")
+
+
+@_query
+def countersignatures(spark, d):
+    events, registry = _signed_events(spark, d)
+    return auth.countersigned(events, registry, 2)
+
+
 # tombstones and retention
 
 
