@@ -153,6 +153,8 @@ def oracle_sql() -> dict[str, str]:
             g AS (SELECT lo, hi, sum(CASE WHEN e IS NULL OR lo > e + 1 THEN 1 ELSE 0 END) OVER (ORDER BY lo, hi ROWS UNBOUNDED PRECEDING) AS g FROM w) SELECT min(lo) AS lo, max(hi) AS hi FROM g GROUP BY g""",
         "held_events": with_ledger + "SELECT 'e' || (c_custkey * 7) AS id, c_mktsegment AS reason, ev.seq FROM customer LEFT JOIN ev ON ev.id = 'e' || (c_custkey * 7)",
         "sweep": with_ledger + "SELECT count(*) FILTER (seq > 300) AS kept, min(seq) FILTER (seq > 300) AS first, sha256(arg_max(id, seq) FILTER (seq <= 300)) AS tip, 301::BIGINT AS truncated_before, 301::BIGINT AS next_seq FROM ev",
+        "revoke_verify": """SELECT s_suppkey::BIGINT AS s_suppkey, CASE WHEN s_suppkey % 17 = 0 THEN 'unsupported v 2' WHEN s_suppkey % 19 = 0 THEN 'empty tokenId' WHEN s_suppkey % 23 = 0 THEN 'bad epoch -1'
+            WHEN s_suppkey % 13 = 0 THEN 'id/hash split' WHEN s_suppkey % 7 = 0 THEN 'hash mismatch (tampered payload?)' WHEN s_suppkey % 3 = 2 THEN 'unknown admin a2' WHEN s_suppkey % 11 = 0 THEN 'bad admin signature' END AS rejected FROM supplier""",
         "revoke_winners": f"WITH {_REVOKES} SELECT hash, prev, token_id, device_id, epoch FROM r QUALIFY row_number() OVER (PARTITION BY token_id ORDER BY epoch DESC, hash) = 1",
         "revoke_dangling": f"WITH {_REVOKES} SELECT hash, prev FROM r WHERE prev <> 'REVOKE-GENESIS' AND prev NOT IN (SELECT hash FROM r)",
         "revoke_merge": f"WITH RECURSIVE {_REVOKES}, t AS (SELECT hash, prev FROM r WHERE prev = 'REVOKE-GENESIS' UNION SELECT r.hash, r.prev FROM r JOIN t ON r.prev = t.hash) SELECT hash, prev FROM t",

@@ -532,6 +532,28 @@ def revoke_since(spark, d):
     return revoke.since(rows, 100)[0].select("hash", "pos")
 
 
+@_query
+def revoke_verify(spark, d):
+    """A signed revocation per supplier, with faults by the key's remainders: why each is refused, or null."""
+    keys, k = _keys(3), F.col("s_suppkey")
+    core = table(spark, d, "supplier").select(
+        F.when(k % 17 == 0, revoke.VERSION + 1).otherwise(revoke.VERSION).alias("v"),
+        F.when(k % 19 == 0, "").otherwise(F.concat(F.lit("t"), k.cast("string"))).alias("tokenId"),
+        F.concat(F.lit("d"), (k % 8).cast("string")).alias("deviceId"),
+        F.when(k % 23 == 0, -1).otherwise(k % 5).cast("long").alias("epoch"),
+        F.concat(F.lit("a"), (k % 3).cast("string")).alias("admin"),
+        k.cast("long").alias("issuedAt"),
+        F.lit(revoke.ROOT).alias("prev"),
+    )
+    at = F.col("issuedAt")  # the supplier's key
+    rows = core.withColumn("hash", F.sha2(F.to_json(F.struct(*core.columns)), 256))
+    private = F.get(F.array(*[F.lit(x[1]) for x in keys]), (at % 3).cast("int"))
+    rows = rows.withColumn("sig", ed25519.signed(private, F.when(at % 11 == 0, F.concat("hash", F.lit("x"))).otherwise(F.col("hash"))))
+    rows = rows.withColumn("id", F.when(at % 13 == 0, "x").otherwise(F.col("hash"))).withColumn("deviceId", F.when(at % 7 == 0, "other").otherwise(F.col("deviceId")))
+    admins = spark.createDataFrame([(f"a{i}", keys[i][0]) for i in range(2)], "admin string, pem string")
+    return revoke.verified(rows, admins).select(at.alias("s_suppkey"), "rejected")
+
+
 @_query
 def revoked_devices(spark, d):
     return revoke.revoked_devices(_revokes(spark, d))
