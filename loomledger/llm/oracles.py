@@ -137,3 +137,39 @@ WARC = r"""
         CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
         CASE WHEN page_id <> first THEN first END AS refers_to
     FROM f"""
+
+# crc32 is folded over the id's characters, bit by bit; runs are islands of places whose words recur q further on.
+RUNS = r"""
+    WITH numbered AS (
+      SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents
+    ), hashed AS (
+      SELECT *, len(words) AS n,
+        xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+          lambda h, c: list_reduce([xor(h, c), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS h
+      FROM numbered
+    ), placed AS (
+      SELECT *, CASE WHEN n > 0 AND h % 10 = 0 THEN (h // 10) % n END AS a FROM hashed
+    ), stretched AS (
+      SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM placed
+    ), texts AS (
+      SELECT r, doc_id, n, CASE WHEN a IS NULL THEN words ELSE list_transform(range(n), lambda i: words[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) END AS words FROM stretched
+    ), w AS (
+      SELECT r, n, unnest(words) AS word, unnest(range(n)) AS i FROM texts
+    ), equal AS (
+      SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON x.r = y.r AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+    ), islands AS (
+      SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM equal) GROUP BY r, q, island HAVING count(*) + q >= greatest(24, 3 * q)
+    ), runs AS (
+      SELECT r, start, length, min(q) AS period FROM islands GROUP BY r, start, length
+    ), best AS (
+      SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1
+    ), said AS (
+      SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS runs FROM runs GROUP BY r
+    ), gone AS (
+      SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs
+    ), kept AS (
+      SELECT r, string_agg(word, ' ' ORDER BY i) AS words FROM (SELECT * FROM w ANTI JOIN gone USING (r, i)) GROUP BY r
+    )
+    SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length::BIGINT AS length, period, (1000 * length // period)::BIGINT AS exponent_milli,
+      sha256(coalesce(said.runs, '')) AS runs_sha256, sha256(coalesce(kept.words, '')) AS collapsed_sha256
+    FROM texts LEFT JOIN best USING (r) LEFT JOIN said USING (r) LEFT JOIN kept USING (r)"""
