@@ -173,3 +173,18 @@ RUNS = r"""
     SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start, length::BIGINT AS length, period, (1000 * length // period)::BIGINT AS exponent_milli,
       sha256(coalesce(said.runs, '')) AS runs_sha256, sha256(coalesce(kept.words, '')) AS collapsed_sha256
     FROM texts LEFT JOIN best USING (r) LEFT JOIN said USING (r) LEFT JOIN kept USING (r)"""
+
+HARD_NEGATIVES = """
+    WITH taking_part AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), one AS (
+      SELECT * FROM taking_part QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY label, v) = 1
+    ), scored AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score FROM one a JOIN one b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+    ), positives AS (
+      SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+    )
+    SELECT anchor_id, positive_id, (row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.other_id))::INT AS rank, n.other_id AS negative_id, positive_score, n.score AS negative_score
+    FROM positives JOIN scored n USING (anchor_id) WHERE NOT n.same AND 80 * positive_score <= 100 * n.score AND 100 * n.score <= 100 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.other_id) <= 5"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, license_scan, near_dedup, oracles, packing, quality_classifier, quality_rules, runs, secrets, suffix_dedup, warc
+from . import decontaminate, hard_negatives, language_id, license_scan, near_dedup, oracles, packing, quality_classifier, quality_rules, runs, secrets, suffix_dedup, warc
 from ._common import table
 
 
@@ -57,6 +57,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.found(table(spark, sf_dir, "documents"))
 
@@ -73,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_near_dedup": op10_near_dedup,
+        "op12_hard_negatives": op12_hard_negatives,
         "op13_periodic_runs": op13_periodic_runs,
     }
 
@@ -85,5 +90,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontaminate": oracles.DECONTAMINATE,
         "op9_quality_rules": oracles.QUALITY_RULES,
         "op10_near_dedup": oracles.NEAR_DEDUP,
+        "op12_hard_negatives": oracles.HARD_NEGATIVES,
         "op13_periodic_runs": oracles.RUNS,
     }
