@@ -113,7 +113,8 @@ class Cells:
         near = np.maximum(np.maximum(d - high, low - d), 0)
         whole = (rows.astype(float) ** 2).sum(1)[:, None] + self.most
         slack = SLACK * whole + 1
-        return (whole - (d + high) ** 2) / 2 - slack, (whole - near**2) / 2 + slack
+        # scores beyond 64 bits are held at their ends, so bounds are too
+        return np.minimum((whole - (d + high) ** 2) / 2 - slack, float(_ENDS.max)), np.maximum((whole - near**2) / 2 + slack, float(_ENDS.min))
 
 
 def _placing(cells: Cells, coarse: int) -> Callable:
