@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, hard_negatives, language_id, license_scan, near_dedup, oracles, packing, quality_classifier, quality_rules, runs, secrets, suffix_dedup, warc
+from . import decontaminate, hard_negatives, language_id, license_scan, near_dedup, oracles, packing, pii, quality_classifier, quality_rules, runs, secrets, suffix_dedup, warc
 from ._common import table
 
 
@@ -57,6 +57,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(table(spark, sf_dir, "embeddings"))
 
@@ -77,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_near_dedup": op10_near_dedup,
+        "op11_personal_data": op11_personal_data,
         "op12_hard_negatives": op12_hard_negatives,
         "op13_periodic_runs": op13_periodic_runs,
     }
