@@ -209,8 +209,8 @@ def test_scores_against_plain_python(spark, sf):
         n, m = max(1, len(t)), max(1, len(words))
         count = lambda p: len(re.findall(p, t))
         distinct = len(set(words))
-        values = [np.log1p(len(t)), count("[#*$%&<>@^~=]") / m, count("!") / m, count(r"\|") / m, count("[A-Z]") / n, count("[0-9]") / n, count("\n") / m, sum(map(len, words)) / m, distinct / m**0.5, distinct / m, count("[.]") / m]
-        return np.minimum(values, quality_classifier.MOST)
+        values = [len(t), count("[#*$%&<>@^~=]") / m, count("!") / m, count(r"\|") / m, count("[A-Z]") / n, count("[0-9]") / n, count("\n") / m, sum(map(len, words)) / m, distinct / m**0.5, distinct / m, count("[.]") / m]
+        return np.log1p(values)
 
     def score(t):
         raw = ((features(t) - model["mean"]) / model["std"]) @ np.array(model["w"]) - model["cut"]
@@ -223,6 +223,13 @@ def test_scores_against_plain_python(spark, sf):
     for r in got:
         assert min(abs(r.score - score(texts[r.doc_id])), abs(r.score - score(None)) if r.doc_id == first else 1) < 1e-9
         assert r.predicted == int(r.score >= 0.7)
+    # more distinct words count, however many there are already
+    many = [quality_classifier.features(F.lit(" ".join(f"w{i}" for i in range(n))))[8] for n in (2_000, 4_000, 40_000, 80_000)]
+    values = spark.range(1).select(*many).first()
+    assert all(b - a > 0.3 for a, b in zip(values, values[1:], strict=False))
+    # an id that stands often is learned from once
+    often = quality_classifier.train(d.unionByName(d).unionByName(d), labels)
+    assert often["w"] == pytest.approx(model["w"]) and often["cut"] == pytest.approx(model["cut"])
     none = quality_classifier.judged(d.limit(3), labels.limit(0)).collect()
     assert [r.score for r in none] == pytest.approx([0.7] * 3)
     # what was minimised, over all pairs: no direction away from the weights lowers it by much
