@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,5 +77,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def id_text(column: str) -> Column:
+    """An id as pandas gets it: as a text, since pandas makes doubles of whole numbers where one is null."""
+    return F.col(column).cast("long").cast("string").alias(column)
+
+
+def ids(texts) -> pd.api.extensions.ExtensionArray:
+    """Whole numbers of what id_text() sent."""
+    return pd.array([None if t is None else int(t) for t in texts], "Int64")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import held_out
+from ._common import held_out, id_text, ids
 
 WINDOW = 64
 HIDDEN = 8
@@ -264,7 +264,7 @@ def identify(docs: DataFrame) -> DataFrame:
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             names, scores = predict(pdf["text"].where(pdf["text"].notna(), None).tolist(), languages, model)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "held_out": pdf["held_out"], "lang_pred": names, "score": scores})
+            yield pd.DataFrame({"doc_id": ids(pdf["doc_id"]), "held_out": pdf["held_out"], "lang_pred": names, "score": scores})
 
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
+    rows = docs.select(id_text("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInPandas(label, "doc_id long, held_out boolean, lang_pred string, score double")

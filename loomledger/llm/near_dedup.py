@@ -16,18 +16,21 @@ pivot's: a bit for each of the pivot's shingles, and the shingles beyond those.
 Near copies of one text are small in this form, and sizes of intersections are
 exact, so that only links leave the task and never candidate pairs. No cap is
 set on members, partners or candidates. Wherever a bucket or a pivot is a join's
-key, its rows are dealt over SALTS tasks, and what they join is repeated for the
-salts that occur.
+key, its rows are dealt over salts, as many as the number of classes asks for, and
+what they join is repeated for the salts that occur.
 
 With BANDS bands of ROWS coordinates a pair at the threshold is missed with
 probability (1 - 0.75 ** ROWS) ** BANDS, 2e-6.
 
+Classes have numbers of their own, given in the order of their least id, so that ids are only carried along: any
+64-bit id may stand, or none. A class's text is read from one row, known by its id and the hash of its text.
+
 Defined cases: null, empty and blank texts have an empty set and link with
 nothing; fewer than five words make one shingle; repeated rows share a class;
-ids are taken as unique and below 2**62, rows that share one share its component;
-a row with a null id ranks behind every id: its component is that of a near text
-with an id, else null, and it is kept if it stands for its component; an empty
-table gives an empty result; extra columns are ignored.
+rows of one id with different texts are judged one by one; a row with a null id
+ranks behind every id: its component is that of a near text with an id, else
+null, and it is kept if its text stands for its component; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, drop_made, made, written
+from ._common import LOWER, UPPER, drop_made, id_text, ids, made, written
 
 WORDS = 5
 BANDS = 48
@@ -50,9 +53,9 @@ PERCENT = 75
 BLOCK = 64
 #: Blocks of a bucket that meet as many in one task.
 GROUP = 16
+#: Classes of one salt, and the least number of salts.
+CLASSES_PER_SALT = 1 << 17
 SALTS = 64
-#: Rows without an id have one from here on while they are compared.
-_NO_ID = 1 << 62
 #: Cells of the counts that bound how many shingles beyond the pivot's two members share.
 CELLS = 256
 BROADCAST_IDS = 1_000_000
@@ -114,22 +117,30 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _digest_of(hashes: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(hashes.tobytes()) if len(hashes) else None
+
+
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [shingles(t) for t in pdf["text"]]
-        yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_shingles": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]})
+        yield pd.DataFrame({"doc_id": ids(pdf["doc_id"]), "th": pdf["th"], "n_shingles": [len(s) for s in sets], "digest": [_digest_of(s) for s in sets]})
 
 
 def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         sets = [shingles(t) for t in pdf["text"]]
+        own = [_digest_of(s) == bytes(d) for s, d in zip(sets, pdf["digest"], strict=True)]
+        sets = [s for s, ok in zip(sets, own, strict=True) if ok]
         sigs = [signature(s) for s in sets]
-        yield pd.DataFrame({"cls": pdf["doc_id"], "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sigs]})
+        yield pd.DataFrame({"cls": pdf["cls"][own], "n": [len(s) for s in sets], "bands": [band_keys(s) for s in sigs]})
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        yield pd.DataFrame({"cls": pdf["doc_id"], "hashes": [shingles(t).tobytes() for t in pdf["text"]]})
+        sets = [shingles(t) for t in pdf["text"]]
+        own = [_digest_of(s) == bytes(d) for s, d in zip(sets, pdf["digest"], strict=True)]
+        yield pd.DataFrame({"cls": pdf["cls"][own], "hashes": [s.tobytes() for s, ok in zip(sets, own, strict=True) if ok]})
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,21 +154,38 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[np.array(keep, bool), ["a", "b"]]
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id and text of the ids' rows; the ids are broadcast only if a count shows that they are few."""
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return docs.select("doc_id", "text").join(ids, "doc_id")
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the hash of the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+
+
+def _sized(df: DataFrame) -> DataFrame:
+    """To be broadcast only if a count shows that its rows are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """cls, digest and text of the row that stands for each class; more than one where that row is repeated."""
+    wanted = _sized(classes.select("cls", "digest", F.col("doc_id").alias("id"), F.col("th").alias("hash")))
+    rows = _keyed(docs)
+    return rows.join(wanted, (rows["th"] == wanted["hash"]) & rows["doc_id"].eqNullSafe(wanted["id"])).select("cls", "digest", "text")
 
 
-def _salt(c: str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(SALTS)).cast("int").alias("salt")
+def _once(rows: DataFrame, classes: DataFrame, name: str) -> DataFrame:
+    """One row of each class."""
+    rows = written(rows, name)
+    return rows if classes.filter("times > 1").isEmpty() else written(rows.dropDuplicates(["cls"]), name)
 
 
-def _with_sets(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+def _salt(c: str, salts: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("salt")
+
+
+def _with_sets(pairs: DataFrame, docs: DataFrame, classes: DataFrame, salts: int, name: str) -> DataFrame:
     """Pairs (a, b), a pivot and a member, with both full sets; a pivot's pairs are dealt by salts of their members."""
-    pairs = written(pairs.select("a", "b", _salt("b")), name)
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), name)
-    sets = written(_texts(docs, ids).mapInPandas(_hashed, "cls long, hashes binary"), name)
+    pairs = written(pairs.select("a", "b", _salt("b", salts)), name)
+    own = written(classes.join(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls"), name)
+    sets = _once(_texts(docs, own).mapInPandas(_hashed, "cls long, hashes binary"), own, name)
     left = pairs.select("a", "salt").distinct().join(sets.select(F.col("cls").alias("a"), F.col("hashes").alias("set_a")), "a")
     right = sets.select(F.col("cls").alias("b"), F.col("hashes").alias("set_b"))
     return pairs.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "set_a", "set_b")
@@ -242,31 +270,32 @@ def _members(block: list) -> tuple:
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    real = lambda c: F.when(F.col(c) < _NO_ID, F.col(c))
-    rows = _grouped(docs)
-    return rows.select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
-
-
-def _key() -> Column:
-    """A row's id; rows without one get one by their text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.pmod(F.xxhash64("text"), F.lit(_NO_ID)) + _NO_ID)
-
-
-def _grouped(docs: DataFrame) -> DataFrame:
-    docs = docs.select(_key().alias("doc_id"), "text")
-    digests = written(docs.mapInPandas(_digest, "doc_id long, n_shingles long, digest binary"), "near_digests")
-    # a class per distinct set, named by its smallest doc_id; that row's text stands for it
-    classes = written(digests.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("cls")), "near_classes")
+    rows, classes = _grouped(docs)
+    known = classes.select("digest", "component_id", "stands")
+    rows = rows.join(known, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.coalesce("stands", F.lit(True)))
+    return rows.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, th, n_shingles, digest), and classes (digest, cls, doc_id, th, times, component_id, stands)."""
+    digests = written(_keyed(docs).withColumn("doc_id", id_text("doc_id")).mapInPandas(_digest, "doc_id long, th long, n_shingles long, digest binary"), "near_digests")
+    # a class per distinct set; the row of smallest id stands for it, and `times` tells how often that row is repeated
+    same = digests.filter("digest is not null").groupBy("digest", "doc_id", "th").agg(F.count("*").alias("times"))
+    least = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th", "times")
+    numbered = same.groupBy("digest").agg(F.min(least).alias("least")).select("digest", "least.*").orderBy("no_id", "doc_id", "digest")
+    classes = written(numbered.withColumn("cls", F.monotonically_increasing_id()), "near_classes")
     begun = made()
-    signed = written(_texts(docs, classes.select(F.col("cls").alias("doc_id"))).mapInPandas(_signed, "cls long, n long, bands array<long>"), "near_signed")
+    salts = max(SALTS, classes.count() // CLASSES_PER_SALT)
+    signed = _once(_texts(docs, classes).mapInPandas(_signed, "cls long, n long, bands array<long>"), classes, "near_signed")
 
-    bands = signed.select("cls", "n", F.explode("bands").alias("key"), _salt("cls"))
+    bands = signed.select("cls", "n", F.explode("bands").alias("key"), _salt("cls", salts))
     part = bands.groupBy("key", "salt").agg(F.count("*").alias("size"), F.min(F.struct("cls", "n")).alias("pivot"))
     pivots = part.groupBy("key").agg(F.sum("size").alias("size"), F.min("pivot").alias("pivot"), F.collect_list("salt").alias("salts")).filter("size > 1")
     pivots = pivots.select("key", F.explode("salts").alias("salt"), "size", F.col("pivot.cls").alias("p"), F.col("pivot.n").alias("pn"))
     members = written(bands.join(pivots, ["key", "salt"]), "near_members")
     pairs = members.filter("cls <> p").filter(_could("n", "pn")).select(F.col("p").alias("a"), F.col("cls").alias("b")).distinct()
-    links = written(_with_sets(pairs, docs, "near_pairs").mapInPandas(_verify, "a long, b long"), "near_links")
+    links = written(_with_sets(pairs, docs, classes, salts, "near_pairs").mapInPandas(_verify, "a long, b long"), "near_links")
     comps = components(links, "near_components")
 
     # buckets that the pivot has not settled
@@ -274,26 +303,33 @@ def _grouped(docs: DataFrame) -> DataFrame:
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_set("salt").alias("salts")).filter("lo <> hi").select("key", F.explode("salts").alias("salt"))
     rest = written(placed.join(mixed, ["key", "salt"]).filter("cls <> p"), "near_rest")
     own = rest.select(F.col("p").alias("a"), F.col("cls").alias("b")).distinct()
-    against = written(_with_sets(own, docs, "near_own").mapInPandas(_against_pivot, "p long, cls long, mask binary, extra binary"), "near_against")
+    against = written(_with_sets(own, docs, classes, salts, "near_own").mapInPandas(_against_pivot, "p long, cls long, mask binary, extra binary"), "near_against")
     blocks = _blocks(rest.join(against, ["p", "cls"]))
     more = written(blocks.mapInPandas(_block_links, "a long, b long").distinct(), "near_more_links")
     if not more.isEmpty():
         comps = components(links.unionByName(more), "near_components")
-    comps = written(comps, "near_components")
+    # classes are numbered by their least ids, so the root of a component has its least id and stands for it
+    roots = _sized(classes.join(comps.select(F.col("comp").alias("cls")).distinct(), "cls").select(F.col("cls").alias("comp"), F.col("doc_id").alias("component_id")))
+    placed = classes.join(comps.withColumnRenamed("node", "cls"), "cls", "left").join(roots, "comp", "left")
+    lone = F.col("comp").isNull()
+    named = placed.select("digest", "cls", "doc_id", "th", "times", F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), lone.alias("stands"))
+    classes = written(named, "near_named")
     drop_made(docs.sparkSession, begun, but_last=True)
-
-    known = classes.join(comps, classes["cls"] == comps["node"], "left").select("digest", F.coalesce("comp", "cls").alias("component_id"))
-    return digests.join(known, "digest", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return digests, classes
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each group, with docs' own columns; repeated rows of one id count once, rows without an id as in groups()."""
-    kept = written(_grouped(docs).filter("doc_id = component_id").select("doc_id"), "near_kept")
-    once = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    rows = docs.join(once, _key() == once["_kept_id"], "left_semi")
-    if kept.count() > once.count():
-        rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key().alias("id")).dropDuplicates(["id"]).select("row.*")
-    return rows
+    """One row of each group, with docs' own columns: that of smallest id, of equal ids that of smallest digest, of equal rows that of smallest JSON form. Every row without words is a group of its own."""
+    digests, classes = _grouped(docs)
+    chosen = classes.filter("stands").select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th"), (F.col("times") > 1).alias("_kept_twice"))
+    wordless = digests.filter("digest is null").select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th"), F.lit(False).alias("_kept_twice")).distinct()
+    keys = written(chosen.unionByName(wordless), "near_kept")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    kept = lambda twice: rows.join(k := _sized(keys.filter(F.col("_kept_twice") == twice)), (rows["hash"] == k["_kept_th"]) & rows["id"].eqNullSafe(k["_kept_id"]), "left_semi")
+    once = kept(False)
+    if not keys.filter("_kept_twice").isEmpty():
+        once = once.unionByName(kept(True).groupBy("id", "hash").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row", "id", "hash"))
+    return once.select("row.*")
 
 
 def _blocks(rest: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import space_words, written
+from ._common import id_text, ids, space_words, written
 
 CAPACITIES = (512, 1024, 2048, 4096)
 #: Sequence length at which attention costs as much as everything else.
@@ -116,11 +116,11 @@ def pack(lengths: list[int], capacities: tuple[int, ...] = CAPACITIES) -> tuple[
 
 
 def _pack_shard(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    pdf = pdf.assign(doc_id=ids(pdf["doc_id"])).sort_values(["n_tokens", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
     placed, capacities = pack(pdf["n_tokens"].tolist())
     return pd.DataFrame(
-        {"doc_id": pdf["doc_id"].to_numpy(), "piece": pdf["piece"].to_numpy(), "n_tokens": pdf["n_tokens"].to_numpy(), "bin": [f"{key[0]}-{b}" for b, _ in placed], "capacity": [capacities[b] for b, _ in placed], "start": [s for _, s in placed]}
-    ).astype({"doc_id": "Int64"})
+        {"doc_id": pdf["doc_id"].array, "piece": pdf["piece"].to_numpy(), "n_tokens": pdf["n_tokens"].to_numpy(), "bin": [f"{key[0]}-{b}" for b, _ in placed], "capacity": [capacities[b] for b, _ in placed], "start": [s for _, s in placed]}
+    )
 
 
 def packed(docs: DataFrame) -> DataFrame:
@@ -131,7 +131,7 @@ def packed(docs: DataFrame) -> DataFrame:
     shards = max(1, -(-int(total) // SHARD))
     pieces = lengths.filter("n > 0").select("doc_id", "row", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / most).cast("int"))).alias("piece"))
     pieces = pieces.select("doc_id", "row", "piece", F.least(F.lit(most), F.col("n") - F.col("piece") * most).cast("int").alias("n_tokens"))
-    dealt = pieces.select("doc_id", "piece", "n_tokens", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))
+    dealt = pieces.select(id_text("doc_id"), "piece", "n_tokens", F.pmod(F.xxhash64("row", "piece"), F.lit(shards)).alias("shard"))
     return (
         dealt.groupBy("shard").applyInPandas(_pack_shard, _SCHEMA)
         .unionByName(lengths.filter("n = 0").selectExpr("doc_id", "0 as piece", "0 as n_tokens", "cast(null as string) as bin", "cast(null as int) as capacity", "0 as start"))

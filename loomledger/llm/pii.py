@@ -29,6 +29,8 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ._common import id_text, ids
+
 #: Kinds in the order they are named in.
 KINDS = ["email", "ip", "card", "phone"]
 #: Letters of other scripts that look like Latin ones.
@@ -355,10 +357,10 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             kinds = [k for _, k, _ in base]
             rows.append((*map(kinds.count, KINDS), hashlib.sha256(said(base).encode()).hexdigest(), said(every)))
         out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")][1:])
-        out.insert(0, "doc_id", pdf["doc_id"].astype("Int64").to_numpy() if len(pdf) else [])
+        out.insert(0, "doc_id", ids(pdf["doc_id"]))
         yield out
 
 
 def found(docs: DataFrame) -> DataFrame:
     """Per row of docs: the columns of RESULT."""
-    return docs.selectExpr("cast(doc_id as long) AS doc_id", "text").mapInPandas(_scan, RESULT)
+    return docs.select(id_text("doc_id"), "text").mapInPandas(_scan, RESULT)

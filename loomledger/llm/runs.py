@@ -31,6 +31,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ._common import id_text, ids
+
 #: A run holds so many words and so many periods at least.
 LEAST_WORDS = 24
 LEAST_PERIODS = 3
@@ -294,19 +296,21 @@ def _refined(rows: list[tuple[int | None, list[str]]]) -> pd.DataFrame:
     codes, _ = pd.factorize(np.array([w for _, words in rows for w in words], object))
     texts = np.split(codes.astype(np.int64), np.cumsum([len(words) for _, words in rows])[:-1])
     out = [_row(doc_id, words, runs) for (doc_id, words), runs in zip(rows, runs_in(texts), strict=True)]
-    frame = pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")])
-    return frame.astype(dict.fromkeys(("doc_id", "start", "length", "period", "exponent_milli"), "Int64"))
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    whole = ("doc_id", "start", "length", "period", "exponent_milli")
+    return pd.DataFrame({name: ids(values) if name in whole else list(values) for name, values in zip(names, zip(*out, strict=True), strict=True)})
 
 
 def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows, held = [], 0
         for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-            words = words_of(text, None if pd.isna(doc_id) else int(doc_id))
+            doc_id = None if doc_id is None else int(doc_id)
+            words = words_of(text, doc_id)
             if rows and held + len(words) > BATCH:
                 yield _refined(rows)
                 rows, held = [], 0
-            rows.append((None if pd.isna(doc_id) else int(doc_id), words))
+            rows.append((doc_id, words))
             held += len(words)
         if rows:
             yield _refined(rows)
@@ -314,4 +318,4 @@ def _found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def found(docs: DataFrame) -> DataFrame:
     """Per row of docs: the columns of RESULT."""
-    return docs.select("doc_id", "text").mapInPandas(_found, RESULT)
+    return docs.select(id_text("doc_id"), "text").mapInPandas(_found, RESULT)

@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import scratch_dir, written
+from ._common import id_text, ids, scratch_dir, written
 
 #: Entries of an index block, index rows of a file, and bytes of an archive before the next begins.
 BLOCK = 256
@@ -130,7 +130,7 @@ def _open(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def _number(x) -> int | None:
-    return None if pd.isna(x) else int(x)
+    return None if x is None else int(x)
 
 
 def _archiver(folder: str):
@@ -169,7 +169,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     equal = F.broadcast(equal) if equal.count() <= BROADCAST_ROWS else equal
     rows = rows.join(equal, "same", "left")
     other = F.col("page_id").isNull() | (F.col("page_id") != F.col("least"))
-    rows = rows.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.when(F.col("least").isNotNull() & other, F.col("least")).alias("refers_to"))
+    rows = rows.select(id_text("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"), F.when(F.col("least").isNotNull() & other, F.col("least").cast("string")).alias("refers_to"))
     return written(rows.mapInPandas(_archiver(folder), _CAPTURE), "warc_captures")
 
 
@@ -330,7 +330,7 @@ def read_records(captures: DataFrame, with_payload: bool = False) -> DataFrame:
 
 
 def _frame(rows: list[list], columns: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=columns).astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64"})
+    return pd.DataFrame({c: ids(values) if c in ("page_id", "refers_to") else pd.Series(list(values), dtype="int64" if c == "payload_bytes" else object) for c, values in zip(columns, zip(*rows) if rows else [()] * len(columns), strict=True)})  # noqa: B905
 
 
 def archived(pages: DataFrame) -> DataFrame:
