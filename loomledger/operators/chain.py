@@ -4,42 +4,48 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomledger.functions.canonical import FIELDS, event_hash, hash_of
+from loomledger.functions.canonical import event_hash, hash_of
 from loomledger.operators.neighbours import before
 from loomledger.schema import GENESIS
 
 
-def chained(events: DataFrame, log: str, tips: dict[str, tuple[int, str]] | None = None) -> DataFrame:
-    """events, renumbered from 1 within each log (column `log`) in seq order, with prev_hash and hash. tips: (last seq, hash) of logs that go on.
+def chained(events: DataFrame, log: str, tips: DataFrame | None = None) -> DataFrame:
+    """events, renumbered from 1 within each log (column `log`) in seq order, with prev_hash and hash. tips: (log, max_seq, last_hash) of logs that go on.
 
     A hash needs the one before it, so a log is read in order; partitions hold many logs and only a tip is kept between rows.
     """
-    tips = tips or {}
     kept = [c for c in events.columns if c not in ("prev_hash", "hash")]
+    rows = events.select(*kept)
+    if tips is not None:
+        rows = rows.join(tips.select(F.col("log").alias(log), F.col("max_seq").alias("_from"), F.col("last_hash").alias("_tip")), log, "left")
+    else:
+        rows = rows.withColumns({"_from": F.lit(None).cast("long"), "_tip": F.lit(None).cast("string")})
+    rows = rows.withColumns({"_from": F.coalesce("_from", F.lit(0)), "_tip": F.coalesce("_tip", F.lit(GENESIS))})
+
+    heads = (log, "_from", "_tip", "id", "type", "actor", "device_id", "ts_device", "payload")
 
-    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seq, tip = None, 0, GENESIS
-        for pdf in batches:
+        for batch in batches:
             seqs, prevs, hashes = [], [], []
-            for row in pdf.to_dict("records"):
-                if row[log] != now:
-                    now = row[log]
-                    seq, tip = tips.get(now, (0, GENESIS))
+            for name, start, base, id_, kind, actor, device, ts, payload in zip(*(batch.column(k).to_pylist() for k in heads), strict=True):
+                if name != now:
+                    now, seq, tip = name, start, base
                 seq += 1
-                event = {k: (None if row.get(k) is None or row.get(k) != row.get(k) else row.get(k)) for k in FIELDS} | {"seq": seq, "prev_hash": tip}
                 prevs.append(tip)
-                tip = hash_of(event)
+                tip = hash_of({"id": id_, "seq": seq, "type": kind, "actor": actor, "device_id": device, "ts_device": ts, "payload": payload, "prev_hash": tip})
                 seqs.append(seq)
                 hashes.append(tip)
-            yield pdf.assign(seq=seqs, prev_hash=prevs, hash=hashes)
+            own = {c: batch.column(c) for c in kept} | {"seq": pa.array(seqs, pa.int64()), "prev_hash": pa.array(prevs, pa.string()), "hash": pa.array(hashes, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(own.values()), list(own))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.select(*kept).schema)
-    ordered = events.select(*kept).repartition(log).sortWithinPartitions(log, "seq")
-    return ordered.mapInPandas(link, f"{schema}, prev_hash string, hash string")
+    schema = ", ".join(f"`{f.name}` {'bigint' if f.name == 'seq' else f.dataType.simpleString()}" for f in rows.select(*kept).schema)
+    ordered = rows.select(*kept, "_from", "_tip").repartition(log).sortWithinPartitions(log, "seq")
+    return ordered.mapInArrow(link, f"{schema}, prev_hash string, hash string")
 
 
 def checked(events: DataFrame, log: str, order: str = "pos", gaps: DataFrame | None = None, markers: DataFrame | None = None) -> DataFrame:

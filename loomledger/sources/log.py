@@ -6,21 +6,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomledger.functions.canonical import canonical_json
+from loomledger.functions.canonical import canonical_json, quoted
 from loomledger.operators.neighbours import before
 from loomledger.schema import EVENT, GENESIS
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(log, pos, raw): every line of every file with its place from 0. Files are split; a split's places follow the counts of those before it."""
-    raw = spark.read.text(path, lineSep="\n").select(F.col("_metadata.file_path").alias("log"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("raw"))
-    counts = raw.groupBy("log", "block").agg(F.count("*").alias("n"))
-    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("log").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ahead = counts.select("log", "block", ahead.alias("ahead"))
+#: Where a line stands: its file's block, in the order of which a file is read.
+WHERE = ("_metadata.file_path AS file", "_metadata.file_block_start AS block")
+#: What counts as blank beyond ASCII.
+_BLANK = r"^[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]*$"
+
+
+def placed(raw: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """(log, pos, raw): every line that is not blank with its place from 0. Files are split; a split's places follow the counts of those before it.
+
+    raw: log, file, block, raw, and with segments (log, commit, behind: lines before it) commit; then a log is its segments' lines in their order.
+    """
+    counts = raw.groupBy("file", "block").agg(F.count("*").alias("n"))
+    ahead = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ahead = counts.select("file", "block", ahead.alias("ahead"))
     rows = raw.withColumn("at", F.monotonically_increasing_id())
-    rows = rows.withColumn("within", F.row_number().over(Window.partitionBy("log", "block").orderBy("at")) - 1)
-    rows = rows.join(ahead, ["log", "block"]).select("log", (F.col("ahead") + F.col("within")).alias("pos"), "raw")
-    return rows.filter(F.trim("raw") != "")
+    rows = rows.withColumn("within", F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1)
+    rows = rows.join(ahead, ["file", "block"])
+    rows = rows.join(segments, ["log", "commit"]) if segments is not None else rows.withColumn("behind", F.lit(0))
+    return rows.select("log", (F.col("behind") + F.col("ahead") + F.col("within")).alias("pos"), "raw").filter(~F.col("raw").rlike(_BLANK))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(log, pos, raw): every line of every file, each a log of its own."""
+    raw = spark.read.text(path, lineSep="\n").selectExpr(*WHERE, "value AS raw")
+    return placed(raw.withColumn("log", F.col("file")))
 
 
 @F.udf(T.StringType(), useArrow=True)
@@ -44,7 +59,12 @@ def scanned(spark: SparkSession, path: str, word: str | None = None) -> DataFram
 
     A line that is JSON but no object is bad. A marker ends a run of bad lines.
     """
-    rows = lines(spark, path).withColumn("_v", F.try_parse_json("raw"))
+    return judged(lines(spark, path), word)
+
+
+def judged(rows: DataFrame, word: str | None = None) -> DataFrame:
+    """scanned() of lines that have their places."""
+    rows = rows.withColumn("_v", F.try_parse_json("raw"))
     again = _second_chance(F.when(F.col("_v").isNull(), F.col("raw")))
     rows = rows.withColumn("text", F.when(F.col("_v").isNull(), again).otherwise(F.col("raw")))
     rows = rows.withColumn("_v", F.coalesce("_v", F.try_parse_json("text")))
@@ -58,9 +78,25 @@ def scanned(spark: SparkSession, path: str, word: str | None = None) -> DataFram
 
 
 def events(scan: DataFrame) -> DataFrame:
-    """The scan's events in columns, with log, pos and gap; the payload stays JSON text."""
-    e = F.from_json("text", EVENT)
-    return scan.filter("state = 'event'").select("log", "pos", "gap", e.alias("e")).select("log", "pos", "gap", "e.*")
+    """The scan's events in columns, with log, pos and gap. A field of another type than its own reads as null; whole numbers may be
+    written with a fraction of zero. The payload stays JSON text of its own kind: one that is a string stays a string's literal."""
+    v, e = F.parse_json("text").alias("v"), F.from_json("text", EVENT).alias("e")
+    rows = scan.filter("state = 'event'").select("log", "pos", "gap", v, e)
+    kind = lambda f: F.schema_of_variant(F.try_variant_get("v", f"$.{f}", "variant"))
+    out = []
+    for f in (x.split() for x in EVENT.split(", ")):
+        if len(f) < 2 or "<" in f[1]:
+            continue
+        own = F.col(f"e.{f[0]}")
+        if f[0] == "payload":
+            own = F.when(kind("payload") == "STRING", quoted(own)).otherwise(own)
+        elif f[1] == "string":
+            own = F.when(kind(f[0]) == "STRING", own)
+        else:
+            number = F.try_variant_get("v", f"$.{f[0]}", "double")
+            own = F.when(kind(f[0]) == "BIGINT", own).when(kind(f[0]).rlike("^(DOUBLE|FLOAT|DECIMAL)") & (number == F.floor(number)), number.try_cast("long"))
+        out.append(own.alias(f[0]))
+    return rows.select("log", "pos", "gap", *out, "e.countersignatures")
 
 
 def quarantine(scan: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -101,10 +137,3 @@ def swept_lines(scan: DataFrame, seals: DataFrame, word: str) -> DataFrame:
     text = F.to_json(F.struct(F.lit(1).alias("v"), F.lit(word).alias("marker"), (F.col("sealed") + 1).alias("truncated_before"), "tip", (F.col("sealed") + 1).alias("next_seq")))
     kept = rows.filter("not _gone").join(gone.select("log", F.lit(True).alias("_swept")), "log", "left").filter("state <> 'marker' or _swept is null")
     return kept.select("log", "pos", "raw").unionByName(gone.select("log", F.lit(-1).cast("long").alias("pos"), text.alias("raw")))
-
-
-def append(log: DataFrame, path: str) -> None:
-    """Add events as JSON lines in files of their own; a scan of the folder reads them with the rest. Repeated ids are an error, and nothing is written."""
-    if not log.groupBy("id").count().filter("count > 1").isEmpty():
-        raise ValueError("duplicate id in what is appended")
-    log.write.mode("append").json(path)

@@ -197,12 +197,8 @@ def test_blob_store(spark):
     assert {r.key: (r.size, r.refcount) for r in blobs.stats(store, refs).collect()} == {k["a"]: (1, 2), k["b"]: (1, 1)}
 
 
-def test_append_snapshot_and_backoff(spark, tmp_path):
+def test_snapshot_and_backoff(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, seq long")
-    with pytest.raises(ValueError, match="duplicate id"):
-        log.append(rows.unionByName(rows), str(tmp_path / "log"))
-    log.append(rows, str(tmp_path / "log"))
-    assert log.events(written(log.scanned(spark, str(tmp_path / "log")), "s")).count() == 2
     views = {"events": rows}
     assert retention.snapshot(views, f"file://{tmp_path}/snap", 1)["db_seq"] == 2
     with pytest.raises(RuntimeError, match="ERR_SNAPSHOT_IN_FLIGHT"):
