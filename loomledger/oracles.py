@@ -86,6 +86,16 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT CASE WHEN k = 0 THEN 12 WHEN k = 3 THEN 1 WHEN k = 5 AND l_partkey > 0 THEN l_partkey END AS value, l_linenumber = 7 AS odd FROM v)
             SELECT CASE WHEN value IS NULL THEN 'entry rejected: value must be a positive integer' WHEN odd THEN 'entry rejected: state cannot be recorded offline' ELSE 'fit' END AS verdict,
                 count(*) AS n, sum(CASE WHEN NOT odd THEN value END)::BIGINT AS total FROM w GROUP BY 1""",
+        "append_scan": f"""WITH RECURSIVE {_LEDGER}, o AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY seq % 3 = 0, seq) AS place FROM ev),
+            ch AS (SELECT device_id, 0::BIGINT AS place, NULL::VARCHAR AS id, NULL::VARCHAR AS payload, ''::VARCHAR AS prev_hash, 'GENESIS' AS hash FROM (SELECT DISTINCT device_id FROM ev)
+                UNION ALL SELECT o.device_id, o.place, o.id, o.payload, ch.hash, sha256('{{"id":"' || o.id || '","seq":' || o.place || ',"type":"' || o.type || '","actor":"' || o.actor || '","device_id":"' || o.device_id
+                    || '","ts_device":' || o.ts_device || ',"payload":' || o.payload || ',"prev_hash":"' || ch.hash || '"}}') FROM ch JOIN o ON o.device_id = ch.device_id AND o.place = ch.place + 1)
+            SELECT device_id AS log, place - 1 AS pos, place AS seq, id, payload, prev_hash, hash, NULL::VARCHAR AS fault FROM ch WHERE place > 0""",
+        "scan_recovery": f"""WITH {_LEDGER}, k AS (SELECT *, seq % 50 AS m, seq = max(seq) OVER (PARTITION BY device_id) AS is_last FROM ev),
+            x AS (SELECT *, CASE WHEN is_last THEN 'torn' WHEN m = 7 THEN 'bad' ELSE 'event' END AS state FROM k WHERE is_last OR m <> 9),
+            y AS (SELECT *, state = 'event' AND coalesce(lag(state) OVER (PARTITION BY device_id ORDER BY seq) = 'bad', false) AS gap FROM x)
+            SELECT 'event' AS what, seq, id, CASE WHEN m <> 15 THEN type END AS type, gap, CASE m WHEN 15 THEN 'event without type' WHEN 11 THEN 'payload must be an object' END AS said FROM y WHERE state = 'event'
+            UNION ALL SELECT 'quarantined', NULL, NULL, NULL, false, '{{"id":"' || id || '",' || CASE state WHEN 'torn' THEN ' /* torn tail, truncated on open */' ELSE '' END FROM y WHERE state <> 'event'""",
         "chain_append": f"WITH RECURSIVE {_CHAIN} SELECT actor, place AS seq, id, prev_hash, hash FROM ch WHERE place > 0",
         "chain_verify": f"""WITH {_LEDGER}, c AS (SELECT actor, substr(actor, 2)::BIGINT % 5 AS k, count(*) AS n FROM ev GROUP BY actor)
             SELECT actor, NOT ((k = 1 AND n > 3) OR (k = 2 AND n >= 2)) AS ok, CASE WHEN k = 1 AND n > 3 THEN 4 WHEN k = 2 AND n >= 2 THEN 2 END::BIGINT AS at,

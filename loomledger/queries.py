@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomledger.functions import ed25519
-from loomledger.functions.canonical import event_hash
+from loomledger.functions.canonical import event_hash, quoted
 from loomledger.operators import auth, blobs, chain, retention, revoke, sync, tombstone
 from loomledger.operators.fold import Fold, rebuilt_tally
 from loomledger.operators.validate import accepted, corrupt, gated, typed
 from loomledger.plans.event_view import ledger, table
 from loomledger.session import Ledger
-from loomledger.sources.scratch import written
+from loomledger.sources import committed, log
+from loomledger.sources.scratch import shared_folder, written
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -153,6 +155,45 @@ def validation(spark, d):
     return out.groupBy(F.coalesce("poison_reason", F.lit("fit")).alias("verdict")).agg(F.count("*").alias("n"), F.sum(F.when(F.col("poison_reason").isNull(), F.col("value"))).cast("long").alias("total"))
 
 
+# logs
+
+
+@_query
+def append_scan(spark, d):
+    """Every device's log, appended in two commits, one of them sent twice, read back and verified line by line."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    rows = ledger(spark, d)
+    for k in (0, 1, 0):
+        committed.append(rows.filter((F.col("seq") % 3 == 0).cast("int") == k), path, batch=f"b{k}")
+    events = log.events(written(committed.scanned(spark, path), "scan"))
+    return chain.checked(events, "log").select("log", "pos", "seq", "id", "payload", "prev_hash", "hash", "fault")
+
+
+def _faulty_lines(spark, d):
+    """Every device's log as lines: cut, blank, of wrong types, and the last one torn."""
+    n = F.col("n")
+    rows = ledger(spark, d).withColumns({"n": F.col("seq") % 50, "hash": F.lit(None).cast("string"), "prev_hash": F.lit(None).cast("string")})
+    last = rows.groupBy("device_id").agg(F.max("seq").alias("last"))
+    rows = rows.join(F.broadcast(last), "device_id")  # a row a device
+    seq, kind = F.when(n == 13, F.concat(F.col("seq").cast("string"), F.lit(".0"))).otherwise(F.col("seq").cast("string")), F.when(n == 15, "5").otherwise(quoted(F.col("type")))
+    body = F.when(n == 11, quoted(F.col("payload"))).otherwise(F.col("payload"))
+    line = F.concat(F.lit('{"id":'), quoted(F.col("id")), F.lit(',"seq":'), seq, F.lit(',"type":'), kind, F.lit(',"payload":'), body, F.lit("}"))
+    cut = F.concat(F.lit('{"id":'), quoted(F.col("id")), F.lit(","))
+    line = F.when((n == 7) | (F.col("seq") == F.col("last")), cut).when(n == 9, "\r").otherwise(F.concat(line, F.lit("\r")))
+    return rows.select("device_id", "seq", line.alias("value"))
+
+
+@_query
+def scan_recovery(spark, d):
+    """Lines written from events, with planted faults: the events that are left, with their types and gaps, and what is quarantined."""
+    path = f"{shared_folder(spark)}/lines-{uuid.uuid4().hex}"
+    _faulty_lines(spark, d).repartition("device_id").sortWithinPartitions("device_id", "seq").select("device_id", "value").write.partitionBy("device_id").text(path)
+    scan = written(log.scanned(spark, path), "scan")
+    found = typed(log.events(scan)).select(F.lit("event").alias("what"), "seq", "id", "type", "gap", F.col("poison_reason").alias("said"))
+    lost = log.quarantine(scan).select(F.lit("quarantined").alias("what"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("type"), F.lit(False).alias("gap"), F.col("raw").alias("said"))
+    return found.unionByName(lost)
+
+
 # chains
 
 
