@@ -21,9 +21,12 @@ class Ledger:
         self.fold = Fold(events)
         self._events = self.fold.events.select(*events.columns)
 
+    def view(self, name: str) -> DataFrame:
+        """One view; only tally, tally_moves, conflicts and records fold the moves."""
+        return self._events if name == "_events" else getattr(self.fold, name)()
+
     def views(self) -> dict[str, DataFrame]:
-        f = self.fold
-        return dict(zip(VIEWS, (self._events, f.entries(), f.tally(), f.tally_moves(), f.conflicts(), f.records()), strict=True))
+        return {name: self.view(name) for name in VIEWS}
 
     def query(self, sql: str, params: dict[str, Any] | list | None = None) -> DataFrame:
         """SELECT over the views; named parameters may be written :x, $x or @x, positional ones as ?. What would change anything is refused before it runs."""
@@ -32,10 +35,11 @@ class Ledger:
             sql = _QUOTED_OR_NAME.sub(lambda m: m[0] if m["quoted"] else f":{m['name']}", sql)
         if not _only_reads(self.spark, sql):
             raise ValueError("only queries are run here; events are appended, settings have calls of their own")
-        used = set(re.findall(r"\w+", sql))
-        for name, df in self.views().items():
-            if name in used:
-                df.createOrReplaceTempView(name)
+        # names are compared as the engine does, without case; only views that are named are built
+        named = {w.lower() for w in re.findall(r"\w+", _LITERAL.sub(" ", sql))}
+        for name in VIEWS:
+            if name in named:
+                self.view(name).createOrReplaceTempView(name)
         return self.spark.sql(sql, args=params) if params else self.spark.sql(sql)
 
     def conflicts(self) -> DataFrame:
@@ -59,6 +63,8 @@ class Ledger:
 
 #: Text that no parameter stands in (literals, names in quotes, comments), or a parameter.
 _QUOTED_OR_NAME = re.compile(r"""(?s)(?P<quoted>'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/)|[$@](?P<name>\w+)""")
+#: Texts and comments, in which no view is named.
+_LITERAL = re.compile(r"(?s)'(?:[^'\\]|\\.)*'|--[^\n]*|/\*.*?\*/")
 _WRITES = ("org.apache.spark.sql.catalyst.plans.logical.Command", "org.apache.spark.sql.catalyst.plans.logical.ParsedStatement")
 
 
