@@ -3,11 +3,17 @@
 Candidates are private-key blocks, passwords in addresses, tokens that follow a
 known shape, and values given to a name that contains a credential word. The forest sees each candidate's length, character classes and
 transitions, the share of it that dictionary words cover, the file path named
-before it, and the words beside it (credential and checksum words). It is trained
-here, from labelled findings that a seeded generator writes in the common shapes
-of secrets and of what passes for them (checksums, ids, placeholders, paths);
-LABELLED bounds them. The trees then become one SQL expression, so that scoring
-is built-in functions.
+before it, and the words beside it: credential and checksum words, and whether the
+name that a value is given to ends in a credential word (`db_password`) or merely
+contains one (`author`, `token_count`). It is trained here, from two kinds of
+labelled findings. FINDINGS of them, the first by a hash, are proposed in the
+scanned documents that are not held out, and labelled by rules that are no
+features: a value of much entropy given to a credential is a secret; numbers with
+a card's check digit and what no credential word stands near are not. LABELLED
+come from a seeded generator, in the shapes of secrets and of what passes for
+them (checksums, ids, placeholders, paths, other names), since documents may
+hold few. The trees then become one SQL expression, so that scoring is built-in
+functions.
 
 Every part of the pattern either starts where a run of its characters starts or
 takes runs whole (possessively), so that its time is linear in a text's length.
@@ -29,7 +35,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LABELLED = 5000
+from ._common import held_out
+
+LABELLED = 6000
+FINDINGS = 2000
+#: Bits a character from which a value given to a credential is taken for a secret when findings are labelled.
+ENTROPY = 3.0
 TREES = 25
 DEPTH = 7
 SEED = 7
@@ -38,7 +49,7 @@ THRESHOLD = 0.5
 BEFORE = 80
 
 #: Words that stand beside secrets, and beside what merely looks like one; dictionary words of placeholders and identifiers.
-CREDENTIAL_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "bearer", "private_key"]
+CREDENTIAL_WORDS = ["password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "auth", "credential", "bearer", "private_key", "authorization", "passphrase"]
 CHECKSUM_WORDS = ["sha1", "sha256", "md5", "checksum", "digest", "commit", "revision", "hash", "etag", "uuid", "guid", "integrity", "build"]
 DICTIONARY = [
     "about", "access", "account", "action", "admin", "after", "alpha", "application", "archive", "array", "asset", "author", "backup", "base", "before", "beta", "branch", "bucket", "build", "button",
@@ -61,6 +72,7 @@ SHAPES = [
     r"gh[pousr]_[0-9A-Za-z]{36}",
     r"xox[abprs]-[0-9A-Za-z-]{10,}",
     r"sk_live_[0-9A-Za-z]{16,}",
+    r"AIza[0-9A-Za-z_-]{35}",
     r"eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}+",
 ]
 #: A private-key block; if it is cut off, its long lines.
@@ -78,7 +90,12 @@ _ADDRESS = r"(?<![A-Za-z0-9+.-])[A-Za-z0-9+.-]++://[^\s/:@\"']*+:"
 _EDGE = r"(?<![A-Za-z0-9+/_-])"
 #: Everything proposed: a key block, an address's password, a value given to a credential name, or a token of a known shape; the plain shape needs a digit and starts where its run of characters does.
 PROPOSE = rf"{_EDGE}(?:{KEY_BLOCK}|{_ADDRESS}[^\s/@\"']++(?=@)|{_HEAD}[^\s\"']{{6,}}+|{'|'.join(SHAPES)}|(?<!=)(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{{16,}}+)"
-FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "distinct", "hex", "numeric", "uuid", "known", "dictionary", "slashes", "credential", "checksum", "assigned", "in_path", "config_path", "example_path", "address", "letters"]
+FEATURES = ["length", "digits", "uppers", "symbols", "transitions", "distinct", "hex", "numeric", "uuid", "known", "dictionary", "slashes", "credential", "checksum", "assigned", "in_path", "config_path", "example_path", "address", "letters", "named", "phrase", "password_name"]
+#: Names whose values people choose as words, and words that stand inside or before a credential word without naming one.
+PASSWORD_WORDS = ["password", "passwd", "pwd", "passphrase"]
+OTHER_NAMES = ["author", "authority", "authentic", "authored", "secretary", "secretariat", "tokenizer", "tokenized", "tokens", "passworded", "bearers", "credentialed"]
+#: Behind a credential word that ends a name: what may follow, and the assignment.
+_ENDS = r"(?:[_-]?(?:key|value|[0-9]+))*[\"']?\]?\s*(?:=>|:=|[=:])\s*[\"']?(?:(?:bearer|basic|token)\s+)?$"
 #: A file named on the candidate's line before it, up to its line number.
 _PATH = r"([\w.-]*[/.][\w./-]*\w)(?::\d+)?:\s[^\n]*$"
 
@@ -93,7 +110,7 @@ def features(candidate: Column, before: Column) -> Column:
     runs = candidate
     for pattern, one in ((r"[0-9]+", "0"), (r"[a-z]+", "a"), (r"[A-Z]+", "A"), (r"[^0-9a-zA-Z]+", "-")):
         runs = F.regexp_replace(runs, pattern, one)
-    low = F.lower(before)
+    low = F.lower(F.regexp_replace(before, "([a-z])([A-Z])", "$1_$2"))
     path = F.regexp_extract(low, _PATH, 1)
     n = F.greatest(F.length(candidate), F.lit(1))
     yes = lambda c: c.cast("double")
@@ -118,6 +135,9 @@ def features(candidate: Column, before: Column) -> Column:
         yes(path.rlike("|".join(map(re.escape, EXAMPLE_PATHS)))),
         yes(before.rlike(rf"{_ADDRESS}$")),
         yes(candidate.rlike(r"^[A-Z]?[a-z]+[.,;:!?)]*$|^[A-Z]+[.,;:!?)]*$")),
+        yes(low.rlike(rf"(?<![a-z])(?:{_CREDENTIAL}){_ENDS}")),
+        yes(candidate.rlike(r"^[A-Za-z]+(?:[-_.][A-Za-z]+){2,}$")),
+        yes(low.rlike(rf"(?<![a-z])(?:{'|'.join(PASSWORD_WORDS)}){_ENDS}")),
     ]
     return F.struct(*[v.cast("double").alias(name) for name, v in zip(FEATURES, values, strict=True)])
 
@@ -135,7 +155,17 @@ def labelled(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, int]]:
     address = lambda: prose() + r.choice(["postgres", "https", "redis", "amqp", "mongodb+srv", "ftp"]) + "://" + r.choice(["", draw("abcdefghinorstuw", 5), r.choice(DICTIONARY)]) + ":"
     lower = "abcdefghijklmnopqrstuvwxyz"
     mixed = lambda chars, k: "".join(r.sample(draw(chars, k - 2) + r.choice("0123456789") + r.choice("!@#$%^&*?~"), k))
+    capital = lambda k: draw(lower, k).capitalize()
+    file_name = lambda: f"{r.choice(DICTIONARY)}_v{r.randint(1, 9)}.{r.choice(['py', 'js', 'json', 'txt'])}"
+    value = lambda: r.choice([capital(r.randint(3, 8)) + draw("0123456789", 4) + r.choice(["", "x"]), "-".join((draw("12", 1) + draw("0123456789", 3), "1" + draw("012", 1), "2" + draw("0123456789", 1))) + r.choice(["", "T1" + draw("0123456789", 1)]), file_name(), draw("123456789", 4) + draw(lower, r.randint(2, 7)), r.choice(DICTIONARY) + "-" + draw(lower, 5) + "-" + draw(lower, 4) + draw("0123456789", 1), draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 3) + draw("0123456789", 5) + r.choice(["", "x"]), draw(alnum, r.randint(8, 24))])
+    other = lambda: r.choice([r.choice(OTHER_NAMES), r.choice(CREDENTIAL_WORDS) + r.choice("_-") + r.choice([*DICTIONARY, draw(lower, 5)])])
+    gives = lambda: r.choice(["=", " = ", ": ", '="', ":", " := "])
     kinds = [
+        lambda: (value(), prose() + r.choice(["", "", "my_", "x-"]) + other() + gives(), 0),
+        lambda: (value(), prose() + r.choice(["", "", "my_", "x-"]) + other() + gives(), 0),
+        lambda: (r.choice("-_.").join(r.choice([draw(lower, r.randint(3, 8)), r.choice(DICTIONARY)]) for _ in range(r.randint(3, 5))), assign(r.choice(PASSWORD_WORDS)), 1),
+        lambda: (r.choice("-_.").join(r.choice([draw(lower, r.randint(3, 8)), r.choice(DICTIONARY)]) for _ in range(r.randint(3, 5))), prose() + r.choice([other(), r.choice(DICTIONARY)]) + gives(), 0),
+        lambda: ("AIza" + draw(alnum + "_-", 35), prose(), 1),
         lambda: (draw(hexa, r.randint(12, 40)), assign(r.choice(CREDENTIAL_WORDS)), 1),
         lambda: (draw(alnum, r.randint(12, 48)), assign(r.choice(CREDENTIAL_WORDS)), 1),
         lambda: (draw(alnum, r.randint(8, 14)) + r.choice("!@#$%"), assign(r.choice(["password", "passwd", "pwd"])), 1),
@@ -167,9 +197,35 @@ def labelled(n: int = LABELLED, seed: int = SEED) -> list[tuple[str, str, int]]:
     return [r.choice(kinds)() for _ in range(n)]
 
 
-def trained(spark: SparkSession) -> list[list]:
+def _luhn(digits: Column) -> Column:
+    """Whether a text of digits has a card's check digit."""
+    each = F.transform(F.reverse(F.filter(F.split(digits, ""), lambda c: c != "")), lambda c, i: F.when(i % 2 == 0, c.try_cast("int")).otherwise(F.when(c.try_cast("int") > 4, 2 * c.try_cast("int") - 9).otherwise(2 * c.try_cast("int"))))
+    return F.coalesce(F.aggregate(each, F.lit(0), lambda s, x: s + x) % 10 == 0, F.lit(False))
+
+
+def entropy(text: Column) -> Column:
+    """Bits a character, by how often each stands in the text."""
+    each = F.filter(F.split(text, ""), lambda c: c != "")
+    n = F.size(each).cast("double")
+    parts = F.transform(F.array_distinct(each), lambda c: F.size(F.filter(each, lambda x: x == c)).cast("double"))
+    return F.aggregate(parts, F.lit(0.0), lambda s, k: s - k / n * F.log2(k / n))
+
+
+def findings(docs: DataFrame, most: int = FINDINGS, held: bool = False) -> DataFrame:
+    """(candidate, before, label): what documents hold, where a rule tells; of documents that are held out, or of the others."""
+    rows = docs.filter(held_out(F.col("doc_id")) == F.lit(held)).select("text")
+    found = _proposed(rows).filter("matched is not null").select(F.explode("parts").alias("p")).select("p.candidate", "p.before").distinct()
+    found = found.orderBy(F.xxhash64("candidate", "before"), "candidate", "before").limit(most)  # the bound of what is learned from
+    given = F.lower("before").rlike(rf"(?<![a-z])(?:{_CREDENTIAL}){_ENDS}")
+    plain = F.col("candidate").rlike("^[0-9]+$") & _luhn(F.col("candidate"))
+    label = F.when(plain | ~F.lower("before").rlike(_CREDENTIAL), 0).when(given & (entropy(F.col("candidate")) >= ENTROPY) & F.col("candidate").rlike("[0-9]"), 1)
+    known = F.col("candidate").rlike(rf"^(?:{KEY_BLOCK}|{'|'.join(SHAPES)})$") | F.col("before").rlike(rf"{_ADDRESS}$")
+    return found.filter(~known).withColumn("label", label).filter("label is not null")
+
+
+def trained(docs: DataFrame) -> list[list]:
     """The forest's trees as nested [feature, threshold, low branch, high branch] or a leaf's label."""
-    rows = spark.createDataFrame(labelled(), "candidate string, before string, label int").coalesce(1)
+    rows = docs.sparkSession.createDataFrame(labelled(), "candidate string, before string, label int").unionByName(findings(docs)).coalesce(1).sortWithinPartitions("candidate", "before", "label")
     rows = rows.select(features(F.col("candidate"), F.col("before")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label")
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="0.6").fit(rows)
@@ -199,22 +255,26 @@ def vote(trees: list, f: Column) -> Column:
     return total / len(trees)
 
 
-def _scored(docs: DataFrame, trees: list) -> DataFrame:
-    """Per row: `row` with all of docs' columns, `text`, `matched` (null: nothing proposed), `between` and `parts` (candidate, head, score): the text is between[0] + head + candidate + between[1] + ..."""
+def _proposed(docs: DataFrame) -> DataFrame:
+    """Per row: `row` with all of docs' columns, `text`, `matched` (null: nothing proposed), `between` and `parts` (candidate, head, before): the text is between[0] + head + candidate + between[1] + ..."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
     has = F.coalesce(F.col("text").rlike(PROPOSE), F.lit(False))
     rows = rows.select("row", "text", F.when(has, F.regexp_extract_all("text", F.lit(f"({PROPOSE})"), F.lit(1))).alias("matched"), F.when(has, F.split("text", PROPOSE)).alias("between"))
     head = lambda m: F.regexp_extract(m, f"^({_ADDRESS}|{_HEAD})", 1)
     parts = F.transform("matched", lambda m, i: F.struct(m.alias("whole"), head(m).alias("head"), F.get("between", i).alias("gap")))
     parts = F.transform(parts, lambda p: F.struct(F.substring(p["whole"], F.length(p["head"]) + 1, F.length(p["whole"])).alias("candidate"), p["head"].alias("head"), F.concat(F.right(p["gap"], F.lit(BEFORE)), p["head"]).alias("before")))
-    rows = rows.withColumn("parts", parts)
-    rows = rows.withColumn("parts", F.transform("parts", lambda p: F.struct(p["candidate"].alias("candidate"), p["head"].alias("head"), features(p["candidate"], p["before"]).alias("f"))))
+    return rows.withColumn("parts", parts)
+
+
+def _scored(docs: DataFrame, trees: list) -> DataFrame:
+    """Proposed rows, each part with its score."""
+    rows = _proposed(docs).withColumn("parts", F.transform("parts", lambda p: F.struct(p["candidate"].alias("candidate"), p["head"].alias("head"), features(p["candidate"], p["before"]).alias("f"))))
     return rows.withColumn("parts", F.transform("parts", lambda p: F.struct(p["candidate"].alias("candidate"), p["head"].alias("head"), vote(trees, p["f"]).alias("score"))))
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """Per candidate: doc_id, start and end (characters from 0), secret_sha256, score, is_secret."""
-    rows = _scored(docs.select("doc_id", "text"), trained(docs.sparkSession)).filter("matched is not null")
+    rows = _scored(docs.select("doc_id", "text"), trained(docs)).filter("matched is not null")
     gaps = F.slice("between", F.lit(1), F.size("matched"))
     # running ends of the pieces before each candidate, per row, without another shuffle
     sizes = F.zip_with(gaps, "parts", lambda g, p: F.struct((F.length(g) + F.length(p["head"])).alias("ahead"), F.length(p["candidate"]).alias("own"), p.alias("p")))
@@ -237,7 +297,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """docs with every secret's characters replaced; all rows and columns stay. n_chars, if there is one, follows the text."""
-    rows = _scored(docs, trained(docs.sparkSession))
+    rows = _scored(docs, trained(docs))
     pieces = F.transform("parts", lambda p, i: F.concat(F.get("between", i), p["head"], F.when(p["score"] >= THRESHOLD, F.lit(mark)).otherwise(p["candidate"])))
     clean = F.when(F.col("matched").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), F.element_at("between", -1)))
     rows = rows.select("row", "matched", clean.alias("clean"))

@@ -48,7 +48,7 @@ def test_secret_patterns_take_linear_time(spark):
 
 
 def test_forest_on_findings_it_has_not_seen(spark):
-    trees = secrets.trained(spark)
+    trees = secrets.trained(docs(spark, []))
     rows = spark.createDataFrame(secrets.labelled(3000, seed=secrets.SEED + 1), "candidate string, before string, label int")
     said = rows.select("label", (secrets.vote(trees, secrets.features(F.col("candidate"), F.col("before"))) >= secrets.THRESHOLD).alias("said"))
     n = {(r.label, r.said): r["count"] for r in said.groupBy("label", "said").count().collect()}
