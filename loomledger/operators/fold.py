@@ -3,19 +3,17 @@
 Replaying event by event would be one task's work. What an event does to its
 target depends only on sequence numbers, so undos and transitions are summed up
 per target (partial aggregation, one shuffle) and joined to the events they
-name, whether they came before or after them. Only the tally's underflow test is
-sequential: per item, over a sorted partition, with one balance as state.
+name, whether they came before or after them. Only the tally's underflow test
+depends on every step before it; segments.py folds it, hot items in parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomledger.functions.payload import number_text
+from loomledger.operators.segments import SEGMENT, folded
 from loomledger.operators.validate import typed
 from loomledger.schema import ADD, DOMAIN, ENTRY, REMOVE, TRANSITIONS, UNDO
 from loomledger.sources.scratch import written
@@ -29,9 +27,10 @@ def _state_of(kind: Column) -> Column:
 
 
 class Fold:
-    """All views of one log; events need seq, id, type, actor and payload. Ids and seqs are unique among the fit events."""
+    """All views of one log; events need seq, id, type, actor and payload. Ids and seqs are unique among the fit events. segment: steps of an item that are folded as one."""
 
-    def __init__(self, events: DataFrame, is_typed: bool = False) -> None:
+    def __init__(self, events: DataFrame, is_typed: bool = False, segment: int = SEGMENT) -> None:
+        self._segment = segment
         self.typed = events if is_typed else written(typed(events), "typed_events")  # parsed once, read by every view
         self.events = self.typed.filter("poison_reason is null").drop("poison_reason")
         refs = self.events.filter(F.col("type").isin(UNDO, *TRANSITIONS))
@@ -68,9 +67,7 @@ class Fold:
         steps = m.withColumn("at", F.explode(F.when(F.col("first_undo").isNull(), F.array(F.struct(F.col("seq").alias("pos"), F.lit(0).alias("kind"))))
             .otherwise(F.array(F.struct(F.col("seq").alias("pos"), F.lit(0).alias("kind")), F.struct(F.greatest("seq", "first_undo").alias("pos"), F.lit(1).alias("kind"))))))
         steps = steps.select("item", "at.pos", "at.kind", "seq", "id", "qty", "remove", "first_undo")
-        ordered = steps.repartition("item").sortWithinPartitions("item", "pos", "kind")
-        folded = ordered.mapInPandas(_balances, "seq long, event_id string, item string, qty double, underflow boolean, on_hand double, first_undo long")
-        return folded.withColumn("voided", (F.col("underflow") | F.col("first_undo").isNotNull()).cast("int"))
+        return folded(steps, self._segment).withColumn("voided", (F.col("underflow") | F.col("first_undo").isNotNull()).cast("int"))
 
     def tally_moves(self) -> DataFrame:
         return self.moves_in_full().select("seq", "event_id", "item", "qty", "voided")
@@ -115,31 +112,6 @@ class Fold:
         return known.unionByName(undo.filter(parked).select("seq", F.col("id").alias("event_id"), "type", F.col("payload").alias("body")))
 
 
-def _balances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted steps of whole items: each move with what was on hand and whether it fell short. State: one balance, and short moves whose undo is still to come."""
-    now, balance, short = None, 0.0, set()
-    for pdf in batches:
-        out = []
-        for item, kind, seq, move, qty, remove, first_undo in zip(pdf["item"], pdf["kind"], pdf["seq"], pdf["id"], pdf["qty"], pdf["remove"], pdf["first_undo"], strict=True):
-            if item != now:
-                now, balance, short = item, 0.0, set()
-            if kind:
-                if move in short:
-                    short.discard(move)
-                else:
-                    balance -= qty
-                continue
-            under, had = bool(remove) and -qty > balance, balance
-            if under:
-                if first_undo == first_undo and first_undo is not None:
-                    short.add(move)
-            else:
-                balance += qty
-            out.append((seq, move, item, qty, under, had, None if first_undo != first_undo else first_undo))
-        frame = pd.DataFrame(out, columns=["seq", "event_id", "item", "qty", "underflow", "on_hand", "first_undo"])
-        yield frame.astype({"first_undo": "Int64"})
-
-
 def rebuilt_tally(moves: DataFrame) -> DataFrame:
     """(item, qty) from moves alone; items without live moves are gone."""
     return moves.filter("voided = 0").groupBy("item").agg(F.sum("qty").alias("qty"))

@@ -36,6 +36,7 @@ _FOLD = (
         FROM run JOIN steps s ON s.item = run.item AND s.r = run.r + 1),
     mv AS (SELECT m.*, run.under, run.had, (run.under OR m.first_undo IS NOT NULL)::INT AS voided FROM m JOIN run ON run.id = m.id AND run.kind = 0)"""
 )
+_BY_ITEM, _ONE_ITEM = "THEN 'i' || (k % 20) END AS item", "THEN 'x' END AS item"
 _REVOKES = """r AS (SELECT 'r' || event_id AS hash, CASE WHEN event_id % 8 < 4 THEN 'REVOKE-GENESIS' ELSE 'r' || (event_id - 3) END AS prev,
     CASE WHEN event_id % 7 = 0 THEN '*' ELSE 't' || (user_id % 50) END AS token_id, 'd' || (user_id % 8) AS device_id, event_id % 5 AS epoch FROM events WHERE event_type = 'error')"""
 _CHAIN = (
@@ -86,6 +87,7 @@ def oracle_sql() -> dict[str, str]:
             w AS (SELECT CASE WHEN k = 0 THEN 12 WHEN k = 3 THEN 1 WHEN k = 5 AND l_partkey > 0 THEN l_partkey END AS value, l_linenumber = 7 AS odd FROM v)
             SELECT CASE WHEN value IS NULL THEN 'entry rejected: value must be a positive integer' WHEN odd THEN 'entry rejected: state cannot be recorded offline' ELSE 'fit' END AS verdict,
                 count(*) AS n, sum(CASE WHEN NOT odd THEN value END)::BIGINT AS total FROM w GROUP BY 1""",
+        "tally_one_item": f"WITH RECURSIVE {_FOLD.replace(_BY_ITEM, _ONE_ITEM)} SELECT seq, id AS event_id, item, qty::DOUBLE AS qty, under AS underflow, had::DOUBLE AS on_hand, voided FROM mv",
         "append_scan": f"""WITH RECURSIVE {_LEDGER}, o AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY seq % 3 = 0, seq) AS place FROM ev),
             ch AS (SELECT device_id, 0::BIGINT AS place, NULL::VARCHAR AS id, NULL::VARCHAR AS payload, ''::VARCHAR AS prev_hash, 'GENESIS' AS hash FROM (SELECT DISTINCT device_id FROM ev)
                 UNION ALL SELECT o.device_id, o.place, o.id, o.payload, ch.hash, sha256('{{"id":"' || o.id || '","seq":' || o.place || ',"type":"' || o.type || '","actor":"' || o.actor || '","device_id":"' || o.device_id

@@ -61,6 +61,13 @@ def tally(spark, d):
     return _fold(spark, d).tally()
 
 
+@_query
+def tally_one_item(spark, d):
+    """All moves are one item's: it is folded in segments of 512 steps."""
+    payload = F.regexp_replace("payload", r'"item":"i\d+"', '"item":"x"')
+    return Fold(ledger(spark, d).withColumn("payload", payload), segment=512).moves_in_full().select("seq", "event_id", "item", "qty", "underflow", "on_hand", "voided")
+
+
 @_query
 def tally_moves(spark, d):
     return _fold(spark, d).tally_moves()

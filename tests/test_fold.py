@@ -27,14 +27,14 @@ def random_log(r, n):
     return out
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_fold_equals_sequential_model(spark, seed):
+@pytest.mark.parametrize(("seed", "segment"), [(0, 1 << 16), (1, 1 << 16), (2, 6), (3, 11)])
+def test_fold_equals_sequential_model(spark, seed, segment):
     r = random.Random(seed)
     log = random_log(r, 150)
     model = Model()
     for e in log:
         model.apply(*e)
-    f = Fold(make(spark, log))
+    f = Fold(make(spark, log), segment=segment)
     assert {x.event_id: (x.state, x.voided) for x in f.entries().collect()} == {k: (v["state"], v["voided"]) for k, v in model.entries.items()}
     assert {x.event_id: (x.item, x.qty, x.voided) for x in f.tally_moves().collect()} == {k: (v["item"], v["qty"], v["voided"]) for k, v in model.moves.items()}
     assert {x.item: x.qty for x in f.tally().collect()} == model.tally
