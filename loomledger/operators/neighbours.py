@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Places of a log that one window sees.
@@ -21,3 +21,18 @@ def before(rows: DataFrame, log: str, order: str, name: str, *columns: str) -> D
     rows = rows.withColumn("_inside", F.lag(own).over(Window.partitionBy(log, "_zone").orderBy(order)))
     rows = rows.join(edges, F.col(log).eqNullSafe(F.col("_log")) & (F.col("_zone") == F.col("_z")), "left")
     return rows.withColumn(name, F.coalesce("_inside", "_edge")).drop("_zone", "_log", "_z", "_inside", "_edge")
+
+
+def running(rows: DataFrame, log: str, order: str, **sums: Column) -> DataFrame:
+    """rows plus, by name, the sum of a column over the log's rows up to each, itself included; ties of order by `id`.
+
+    Zones of a log are summed apart, and a zone's sums follow the totals of the zones before it.
+    """
+    rows = rows.withColumn("_zone", F.floor(F.col(order) / ZONE)).withColumns({f"_of_{k}": v.cast("long") for k, v in sums.items()})
+    before = Window.partitionBy(log).orderBy("_zone").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(log, "_zone").agg(*[F.sum(f"_of_{k}").alias(f"_all_{k}") for k in sums])
+    totals = totals.select(F.col(log).alias("_log"), F.col("_zone").alias("_z"), *[F.coalesce(F.sum(f"_all_{k}").over(before), F.lit(0)).alias(f"_ahead_{k}") for k in sums])
+    within = Window.partitionBy(log, "_zone").orderBy(order, "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({k: F.sum(f"_of_{k}").over(within) for k in sums})
+    rows = rows.join(totals, F.col(log).eqNullSafe(F.col("_log")) & (F.col("_zone") == F.col("_z")))
+    return rows.withColumns({k: F.col(k) + F.col(f"_ahead_{k}") for k in sums}).drop("_zone", "_log", "_z", *[f"_of_{k}" for k in sums], *[f"_ahead_{k}" for k in sums])

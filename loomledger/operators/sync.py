@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomledger.operators.fold import rebuilt_tally
+from loomledger.operators.neighbours import running
+from loomledger.sources.scratch import written
 
 
 def want(manifest: DataFrame, local: DataFrame) -> DataFrame:
@@ -60,8 +62,11 @@ def pulled(remote: DataFrame, stored: DataFrame, logged: DataFrame, revoked: Dat
         .otherwise("applied")
     )
     rows = rows.withColumn("disposition", word)
-    again = F.row_number().over(Window.partitionBy("id", "disposition").orderBy("pos")) > 1
-    return rows.withColumn("disposition", F.when((F.col("disposition") == "applied") & again, "duplicate").otherwise(F.col("disposition"))).drop("_origin", "_stored", "_logged", "_revoked")
+    # only what would be applied can be a repetition; every other row is a group of its own, so that rows without an id share none
+    applied = F.col("disposition") == "applied"
+    rows = rows.withColumn("_group", F.when(applied, F.concat(F.lit("i"), "id")).otherwise(F.monotonically_increasing_id().cast("string")))
+    again = F.row_number().over(Window.partitionBy("_group").orderBy("pos")) > 1
+    return rows.withColumn("disposition", F.when(applied & again, "duplicate").otherwise(F.col("disposition"))).drop("_origin", "_stored", "_logged", "_revoked", "_group")
 
 
 def delivered(wanted: DataFrame, fetched: DataFrame, dead: DataFrame) -> DataFrame:
@@ -161,6 +166,38 @@ def page(relay: DataFrame, since: int, max_events: int, max_bytes: int) -> DataF
     return head.withColumn("bytes_so_far", total).filter(F.col("bytes_so_far") <= max_bytes)
 
 
+def pages(feed: DataFrame, max_events: int, max_bytes: int, log: str = "relay") -> DataFrame:
+    """Every event of whole feeds (log, pos, id, json) with the page it comes in, from 1; `too_large` for one that no page can hold: there its feed ends, and what lies behind has no page.
+
+    Where a page that begins at an event would end follows from running sums of bytes, found by one sort of ends among
+    sums. The beginnings that a reader meets are those that pointers reach from the first: found by doubling, in as many
+    passes as the number of pages has binary digits.
+    """
+    size = F.octet_length("json")
+    rows = written(running(feed.select(log, "pos", "id", size.cast("long").alias("bytes")), log, "pos", place=F.lit(1), upto=F.col("bytes")), "pages")
+    # how many events fit below a page's last byte: among all running sums, the rank of the sum before plus the budget
+    ends = rows.select(log, (F.col("upto") - F.col("bytes") + max_bytes).alias("at"), F.lit(0).alias("one"), F.lit("~").alias("id"), "place")
+    sums = rows.select(log, F.col("upto").alias("at"), F.lit(1).alias("one"), F.lit("").alias("id"), "place")  # sums come before an end of equal value
+    fit = running(ends.unionByName(sums), log, "at", fit=F.col("one")).filter("one = 0").select(log, "place", "fit")
+    after = F.least(F.col("fit") + 1, F.col("place") + max_events)
+    last = rows.groupBy(log).agg(F.max("place").alias("last"))
+    jump = fit.withColumn("next", after).filter("next > place").join(last, log).filter("next <= last").select(log, F.col("place").alias("a"), F.col("next").alias("b"))
+    jump = written(jump, "page_jumps")
+    begins = written(rows.filter("place = 1").select(log, "place"), "page_begins")
+    while True:
+        reached = begins.join(jump, (begins[log] == jump[log]) & (begins["place"] == jump["a"])).select(begins[log], F.col("b").alias("place"))
+        if reached.isEmpty():
+            break
+        begins = written(begins.unionByName(reached).distinct(), "page_begins")
+        step = jump.select(F.col(log).alias("_log"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+        jump = written(jump.join(step, (F.col(log) == F.col("_log")) & (F.col("b") == F.col("_a"))).select(log, "a", F.col("_b").alias("b")), "page_jumps")
+    rows = rows.join(begins.withColumn("_first", F.lit(1)), [log, "place"], "left").withColumn("_first", F.coalesce("_first", F.lit(0)))
+    stop = rows.filter((F.col("_first") == 1) & (F.col("bytes") > max_bytes)).groupBy(log).agg(F.min("place").alias("_stop"))
+    rows = running(rows, log, "place", page=F.col("_first")).join(stop, log, "left")
+    inside = F.coalesce(F.col("place") < F.col("_stop"), F.lit(True))
+    return rows.select(log, "pos", "id", F.when(inside, F.col("page")).alias("page"), F.coalesce(F.col("place") == F.col("_stop"), F.lit(False)).alias("too_large"))
+
+
 def over_budget(events: DataFrame, max_events: int, max_bytes: int) -> DataFrame:
     """One row: events, those above the byte budget, and whether the batch is refused."""
     out = events.agg(F.count("*").alias("events"), F.count_if(F.octet_length("json") > max_bytes).alias("too_large"))

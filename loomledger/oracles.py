@@ -88,6 +88,32 @@ def oracle_sql() -> dict[str, str]:
             SELECT CASE WHEN value IS NULL THEN 'entry rejected: value must be a positive integer' WHEN odd THEN 'entry rejected: state cannot be recorded offline' ELSE 'fit' END AS verdict,
                 count(*) AS n, sum(CASE WHEN NOT odd THEN value END)::BIGINT AS total FROM w GROUP BY 1""",
         "tally_one_item": f"WITH RECURSIVE {_FOLD.replace(_BY_ITEM, _ONE_ITEM)} SELECT seq, id AS event_id, item, qty::DOUBLE AS qty, under AS underflow, had::DOUBLE AS on_hand, voided FROM mv",
+        "relay_pages": f"""WITH RECURSIVE {_LEDGER}, f AS (SELECT device_id AS relay, seq AS pos, id, octet_length(encode(CASE WHEN id = 'e507' THEN repeat('x', 5000) ELSE id || payload END)) AS b, row_number() OVER (PARTITION BY device_id ORDER BY seq) AS p FROM ev),
+            g AS (SELECT relay, p, 1::BIGINT AS page, 1 AS n, b AS total, b > 900 AS stuck, b > 900 AS too_large FROM f WHERE p = 1
+                UNION ALL SELECT f.relay, f.p, CASE WHEN n < 40 AND total + b <= 900 THEN page ELSE page + 1 END, CASE WHEN n < 40 AND total + b <= 900 THEN n + 1 ELSE 1 END, CASE WHEN n < 40 AND total + b <= 900 THEN total + b ELSE b END,
+                    g.stuck OR b > 900, NOT g.stuck AND b > 900 FROM g JOIN f ON f.relay = g.relay AND f.p = g.p + 1)
+            SELECT relay, pos, id, CASE WHEN NOT stuck THEN page END AS page, too_large FROM g JOIN f USING (relay, p)""",
+        "push_chunks": with_ledger
+        + """, p AS (SELECT *, row_number() OVER w AS place, seq % 61 = 0 AND device_id IN ('d0', 'd1', 'd2', 'd3') AS lost FROM ev WHERE seq > CASE WHEN device_id IN ('d3', 'd4') THEN 200 ELSE 0 END WINDOW w AS (PARTITION BY device_id ORDER BY seq)),
+            s AS (SELECT *, min(CASE WHEN lost THEN place END) OVER (PARTITION BY device_id) AS stop, (place - 1) // 10 AS chunk FROM p)
+            SELECT device_id, seq, id, chunk, coalesce(chunk <= (stop - 1) // 10, true) AS sent, CASE WHEN coalesce(chunk <= (stop - 1) // 10, true) AND NOT lost THEN seq + 1700000000000 END AS server_time,
+                CASE WHEN chunk > (stop - 1) // 10 THEN 'unsent' WHEN place >= stop THEN 'held' WHEN seq % 50 = 3 THEN 'dead' ELSE 'acked' END AS outcome FROM s""",
+        "push_totals": with_ledger
+        + """, p AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY seq) AS place, seq % 97 = 0 AS lost FROM ev WHERE seq > 30),
+            s AS (SELECT *, coalesce(min(CASE WHEN lost THEN place END) OVER (PARTITION BY device_id), 1000000000000) AS stop FROM p),
+            t AS (SELECT device_id, count(*) FILTER ((place - 1) // 10 <= (stop - 1) // 10) AS pushed, count(*) FILTER (place < stop AND seq % 50 <> 3) AS acked, count(*) FILTER (place < stop AND seq % 50 = 3) AS dead, max(seq) FILTER (place < stop) AS t FROM s GROUP BY device_id)
+            SELECT device_id, coalesce(pushed, 0) AS pushed, coalesce(acked, 0) AS acked, coalesce(dead, 0) AS dead, coalesce(t, 30) AS since FROM (SELECT DISTINCT device_id FROM ev) LEFT JOIN t USING (device_id)""",
+        "delta_chunks": with_ledger
+        + """, m AS (SELECT device_id, id, seq, seq AS place FROM ev UNION ALL SELECT device_id, id, seq, seq + 1000000000 FROM ev WHERE seq % 40 = 1),
+            o1 AS (SELECT *, CASE WHEN seq % 31 = 0 THEN 'hold' WHEN seq % 23 = 0 THEN 'poison' WHEN seq % 101 = 0 THEN 'hold' WHEN place <> seq THEN 'duplicate' ELSE 'applied' END AS word FROM m WHERE seq % 3 <> 0),
+            h1 AS (SELECT *, coalesce(sum((word = 'hold')::INT) OVER (PARTITION BY device_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o1),
+            r1 AS (SELECT *, CASE WHEN before >= 10 THEN 'left' ELSE word END AS outcome FROM h1),
+            k AS (SELECT device_id, id FROM r1 WHERE outcome IN ('applied', 'poison')),
+            w2 AS (SELECT device_id, id, seq, place, outcome = 'left' AS was_left FROM r1 WHERE outcome IN ('hold', 'left') AND NOT EXISTS (SELECT 1 FROM k WHERE k.device_id = r1.device_id AND k.id = r1.id)),
+            o2 AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY was_left, place) AS q, row_number() OVER (PARTITION BY device_id, id ORDER BY was_left, place) AS nth FROM w2),
+            o3 AS (SELECT *, CASE WHEN seq % 31 = 0 THEN 'hold' WHEN seq % 23 = 0 THEN 'poison' WHEN nth > 1 THEN 'duplicate' ELSE 'applied' END AS word FROM o2),
+            h2 AS (SELECT *, coalesce(sum((word = 'hold')::INT) OVER (PARTITION BY device_id ORDER BY q ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o3)
+            SELECT 1 AS run, device_id, id, outcome FROM r1 UNION ALL SELECT 2, device_id, id, CASE WHEN before >= 10 THEN 'left' ELSE word END FROM h2""",
         "append_scan": f"""WITH RECURSIVE {_LEDGER}, o AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY seq % 3 = 0, seq) AS place FROM ev),
             ch AS (SELECT device_id, 0::BIGINT AS place, NULL::VARCHAR AS id, NULL::VARCHAR AS payload, ''::VARCHAR AS prev_hash, 'GENESIS' AS hash FROM (SELECT DISTINCT device_id FROM ev)
                 UNION ALL SELECT o.device_id, o.place, o.id, o.payload, ch.hash, sha256('{{"id":"' || o.id || '","seq":' || o.place || ',"type":"' || o.type || '","actor":"' || o.actor || '","device_id":"' || o.device_id

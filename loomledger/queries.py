@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomledger.functions import ed25519
 from loomledger.functions.canonical import event_hash, quoted
-from loomledger.operators import auth, blobs, chain, retention, revoke, sync, tombstone
+from loomledger.operators import auth, blobs, chain, chunks, retention, revoke, sync, tombstone
 from loomledger.operators.fold import Fold, rebuilt_tally
 from loomledger.operators.validate import accepted, corrupt, gated, typed
 from loomledger.plans.event_view import ledger, table
@@ -366,6 +366,51 @@ def relay_page(spark, d):
     return sync.page(relay, 100, 500, 6000)
 
 
+@_query
+def relay_pages(spark, d):
+    """Every event's page in the feeds of eight relays, one of which holds an event that no page can."""
+    rows = ledger(spark, d)
+    text = F.when(F.col("id") == "e507", F.repeat(F.lit("x"), 5000)).otherwise(F.concat("id", "payload"))
+    return sync.pages(rows.select(F.col("device_id").alias("relay"), F.col("seq").alias("pos"), "id", text.alias("json")), 40, 900)
+
+
+@_query
+def push_chunks(spark, d):
+    """Every device's pending events in chunks of ten: some unacknowledged, some acknowledged but unfit."""
+    rows = ledger(spark, d)
+    acks = rows.filter(~((F.col("seq") % 61 == 0) & F.col("device_id").isin("d0", "d1", "d2", "d3"))).select("id", (F.col("seq") + 1_700_000_000_000).alias("server_time"))
+    cursors = rows.filter("device_id in ('d3', 'd4')").select("device_id", F.lit(200).cast("long").alias("since")).distinct()
+    out = chunks.pushed(rows, acks, cursors, rows.filter("seq % 50 = 3"))
+    return out.select("device_id", "seq", "id", "chunk", "sent", "server_time", "outcome")
+
+
+@_query
+def push_totals(spark, d):
+    """What each device's push comes to."""
+    rows = ledger(spark, d)
+    acks = rows.filter("seq % 97 <> 0").select("id", F.lit(1).cast("long").alias("server_time"))
+    cursors = rows.select("device_id", F.lit(30).cast("long").alias("since")).distinct()
+    return chunks.push_summary(chunks.pushed(rows, acks, cursors, rows.filter("seq % 50 = 3")), cursors)
+
+
+@_query
+def delta_chunks(spark, d):
+    """Two delta runs per device, the second from what the first has committed: ids not delivered, unfit, not stored, or wanted twice."""
+    rows = ledger(spark, d).select("device_id", F.col("seq").alias("place"), "id")
+    manifest = rows.unionByName(rows.filter("place % 40 = 1").withColumn("place", F.col("place") + 1_000_000_000))
+    served = rows.filter("place % 31 <> 0").select("device_id", "id", F.when(F.col("place") % 23 == 0, "unfit").alias("poison_reason"), (F.col("place") % 101 != 0).alias("stored"))
+    state = chunks.State(spark, f"{shared_folder(spark)}/delta-{uuid.uuid4().hex}")
+    local = written(rows.filter("place % 3 = 0").select("device_id", "id"), "local")
+    out = []
+    for run in (1, 2):
+        outcomes, _ = chunks.delta_round(state, manifest, local, served, size=10)
+        outcomes = written(outcomes.select(F.lit(run).alias("run"), "device_id", "id", "outcome"), "outcomes")
+        local = local.unionByName(outcomes.filter("outcome = 'applied'").select("device_id", "id"))
+        served = served.withColumn("stored", F.lit(True))  # storing works from here on
+        out.append(outcomes)
+    return out[0].unionByName(out[1])
+
+
 @_query
 def push_budget(spark, d):
     return sync.over_budget(ledger(spark, d).select(F.col("payload").alias("json")), 500, 16)

@@ -61,6 +61,18 @@ def create_if_absent(spark: SparkSession, path: str, text: str) -> bool:
         fs.delete(draft, False)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, where = _fs(spark, path)
+    fs.mkdirs(where)
+
+
+def newest(spark: SparkSession, path: str) -> int:
+    """The greatest number of the files `<n>.json` in a folder; 0 if there are none."""
+    fs, where = _fs(spark, path)
+    names = [s.getPath().getName() for s in fs.listStatus(where)] if fs.exists(where) else []
+    return max([int(n.removesuffix(".json")) for n in names if n.endswith(".json")], default=0)
+
+
 def commits(spark: SparkSession, path: str) -> DataFrame:
     """(n, batch, commit) of every commit."""
     fs, where = _fs(spark, f"{path}/commits")
@@ -138,7 +150,7 @@ def append(events: DataFrame, path: str, log: str = "device_id", batch: str | No
         segments = own.groupBy("log").agg(F.count("*").alias("lines"), F.max("seq").alias("last_seq"), F.max_by("hash", "seq").alias("tip"))
         segments.write.parquet(f"{path}/segments/commit={commit}")
         own.select("log", "id").write.parquet(f"{path}/ids/commit={commit}")
-        _fs(spark, f"{path}/commits")[0].mkdirs(_fs(spark, f"{path}/commits")[1])
+        make_folder(spark, f"{path}/commits")
         if create_if_absent(spark, f"{path}/commits/{head + 1:012d}.json", json.dumps({"n": head + 1, "batch": batch, "commit": commit})):
             return head + 1
         for what in ("data", "segments", "ids"):
