@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,8 +30,27 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/loomledger"
 
 
-#: Folders of scratch tables in the order they were made.
-_made: list[str] = []
+class _Made(threading.local):
+    """Folders of scratch tables in the order they were made, for each thread its own: runs in other threads are not touched."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_made = _Made()
+
+
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def noted(spark: SparkSession, folder: str) -> str:
+    """A folder that goes with this run's scratch tables, and at the latest when the application ends."""
+    _made.folders.append(folder)
+    fs, path = _hadoop(spark, folder)
+    fs.deleteOnExit(path)
+    return folder
 
 
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -39,22 +61,32 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    _made.append(path)
+    noted(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def made() -> int:
-    """How many scratch tables there are, as a mark for drop_made."""
-    return len(_made)
+    """How many scratch tables this thread has made, as a mark for drop_made."""
+    return len(_made.folders)
 
 
 def drop_made(spark: SparkSession, since: int, but_last: bool = False) -> None:
-    """Delete the scratch tables made since a mark (but for the last one), once all that reads them is itself written."""
-    end = len(_made) - but_last
-    for folder in _made[since:end]:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    del _made[since:end]
+    """Delete this thread's scratch tables since a mark (but for the last one), once all that reads them is itself written."""
+    end = len(_made.folders) - but_last
+    for folder in _made.folders[since:end]:
+        fs, path = _hadoop(spark, folder)
+        fs.delete(path, True)
+    del _made.folders[since:end]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A run: its scratch tables go at its end, so what it returns must be written or collected inside."""
+    begun = made()
+    try:
+        yield
+    finally:
+        drop_made(spark, begun)
 
 
 def ascii_lower(text: Column) -> Column:

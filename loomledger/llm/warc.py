@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import id_text, ids, scratch_dir, written
+from ._common import id_text, ids, noted, scratch_dir, written
 
 #: Entries of an index block, index rows of a file, and bytes of an archive before the next begins.
 BLOCK = 256
@@ -179,7 +179,7 @@ def _folder(spark: SparkSession, name: str) -> str:
     uri = f"{base if ':' in base.split('/')[0] else 'file://' + base}/{name}-{uuid.uuid4().hex}"
     system, path = _open(uri)
     system.create_dir(path, recursive=True)
-    return uri
+    return noted(spark, uri)
 
 
 def _indexer(folder: str):
