@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,7 +23,39 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a stored Parquet table: it survives lost executors, and filters and pruning reach it."""
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df as a stored Parquet table: it survives lost executors, and filters and pruning reach it. It goes when the application ends, or with its run()."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fs, where = _hadoop(spark, path)
+    fs.deleteOnExit(where)
+    _made.folders.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+class _Made(threading.local):
+    """The tables that each thread has made."""
+
+    def __init__(self):
+        self.folders: list[str] = []
+
+
+_made = _Made()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+@contextmanager
+def run(spark: SparkSession) -> Iterator[None]:
+    """Tables that this thread makes inside go at its end, so what they serve must be written or collected by then."""
+    begun = len(_made.folders)
+    try:
+        yield
+    finally:
+        for path in _made.folders[begun:]:
+            fs, where = _hadoop(spark, path)
+            fs.delete(where, True)
+        del _made.folders[begun:]
