@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomledger.sources.scratch import written
+
 #: Places of a log that one window sees.
 ZONE = 1 << 20
 
@@ -36,3 +38,19 @@ def running(rows: DataFrame, log: str, order: str, **sums: Column) -> DataFrame:
     rows = rows.withColumns({k: F.sum(f"_of_{k}").over(within) for k in sums})
     rows = rows.join(totals, F.col(log).eqNullSafe(F.col("_log")) & (F.col("_zone") == F.col("_z")))
     return rows.withColumns({k: F.col(k) + F.col(f"_ahead_{k}") for k in sums}).drop("_zone", "_log", "_z", *[f"_of_{k}" for k in sums], *[f"_ahead_{k}" for k in sums])
+
+
+def reachable(begins: DataFrame, jump: DataFrame, log: str) -> DataFrame:
+    """(log, place): the places that pointers (log, a, b) lead to from where each log begins (log, place), these included; every place points to one at most.
+
+    By doubling: each pass adds what lies as many pointers behind what is known as are known by then, so a path of n takes log n passes.
+    """
+    begins = written(begins.select(log, "place"), "reached")
+    jump = written(jump.select(log, "a", "b"), "pointers")
+    while True:
+        more = begins.join(jump, (begins[log] == jump[log]) & (begins["place"] == jump["a"])).select(begins[log], F.col("b").alias("place"))
+        if more.isEmpty():
+            return begins
+        begins = written(begins.unionByName(more).distinct(), "reached")
+        step = jump.select(F.col(log).alias("_log"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+        jump = written(jump.join(step, (F.col(log) == F.col("_log")) & (F.col("b") == F.col("_a"))).select(log, "a", F.col("_b").alias("b")), "pointers")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomledger.operators.fold import rebuilt_tally
-from loomledger.operators.neighbours import running
+from loomledger.operators.neighbours import reachable, running
 from loomledger.sources.scratch import written
 
 
@@ -182,15 +182,7 @@ def pages(feed: DataFrame, max_events: int, max_bytes: int, log: str = "relay")
     after = F.least(F.col("fit") + 1, F.col("place") + max_events)
     last = rows.groupBy(log).agg(F.max("place").alias("last"))
     jump = fit.withColumn("next", after).filter("next > place").join(last, log).filter("next <= last").select(log, F.col("place").alias("a"), F.col("next").alias("b"))
-    jump = written(jump, "page_jumps")
-    begins = written(rows.filter("place = 1").select(log, "place"), "page_begins")
-    while True:
-        reached = begins.join(jump, (begins[log] == jump[log]) & (begins["place"] == jump["a"])).select(begins[log], F.col("b").alias("place"))
-        if reached.isEmpty():
-            break
-        begins = written(begins.unionByName(reached).distinct(), "page_begins")
-        step = jump.select(F.col(log).alias("_log"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-        jump = written(jump.join(step, (F.col(log) == F.col("_log")) & (F.col("b") == F.col("_a"))).select(log, "a", F.col("_b").alias("b")), "page_jumps")
+    begins = reachable(rows.filter("place = 1"), jump, log)
     rows = rows.join(begins.withColumn("_first", F.lit(1)), [log, "place"], "left").withColumn("_first", F.coalesce("_first", F.lit(0)))
     stop = rows.filter((F.col("_first") == 1) & (F.col("bytes") > max_bytes)).groupBy(log).agg(F.min("place").alias("_stop"))
     rows = running(rows, log, "place", page=F.col("_first")).join(stop, log, "left")

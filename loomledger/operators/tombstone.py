@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomledger.operators.neighbours import reachable
 from loomledger.schema import HIDE, SHOW
 from loomledger.sources.scratch import written
 
@@ -86,18 +87,34 @@ def guard(events: DataFrame, log: DataFrame, held: DataFrame, sealed: int, ack:
     low = blocked.filter("blocks").agg(F.min("seq")).first()[0]
     seal = clamp if low is None else low - 1
     effective = guard_seal(events, log, held, sealed, ack)
-    parted: list[tuple[int, int]] = []
-    if effective < seal:
-        ops = operations(events).select(F.col("seq").alias("op_seq"), "target")
-        both = ops.join(events.select(F.col("id").alias("target"), F.col("seq").alias("target_seq")), "target").select("target_seq", "op_seq")
-        near = written(both.filter((F.least("target_seq", "op_seq") <= seal) & (F.greatest("target_seq", "op_seq") > effective)), "island")
-        while seal > effective:  # as often as pairs are reported
-            pair = near.filter((F.col("target_seq") <= seal) != (F.col("op_seq") <= seal)).agg(F.min(F.struct("op_seq", "target_seq")).alias("p")).first()["p"]
-            if pair is None:
-                break
-            parted.append((pair["target_seq"], pair["op_seq"]))
-            seal = max(0, min(parted[-1]) - 1)
-    return effective, blocked, parted
+    if effective >= seal:
+        return effective, blocked, []
+    ops = operations(events).select(F.col("seq").alias("op_seq"), "target")
+    both = ops.join(events.select(F.col("id").alias("target"), F.col("seq").alias("target_seq")), "target").select("target_seq", "op_seq")
+    near = written(both.filter((F.least("target_seq", "op_seq") <= seal) & (F.greatest("target_seq", "op_seq") > effective)), "island")
+    return effective, blocked, [(r["target_seq"], r["op_seq"]) for r in parted(near, seal, effective).orderBy(F.desc("seal")).collect()]
+
+
+def parted(pairs: DataFrame, seal: int, effective: int) -> DataFrame:
+    """(seal, target_seq, op_seq): the pairs that move a seal, one after the other, from `seal` down: of those it parts the earliest operation's, below whose lesser seq it comes to lie next.
+
+    A pair is parted by the seals between its seqs. That range is cut into dyadic blocks, at most two a level, and each
+    seal lies in one block a level; so for every seal that may come up its pair is found by one join, and where they lead by doubling.
+    """
+    lo, hi = F.least("target_seq", "op_seq"), F.greatest("target_seq", "op_seq")
+    levels = F.explode(F.sequence(F.lit(0), F.lit(max(1, seal.bit_length()))))
+    size = F.expr("shiftleft(1L, level)")
+    rows = pairs.withColumns({"lo": lo, "hi": F.least(hi, F.lit(seal + 1))}).filter("lo < hi").withColumn("level", levels)
+    rows = rows.withColumns({"left": F.ceil(F.col("lo") / size), "right": F.floor(F.col("hi") / size)}).filter("left < right")
+    ends = F.filter(F.array(F.when(F.col("left") % 2 == 1, F.col("left")), F.when(F.col("right") % 2 == 1, F.col("right") - 1)), lambda x: x.isNotNull())
+    blocks = rows.withColumn("block", F.explode(ends)).groupBy("level", "block").agg(F.min(F.struct("op_seq", "target_seq")).alias("first"))
+    seals = pairs.select(F.greatest(F.lit(0), lo - 1).alias("seal")).filter(F.col("seal").between(effective, seal)).unionByName(pairs.sparkSession.createDataFrame([(seal,)], "seal long")).distinct()
+    within = seals.withColumn("level", levels).withColumn("block", F.floor(F.col("seal") / size))
+    moved = within.join(blocks, ["level", "block"]).groupBy("seal").agg(F.min("first").alias("p")).filter(F.col("seal") > effective)
+    moved = written(moved.select("seal", "p.target_seq", "p.op_seq"), "moved_seals")
+    jump = moved.select(F.lit(0).alias("all"), F.col("seal").alias("a"), F.greatest(F.lit(0), F.least("target_seq", "op_seq") - 1).alias("b"))
+    begin = pairs.sparkSession.createDataFrame([(0, seal)], "all int, place long")
+    return moved.join(reachable(begin, jump, "all").select(F.col("place").alias("seal")), "seal").select("seal", "target_seq", "op_seq")
 
 
 def planned(requests: DataFrame, events: DataFrame) -> DataFrame:
