@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import LOWER, UPPER, drop_made, id_text, ids, made, written
+from ._common import drop_made, id_text, ids, made, written
 
 WORDS = 5
 BANDS = 48
@@ -59,15 +59,28 @@ SALTS = 64
 #: Cells of the counts that bound how many shingles beyond the pivot's two members share.
 CELLS = 256
 BROADCAST_IDS = 1_000_000
-_TABLE = str.maketrans(UPPER, LOWER)
-_SPACES = {9: " ", 10: " ", 11: " ", 12: " ", 13: " "}
-_TABLE.update(_SPACES)
+#: Words whose hashes a worker keeps.
+KNOWN = 1 << 18
 _K = BANDS * ROWS
 
 
+class _Hashes(dict):
+    """Words' hashes, the latest KNOWN of them kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        return out
+
+
+_hash_of = _Hashes().__getitem__
+
+
 def word_hashes(text: str) -> np.ndarray:
-    words = [w for w in text.translate(_TABLE).split(" ") if w]
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
+    """Hashes of the words in order; as bytes, A-Z alone are lower-cased and blanks are \\x20 and \\x09-\\x0D."""
+    words = text.encode().lower().split()
+    return np.fromiter(map(_hash_of, words), np.uint64, len(words))
 
 
 def shingles(text: str | None) -> np.ndarray:
