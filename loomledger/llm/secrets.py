@@ -6,8 +6,8 @@ transitions, the share of it that dictionary words cover, the file path named
 before it, and the words beside it: credential and checksum words, and whether the
 name that a value is given to ends in a credential word (`db_password`) or merely
 contains one (`author`, `token_count`). It is trained here, from two kinds of
-labelled findings. FINDINGS of them, the first by a hash, are proposed in the
-scanned documents that are not held out, and labelled by rules that are no
+labelled findings. FINDINGS of them, the first by a hash, are proposed in
+DOCUMENTS of the scanned documents that are not held out, and labelled by rules that are no
 features: a value of much entropy given to a credential is a secret; numbers with
 a card's check digit and what no credential word stands near are not. LABELLED
 come from a seeded generator, in the shapes of secrets and of what passes for
@@ -35,10 +35,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import held_out
+from ._common import held_out, written
 
 LABELLED = 6000
 FINDINGS = 2000
+#: Documents that findings are taken from, the first by a hash of their ids.
+DOCUMENTS = 4000
 #: Bits a character from which a value given to a credential is taken for a secret when findings are labelled.
 ENTROPY = 3.0
 TREES = 25
@@ -213,7 +215,8 @@ def entropy(text: Column) -> Column:
 
 def findings(docs: DataFrame, most: int = FINDINGS, held: bool = False) -> DataFrame:
     """(candidate, before, label): what documents hold, where a rule tells; of documents that are held out, or of the others."""
-    rows = docs.filter(held_out(F.col("doc_id")) == F.lit(held)).select("text")
+    chosen = docs.filter(held_out(F.col("doc_id")) == F.lit(held)).select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(DOCUMENTS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("text")  # at most DOCUMENTS ids
     found = _proposed(rows).filter("matched is not null").select(F.explode("parts").alias("p")).select("p.candidate", "p.before").distinct()
     found = found.orderBy(F.xxhash64("candidate", "before"), "candidate", "before").limit(most)  # the bound of what is learned from
     given = F.lower("before").rlike(rf"(?<![a-z])(?:{_CREDENTIAL}){_ENDS}")
@@ -227,6 +230,7 @@ def trained(docs: DataFrame) -> list[list]:
     """The forest's trees as nested [feature, threshold, low branch, high branch] or a leaf's label."""
     rows = docs.sparkSession.createDataFrame(labelled(), "candidate string, before string, label int").unionByName(findings(docs)).coalesce(1).sortWithinPartitions("candidate", "before", "label")
     rows = rows.select(features(F.col("candidate"), F.col("before")).alias("f"), F.col("label").cast("double").alias("label")).select("f.*", "label")
+    rows = written(rows, "secret_findings")  # learning reads them many times
     rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
     model = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="0.6").fit(rows)
     return [_branch(tree._call_java("rootNode")) for tree in model.trees]
@@ -261,7 +265,9 @@ def _proposed(docs: DataFrame) -> DataFrame:
     has = F.coalesce(F.col("text").rlike(PROPOSE), F.lit(False))
     rows = rows.select("row", "text", F.when(has, F.regexp_extract_all("text", F.lit(f"({PROPOSE})"), F.lit(1))).alias("matched"), F.when(has, F.split("text", PROPOSE)).alias("between"))
     head = lambda m: F.regexp_extract(m, f"^({_ADDRESS}|{_HEAD})", 1)
-    parts = F.transform("matched", lambda m, i: F.struct(m.alias("whole"), head(m).alias("head"), F.get("between", i).alias("gap")))
+    # zipped outside of the lambda, in which the text would be split anew for every candidate
+    found = F.filter(F.arrays_zip("matched", "between"), lambda z: z["matched"].isNotNull())
+    parts = F.transform(found, lambda z: F.struct(z["matched"].alias("whole"), head(z["matched"]).alias("head"), z["between"].alias("gap")))
     parts = F.transform(parts, lambda p: F.struct(F.substring(p["whole"], F.length(p["head"]) + 1, F.length(p["whole"])).alias("candidate"), p["head"].alias("head"), F.concat(F.right(p["gap"], F.lit(BEFORE)), p["head"]).alias("before")))
     return rows.withColumn("parts", parts)
 
