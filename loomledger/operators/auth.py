@@ -30,6 +30,12 @@ def listed(rows: DataFrame, keys: DataFrame, on: Column, name: str, *more: str)
     return rows.join(keys, on == F.col(f"_{name}"), "left").withColumn(name, F.col(f"_{name}").isNotNull()).drop(f"_{name}")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows, dealt evenly over all tasks: a signature costs far more than its bytes tell, and a small file is one task's."""
+    spark = rows.sparkSession
+    return rows.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _object(**parts: Column) -> Column:
     out = [F.concat(F.lit(f'"{k}":'), v) for k, v in parts.items()]
     return F.concat(F.lit("{"), F.concat_ws(",", *out), F.lit("}"))
@@ -100,7 +106,7 @@ def countersigned(events: DataFrame, registry: DataFrame, threshold: int) -> Dat
         raise ValueError(f"threshold {threshold} out of range 1..{size}")
     votes = events.select("id", "hash", (event_hash() == F.col("hash")).alias("_whole"), F.explode("countersignatures").alias("c"))
     votes = listed(votes, registry.select("device_id", F.col("pem").alias("_pem")), F.col("c.deviceId"), "_known", "_pem")
-    votes = votes.withColumn("_ok", holds(F.col("_pem"), F.col("hash"), F.col("c.signatureHex"), F.col("_known") & _true(F.col("_whole"))))
+    votes = spread(votes).withColumn("_ok", holds(F.col("_pem"), F.col("hash"), F.col("c.signatureHex"), F.col("_known") & _true(F.col("_whole"))))
     tallied = votes.filter("_ok").select("id", "c.deviceId").distinct().groupBy("id").agg(F.count("*").alias("valid"))
     rows = events.select("id").join(tallied, "id", "left").select("id", F.coalesce("valid", F.lit(0)).alias("valid"))
     return rows.withColumn("met", F.col("valid") >= threshold)

@@ -506,7 +506,7 @@ def _signed_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     k = F.col("s_suppkey")
     device = lambda i: F.concat(F.lit("d"), i.cast("string"))
     private = lambda i: F.get(F.array(*[F.lit(x[1]) for x in keys]), i.cast("int"))
-    rows = table(spark, sf_dir, "supplier").select(
+    rows = auth.spread(table(spark, sf_dir, "supplier")).select(
         "s_suppkey",
         F.concat(F.lit("s"), k.cast("string")).alias("id"),
         k.cast("long").alias("seq"),

@@ -144,3 +144,19 @@ def test_signed_revocations(spark):
     assert {r.name: r.rejected for r in revoke.verified(events, admins).collect()} == {k: why for k, (_, why) in rows.items()}
     with pytest.raises(ValueError):
         revoke.signed(private, "ann", "", "d1", 0, 1)
+
+
+def test_multiples_from_tables(monkeypatch):
+    """Tables give the multiples that doubling gives, for scalars with digits of zero and of ones, and for keys of one use as of many."""
+    rng = random.Random(5)
+    for bits in (3, 4, 8):
+        table = ed25519._table(ed25519._BASE, bits)
+        for k in (0, 1, 255, 256, ed25519._ORDER - 1, 1 << 254, rng.getrandbits(255)):
+            assert ed25519._encoded(ed25519._added((0, 1, 1, 0), k, table, bits)) == ed25519._encoded(ed25519._times(k, ed25519._BASE))
+    monkeypatch.setattr(ed25519, "_verifier", ed25519.functools.lru_cache(2)(ed25519._verifier.__wrapped__))  # three keys in turn: some come back without their table
+    for n in range(30):
+        own = n % 3 if n < 15 else 0
+        public, private = KEYS[own]
+        signature, text = ed25519.sign(private, f"many {n}"), f"many {n}"
+        assert ed25519.verify(public, text, signature) and not ed25519.verify(public, text + "x", signature)
+        assert not ed25519.verify(KEYS[(own + 1) % 3][0], text, signature)
