@@ -119,7 +119,7 @@ def authentic(events: DataFrame, registry: DataFrame | None, limit: float | None
     """
     if registry is None:
         return events.withColumn("authentic", F.lit(True))
-    rows = listed(events, registry.select("device_id", F.col("pem").alias("_pem")), F.col("device_id"), "_known", "_pem")
+    rows = listed(spread(events), registry.select("device_id", F.col("pem").alias("_pem")), F.col("device_id"), "_known", "_pem")
     ask = F.col("_known") & _true(event_hash() == F.col("hash")) & _true(F.col("signature") != "")
     rows = rows.withColumn("authentic", holds(F.col("_pem"), F.col("hash"), F.col("signature"), ask))
     if limit is None:

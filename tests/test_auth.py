@@ -160,3 +160,12 @@ def test_multiples_from_tables(monkeypatch):
         signature, text = ed25519.sign(private, f"many {n}"), f"many {n}"
         assert ed25519.verify(public, text, signature) and not ed25519.verify(public, text + "x", signature)
         assert not ed25519.verify(KEYS[(own + 1) % 3][0], text, signature)
+
+
+def test_signatures_use_every_task(spark, registry):
+    """A file of one partition is spread before its signatures are verified."""
+    events = spark.createDataFrame([event(i, 0, 100, signers=[0, 1]) for i in range(1, 9)], EVENT).coalesce(1)
+    tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
+    assert tasks(events) == 1
+    assert tasks(auth.authentic(events, registry)) > 1
+    assert auth.countersigned(events, registry, 2).filter("met and valid = 2").count() == 8
