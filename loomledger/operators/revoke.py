@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomledger.functions import ed25519
 from loomledger.functions.canonical import quoted
-from loomledger.operators.auth import listed
+from loomledger.operators.auth import listed, spread
 from loomledger.sources.scratch import written
 
 ROOT = "REVOKE-GENESIS"
@@ -34,7 +34,7 @@ def verified(events: DataFrame, admins: DataFrame) -> DataFrame:
     c, text = F.col, {"tokenId", "deviceId", "admin", "prev"}
     core = [n.split()[0] for n in SIGNED.split(", ")[:7]]
     parts = [F.concat(F.lit(f'"{n}":'), quoted(c(n)) if n in text else c(n).cast("string")) for n in core]
-    rows = listed(events, admins.select(c("admin").alias("_admin"), c("pem").alias("_pem")), c("admin"), "_known", "_pem")
+    rows = listed(spread(events), admins.select(c("admin").alias("_admin"), c("pem").alias("_pem")), c("admin"), "_known", "_pem")
     empty = lambda n: F.coalesce(c(n) == "", F.lit(True))
     cheap = (
         F.when(~c("v").eqNullSafe(F.lit(VERSION)), F.concat(F.lit("unsupported v "), F.coalesce(c("v").cast("string"), F.lit("null"))))

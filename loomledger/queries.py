@@ -629,7 +629,7 @@ def revoke_since(spark, d):
 def revoke_verify(spark, d):
     """A signed revocation per supplier, with faults by the key's remainders: why each is refused, or null."""
     keys, k = _keys(3), F.col("s_suppkey")
-    core = table(spark, d, "supplier").select(
+    core = auth.spread(table(spark, d, "supplier")).select(
         F.when(k % 17 == 0, revoke.VERSION + 1).otherwise(revoke.VERSION).alias("v"),
         F.when(k % 19 == 0, "").otherwise(F.concat(F.lit("t"), k.cast("string"))).alias("tokenId"),
         F.concat(F.lit("d"), (k % 8).cast("string")).alias("deviceId"),

@@ -165,7 +165,11 @@ def test_multiples_from_tables(monkeypatch):
 def test_signatures_use_every_task(spark, registry):
     """A file of one partition is spread before its signatures are verified."""
     events = spark.createDataFrame([event(i, 0, 100, signers=[0, 1]) for i in range(1, 9)], EVENT).coalesce(1)
+    core = revoke.signed(KEYS[0][1], "a", "t", "d", 1, 5)
+    revokes = spark.createDataFrame([core] * 8, revoke.SIGNED).coalesce(1)
+    admins = spark.createDataFrame([("a", KEYS[0][0])], "admin string, pem string")
     tasks = lambda df: df.select(F.spark_partition_id()).distinct().count()
-    assert tasks(events) == 1
-    assert tasks(auth.authentic(events, registry)) > 1
+    assert tasks(events) == 1 and tasks(revokes) == 1
+    assert tasks(auth.authentic(events, registry)) > 1 and tasks(revoke.verified(revokes, admins)) > 1
     assert auth.countersigned(events, registry, 2).filter("met and valid = 2").count() == 8
+    assert revoke.verified(revokes, admins).filter("rejected is null").count() == 8
