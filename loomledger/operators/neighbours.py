@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from loomledger.sources.scratch import written
 
 #: Places of a log that one window sees.
 ZONE = 1 << 20
+#: Places of a log whose pointers one task follows.
+POINTERS = 1 << 16
 
 
 def before(rows: DataFrame, log: str, order: str, name: str, *columns: str) -> DataFrame:
@@ -40,17 +44,59 @@ def running(rows: DataFrame, log: str, order: str, **sums: Column) -> DataFrame:
     return rows.withColumns({k: F.col(k) + F.col(f"_ahead_{k}") for k in sums}).drop("_zone", "_log", "_z", *[f"_of_{k}" for k in sums], *[f"_ahead_{k}" for k in sums])
 
 
+def _followed(pointers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A zone's pointers by a: a, b, which of them each leads to next (itself where it leads out or ends), and where its path leaves."""
+    pointers = pointers.sort_values("a")
+    a, b = pointers["a"].to_numpy(np.int64), pointers["b"].to_numpy(np.int64)
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    after = np.where(a[at] == b, at, np.arange(len(a))) if len(a) else at
+    last = after
+    for _ in range(len(a).bit_length()):
+        last = last[last]
+    return a, b, after, b[last]
+
+
+def _shortened(key: tuple, pointers: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
+    """(log, a, b): for each place where a path may enter the zone, where it leaves or ends."""
+    a, _, _, out = _followed(pointers)
+    mine = np.isin(a, entries["place"].to_numpy(np.int64))
+    return pd.DataFrame({"log": key[0], "a": a[mine], "b": out[mine]})
+
+
+def _walked(key: tuple, pointers: pd.DataFrame, entries: pd.DataFrame, size: int) -> pd.DataFrame:
+    """(log, place): what is met in the zone of `size` places from where paths enter it."""
+    a, b, after, _ = _followed(pointers)
+    met, seen = set(entries["place"].tolist()), np.zeros(len(a), bool)
+    for i in np.flatnonzero(np.isin(a, entries["place"].to_numpy(np.int64))):
+        while not seen[i]:
+            seen[i] = True
+            met |= {int(a[i]), int(b[i])}
+            i = after[i]
+    return pd.DataFrame({"log": key[0], "place": sorted(p for p in met if p // size == key[1])})
+
+
 def reachable(begins: DataFrame, jump: DataFrame, log: str) -> DataFrame:
     """(log, place): the places that pointers (log, a, b) lead to from where each log begins (log, place), these included; every place points to one at most.
 
-    By doubling: each pass adds what lies as many pointers behind what is known as are known by then, so a path of n takes log n passes.
+    A zone of places is followed by one task, once to learn where the paths that enter it leave, and once from where they
+    do enter. Between zones by doubling: each pass adds what lies as many pointers behind what is known as are known by
+    then, so a path through n zones takes log n passes over the zones' entries alone.
     """
-    begins = written(begins.select(log, "place"), "reached")
-    jump = written(jump.select(log, "a", "b"), "pointers")
+    size = POINTERS
+    zone = lambda c: F.floor(F.col(c) / size)
+    kind = begins.schema[log].dataType.simpleString()
+    all_ = written(jump.select(F.col(log).alias("log"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "pointers")
+    begins = begins.select(F.col(log).alias("log"), F.col("place").cast("long").alias("place"))
+    entries = begins.unionByName(all_.filter(zone("a") != zone("b")).select("log", F.col("b").alias("place"))).distinct()
+    by_zone = lambda rows, c: rows.filter("log is not null").withColumn("zone", zone(c)).groupBy("log", "zone")
+    met = written(begins.distinct(), "reached")
+    jump = written(by_zone(all_, "a").cogroup(by_zone(entries, "place")).applyInPandas(_shortened, f"log {kind}, a long, b long"), "pointers")
     while True:
-        more = begins.join(jump, (begins[log] == jump[log]) & (begins["place"] == jump["a"])).select(begins[log], F.col("b").alias("place"))
-        if more.isEmpty():
-            return begins
-        begins = written(begins.unionByName(more).distinct(), "reached")
-        step = jump.select(F.col(log).alias("_log"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-        jump = written(jump.join(step, (F.col(log) == F.col("_log")) & (F.col("b") == F.col("_a"))).select(log, "a", F.col("_b").alias("b")), "pointers")
+        more = met.join(jump, (met["log"] == jump["log"]) & (met["place"] == jump["a"])).select(met["log"], F.col("b").alias("place"))
+        if more.join(met, ["log", "place"], "left_anti").isEmpty():
+            break
+        met = written(met.unionByName(more).distinct(), "reached")
+        step = jump.select(F.col("log").alias("_log"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+        jump = written(jump.join(step, (F.col("log") == F.col("_log")) & (F.col("b") == F.col("_a"))).select("log", "a", F.col("_b").alias("b")), "pointers")
+    walked = by_zone(all_, "a").cogroup(by_zone(met, "place")).applyInPandas(lambda key, pointers, entries: _walked(key, pointers, entries, size), f"log {kind}, place long")
+    return written(walked.withColumnRenamed("log", log), "walked")

@@ -153,3 +153,30 @@ def test_pages_equal_a_reader(spark, monkeypatch, zone):
             want |= {p: (page, False) for p in range(at, at + kept)}
             at += kept
         assert {p: got[name, 10 * p] for p in range(len(sizes))} == want
+
+
+def test_pointers_by_zones(spark, monkeypatch):
+    """Paths that stay in a zone, cross zones both ways, begin without a pointer, end, or meet; and a path inside a zone costs no doubling."""
+    import random
+
+    from loomledger.operators import neighbours
+
+    rng = random.Random(3)
+    pointers = {(log, a): rng.choice([a + 1, a + 2, a + 5, a + 40]) for log in "xy" for a in range(300) if rng.random() < 0.97}
+    pointers |= {("z", a): max(0, a - rng.choice([1, 2, 9])) for a in range(1, 200)}
+    begins = [("x", 0), ("x", 7), ("y", 1), ("z", 199), ("z", 55), ("w", 4)]
+    want = set()
+    for log, place in begins:
+        while (log, place) not in want:
+            want.add((log, place))
+            place = pointers.get((log, place), place)
+    jump = spark.createDataFrame([(*k, b) for k, b in pointers.items()], "feed string, a long, b long")
+    start = spark.createDataFrame(begins, "feed string, place long")
+    made, write = [], neighbours.written
+    monkeypatch.setattr(neighbours, "written", lambda df, name: made.append(name) or write(df, name))
+    for zone in (8, 1 << 16):
+        monkeypatch.setattr(neighbours, "POINTERS", zone)
+        made.clear()
+        got = [tuple(r) for r in neighbours.reachable(start, jump, "feed").collect()]
+        assert sorted(got) == sorted(want)
+    assert len(made) <= 6  # all in one zone
