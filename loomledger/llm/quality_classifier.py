@@ -2,12 +2,15 @@
 
 A pair prefers a document of label 1 over one of label 0 and, by Bradley-Terry,
 does so with probability sigmoid(w . (x_i - x_j)); w minimises the logistic loss
-of the feature differences plus a ridge term. The decision threshold is a
-quantile of the training scores: the share of label 0 among the labelled rows.
-Scores map to 0..1 so that this quantile falls on 0.7.
-
-Learning uses at most SAMPLE labelled rows per label, the first by a hash of
-the id, of documents that are not held out; PAIRS pairs are drawn from them.
+of the feature differences plus a ridge term. The decision threshold is the
+score that parts as many labelled rows below it as have label 0. Scores map to
+0..1 so that it falls on 0.7.
+
+Learning uses every labelled row that is not held out, and all their pairs, in
+Newton steps: of a row, the sums over its partners need only its score, so each
+step sums rows by label and narrow bins of scores (at most BINS a label), and
+pairs bins with bins. The threshold is selected exactly, by counts in bins that
+narrow down on it. Only sums and counts reach the driver, however many rows.
 Features are built-in functions of the whole text alone, as logarithms, so that
 a long or extreme text moves a score ever less but has no value beyond which
 nothing counts; no label, language, source or id is an input of a score.
@@ -26,14 +29,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, space_words
+from ._common import held_out, space_words, written
 
-SAMPLE = 3000
-PAIRS = 60_000
-STEPS = 300
+BINS = 1024
+WIDTH = 1 / 32  # of a bin of scores, unless that makes more than BINS
+STEPS = 40
 RIDGE = 1e-3
 THRESHOLD = 0.7
-SEED = 11
 FEATURES = ["chars", "symbols", "bangs", "pipes", "uppers", "digits", "lines", "mean_word", "distinct", "distinct_share", "stops"]
 
 
@@ -64,59 +66,118 @@ def features(text: Column) -> Column:
     return F.array(*[F.log1p(v.cast("double")) for v in values])
 
 
-def fit(good: np.ndarray, bad: np.ndarray, share_bad: float) -> dict[str, list[float] | float]:
-    """Weights on standardised features, and the score that falls on the threshold."""
+def _rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), features(F.col("text")).alias("x"))
+
+
+def _raw(model: dict) -> Column:
+    """A row's score before it is mapped to 0..1."""
+    raw = F.lit(-float(model["cut"]))
+    for i, (w, mean, std) in enumerate(zip(model["w"], model["mean"], model["std"], strict=True)):
+        raw = raw + (F.get("x", F.lit(i)) - mean) / std * w
+    return raw
+
+
+def _binned(rows: DataFrame, w: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For label 0 and label 1: how many rows (quality, z) each bin of scores has, the sums of z, and of its products."""
+    k = len(FEATURES)
+    least, most = np.minimum(w * low, w * high).sum(), np.maximum(w * low, w * high).sum()  # no score lies beyond
+    width = float(max(WIDTH, (most - least) / BINS))
+    z = [F.get("z", F.lit(i)) for i in range(k)]
+    raw = sum((x * float(v) for x, v in zip(z, w, strict=True)), F.lit(0.0))
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = [F.count("*").cast("double"), *[F.sum(x) for x in z], *[F.sum(z[i] * z[j]) for i, j in pairs]]
+    found = rows.groupBy("quality", F.floor(raw / width).alias("bin")).agg(F.array(*sums).alias("s")).collect()
+    found.sort(key=lambda r: (r["quality"], r["bin"]))
+    out = []
+    for label in (0, 1):
+        s = np.array([r["s"] for r in found if r["quality"] == label], np.float64)
+        products = np.zeros((len(s), k, k))
+        for n, (i, j) in enumerate(pairs):
+            products[:, i, j] = products[:, j, i] = s[:, 1 + k + n]
+        out.append((s[:, 0], s[:, 1 : 1 + k], products))
+    return out
+
+
+def _step(binned: list[tuple[np.ndarray, np.ndarray, np.ndarray]], w: np.ndarray) -> tuple[float, np.ndarray]:
+    """The loss over all pairs, and Newton's step down from w."""
+    (n0, x0, q0), (n1, x1, q1) = binned
+    apart = (x1 @ w / n1)[:, None] - (x0 @ w / n0)[None]
+    pairs = n0.sum() * n1.sum()
+    p = 1 / (1 + np.exp(np.clip(apart, -500, 500)))
+    slope = p * (1 - p)
+    loss = n1 @ np.logaddexp(0, -apart) @ n0 / pairs + RIDGE * (w @ w) / 2
+    gradient = (x0.T @ (n1 @ p) - x1.T @ (p @ n0)) / pairs + RIDGE * w
+    cross = x1.T @ slope @ x0
+    hessian = (np.tensordot(slope @ n0, q1, 1) + np.tensordot(n1 @ slope, q0, 1) - cross - cross.T) / pairs + RIDGE * np.eye(len(w))
+    return float(loss), -np.linalg.solve(hessian, gradient)
+
+
+def _weights(rows: DataFrame, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where the loss over all pairs of rows (quality, z) is least; a step that does not lower it is halved."""
+    w = at = np.zeros(len(FEATURES))
+    best, step = math.inf, w
+    for _ in range(STEPS):
+        loss, down = _step(_binned(rows, w, low, high), w)
+        if loss <= best + 1e-6:  # bins, unlike steps, are no finer
+            at, best, step = w, loss, down
+        else:
+            step = step / 2
+        w = at + step
+        if np.abs(step).max() < 1e-4:
+            break
+    return w
+
+
+def _cut(scores: DataFrame, n: int) -> float:
+    """Midway between the n-th score (from 1, of column s) and the one after it."""
+    low, high = scores.agg(F.min("s"), F.max("s")).first()
+    behind = 0
+    while low < high:  # bins of the range that holds the n-th; the least and the greatest score never share one
+        place = F.least(F.floor((F.col("s") - low) / ((high - low) / BINS)), F.lit(BINS - 1))
+        for r in scores.filter(F.col("s").between(low, high)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"), F.min("s").alias("low"), F.max("s").alias("high")).orderBy("bin").collect():
+            low, high = r["low"], r["high"]
+            if behind + r["n"] >= n:
+                break
+            behind += r["n"]
+    upto, after = scores.agg(F.count_if(F.col("s") <= low), F.min(F.when(F.col("s") > low, F.col("s")))).first()
+    return (low + (low if upto > n or after is None else after)) / 2
+
+
+def _trained(rows: DataFrame, labels: DataFrame) -> dict:
+    """Learn from all labelled rows of (doc_id, x) that are not held out."""
     k = len(FEATURES)
-    if not len(good) or not len(bad):
+    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality").distinct()
+    rows = rows.select("doc_id", "x").join(known, "doc_id").groupBy("quality", "doc_id").agg(F.min("x").alias("x"))  # one row of an id, however often it stands
+    rows = written(rows.select("quality", "x"), "labelled")
+    x = [F.get("x", F.lit(i)) for i in range(k)]
+    known = [f(v).cast("double") for f in (F.avg, F.stddev_pop, F.min, F.max) for v in x]
+    bad, good, *known = rows.agg(F.count_if(F.col("quality") == 0), F.count_if(F.col("quality") == 1), *known).first()
+    if not good or not bad:
         return {"w": [0.0] * k, "mean": [0.0] * k, "std": [1.0] * k, "cut": 0.0}
-    both = np.vstack([good, bad])
-    mean, std = both.mean(0), both.std(0) + 1e-6
-    r = np.random.default_rng(SEED)
-    diff = ((good[r.integers(len(good), size=PAIRS)] - bad[r.integers(len(bad), size=PAIRS)]) / std).astype(np.float64)
-    w = np.zeros(k)
-    m, v = np.zeros(k), np.zeros(k)
-    for t in range(1, STEPS + 1):  # Adam on the whole set of pairs
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        g = -(diff * p[:, None]).mean(0) + RIDGE * w
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    score_good, score_bad = ((good - mean) / std) @ w, ((bad - mean) / std) @ w
-    # the quantile of all labelled scores, each side weighted by its true share
-    scores = np.concatenate([score_good, score_bad])
-    weight = np.concatenate([np.full(len(good), (1 - share_bad) / len(good)), np.full(len(bad), share_bad / len(bad))])
-    order = np.argsort(scores)
-    at = int(np.searchsorted(np.cumsum(weight[order]), share_bad))
-    at = min(at, len(order) - 2)
-    cut = float((scores[order[at]] + scores[order[at + 1]]) / 2)
-    return {"w": w.tolist(), "mean": mean.tolist(), "std": std.tolist(), "cut": cut}
+    mean, std, low, high = np.array(known, np.float64).reshape(4, k)
+    std = std + 1e-6
+    z = F.array(*[(v - float(m)) / float(s) for v, m, s in zip(x, mean, std, strict=True)])
+    w = _weights(written(rows.select("quality", z.alias("z")), "standardised"), (low - mean) / std, (high - mean) / std)
+    model = {"w": w.tolist(), "mean": mean.tolist(), "std": std.tolist(), "cut": 0.0}
+    return model | {"cut": _cut(written(rows.select(_raw(model).alias("s")), "scores"), bad)}
 
 
 def train(docs: DataFrame, labels: DataFrame) -> dict:
-    """Learn from a bounded sample of labelled rows that are not held out."""
-    known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "quality")
-    counts = {r["quality"]: r["n"] for r in known.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    chosen = None
-    for label in (0, 1):  # top-k by hash: no full sort, at most SAMPLE rows reach the driver
-        part = known.filter(F.col("quality") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "doc_id", features(F.col("text")).alias("x"))
-    rows = found.groupBy("quality", "doc_id").agg(F.min("x").alias("x")).collect()  # one row of an id, however often it stands
-    rows.sort(key=lambda r: (r["quality"], r["doc_id"], tuple(r["x"])))
-    matrix = lambda label: np.array([r["x"] for r in rows if r["quality"] == label], np.float64).reshape(-1, len(FEATURES))
-    total = sum(counts.values())
-    return fit(matrix(1), matrix(0), counts.get(0, 0) / total if total else 0.0)
+    return _trained(_rows(docs), labels)
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """Per row of docs: doc_id, held_out, score, predicted."""
-    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), features(F.col("text")).alias("x"))
-    raw = F.lit(-float(model["cut"]))
-    for i, (w, mean, std) in enumerate(zip(model["w"], model["mean"], model["std"], strict=True)):
-        raw = raw + (F.get("x", F.lit(i)) - mean) / std * w
-    shifted = raw + math.log(THRESHOLD / (1 - THRESHOLD))
+def _scored(rows: DataFrame, model: dict) -> DataFrame:
+    shifted = _raw(model) + math.log(THRESHOLD / (1 - THRESHOLD))
     rows = rows.select("doc_id", "held_out", (1 / (1 + F.exp(-shifted))).alias("score"))
     return rows.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
 
 
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """Per row of docs: doc_id, held_out, score, predicted."""
+    return _scored(_rows(docs), model)
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    return score(docs, train(docs, labels))
+    rows = written(_rows(docs), "features")
+    return _scored(rows, _trained(rows, labels))

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import zlib
 
 import duckdb
 import numpy as np
@@ -239,6 +240,30 @@ def test_scores_against_plain_python(spark, sf):
     assert loss(np.array(model["w"])) < 0.5 * loss(np.zeros(diff.shape[1]))
 
 
+def test_every_labelled_row_counts(spark):
+    """9,000 rows, of which no bounded sample knows the mean; the weights are the least of all pairs' loss, and the cut parts as many rows as are bad."""
+    r = np.random.default_rng(4)
+    quality = r.random(9_000) < 0.6
+    x = r.normal(size=(9_000, 11)) + quality[:, None] * np.linspace(0, 1, 11)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id long, x array<double>")
+    labels = spark.createDataFrame([(i, int(q)) for i, q in enumerate(quality)], "doc_id long, quality int")
+    model = quality_classifier._trained(rows, labels)
+    learned = np.array([zlib.crc32(str(i).encode()) % 4 != 2 for i in range(len(x))])
+    x, quality = x[learned], quality[learned]
+    assert len(x) > 6_500
+    assert np.allclose(model["mean"], x.mean(0)) and np.allclose(model["std"], x.std(0) + 1e-6)
+    z, w = (x - x.mean(0)) / x.std(0), np.array(model["w"])
+    gradient, good, bad = quality_classifier.RIDGE * w, z[quality], z[~quality]
+    for at in range(0, len(good), 200):
+        p = 1 / (1 + np.exp((good[at : at + 200] @ w)[:, None] - (bad @ w)[None]))
+        gradient = gradient + (p.sum(0) @ bad - p.sum(1) @ good[at : at + 200]) / len(good) / len(bad)
+    assert np.abs(gradient).max() < 1e-4
+    scores = np.sort(z @ w)
+    n = int((~quality).sum())
+    assert model["cut"] == pytest.approx((scores[n - 1] + scores[n]) / 2, abs=1e-4)
+    assert quality_classifier._cut(spark.createDataFrame([(float(v),) for v in (1, 2, 2, 2, 5)], "s double"), 2) == 2.0
+
+
 def test_network_against_plain_loops():
     model = {k: v.astype(np.float64) for k, v in language_id.new_model(3).items()}
     texts, h = ["short", "é" * 70 + " and a text of more than one window of bytes", "", None, "12 34"], model["uf"].shape[1]
