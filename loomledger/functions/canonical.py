@@ -79,10 +79,10 @@ def canonical_json(text: str) -> str | None:
         return None
 
 
-def hash_of(event: dict) -> str:
-    """Hash of one event, for the sequential parts: appending and tests."""
+def hash_of(event: dict, payload: str | None = None) -> str:
+    """Hash of one event, for the sequential parts: appending and tests. payload: its sorted JSON, where that is known."""
     text = json.dumps
-    head = ",".join(f'"{k}":{canonical_json(event[k]) if k == "payload" else text(event.get(k), ensure_ascii=False)}' for k in FIELDS)
+    head = ",".join(f'"{k}":{payload or canonical_json(event[k]) if k == "payload" else text(event.get(k), ensure_ascii=False)}' for k in FIELDS)
     return hashlib.sha256(f"{{{head}}}".encode()).hexdigest()
 
 

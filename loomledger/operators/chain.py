@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomledger.functions.canonical import event_hash, hash_of
+from loomledger.functions.canonical import event_hash, hash_of, sorted_json
 from loomledger.operators.neighbours import before
 from loomledger.schema import GENESIS
 
@@ -26,25 +26,26 @@ def chained(events: DataFrame, log: str, tips: DataFrame | None = None) -> DataF
         rows = rows.withColumns({"_from": F.lit(None).cast("long"), "_tip": F.lit(None).cast("string")})
     rows = rows.withColumns({"_from": F.coalesce("_from", F.lit(0)), "_tip": F.coalesce("_tip", F.lit(GENESIS))})
 
-    heads = (log, "_from", "_tip", "id", "type", "actor", "device_id", "ts_device", "payload")
+    heads = (log, "_from", "_tip", "id", "type", "actor", "device_id", "ts_device", "payload", "_sorted")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, seq, tip = None, 0, GENESIS
         for batch in batches:
             seqs, prevs, hashes = [], [], []
-            for name, start, base, id_, kind, actor, device, ts, payload in zip(*(batch.column(k).to_pylist() for k in heads), strict=True):
+            for name, start, base, id_, kind, actor, device, ts, payload, sorted_ in zip(*(batch.column(k).to_pylist() for k in heads), strict=True):
                 if name != now:
                     now, seq, tip = name, start, base
                 seq += 1
                 prevs.append(tip)
-                tip = hash_of({"id": id_, "seq": seq, "type": kind, "actor": actor, "device_id": device, "ts_device": ts, "payload": payload, "prev_hash": tip})
+                tip = hash_of({"id": id_, "seq": seq, "type": kind, "actor": actor, "device_id": device, "ts_device": ts, "payload": payload, "prev_hash": tip}, sorted_)
                 seqs.append(seq)
                 hashes.append(tip)
             own = {c: batch.column(c) for c in kept} | {"seq": pa.array(seqs, pa.int64()), "prev_hash": pa.array(prevs, pa.string()), "hash": pa.array(hashes, pa.string())}
             yield pa.RecordBatch.from_arrays(list(own.values()), list(own))
 
     schema = ", ".join(f"`{f.name}` {'bigint' if f.name == 'seq' else f.dataType.simpleString()}" for f in rows.select(*kept).schema)
-    ordered = rows.select(*kept, "_from", "_tip").repartition(log).sortWithinPartitions(log, "seq")
+    # payloads are put in order by all tasks, before each log goes to one
+    ordered = rows.select(*kept, "_from", "_tip", sorted_json(F.col("payload")).alias("_sorted")).repartition(log).sortWithinPartitions(log, "seq")
     return ordered.mapInArrow(link, f"{schema}, prev_hash string, hash string")
 
 
