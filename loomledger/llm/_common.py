@@ -17,6 +17,9 @@ SPACE_CLASS = r"[\x20\x09-\x0D]+"
 NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
+#: Bytes of an Arrow batch. The JVM holds a batch twice beside its heap, and Python once more, for every task.
+BATCH_BYTES = 2 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -89,6 +92,19 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         drop_made(spark, begun)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Inside, what an action sends to Python at once ends at BATCH_BYTES or after one row, not at a number of rows alone; a bound that the session has set stays."""
+    if spark.conf.get(_BATCH_BYTES, None):
+        yield
+        return
+    spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_BYTES)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Texts that are all ASCII take the fast built-in; others keep their accents' case."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

@@ -15,7 +15,8 @@ comparisons are many tasks' work. There a member's full set is written against i
 pivot's: a bit for each of the pivot's shingles, and the shingles beyond those.
 Near copies of one text are small in this form, and sizes of intersections are
 exact, so that only links leave the task and never candidate pairs. No cap is
-set on members, partners or candidates. Wherever a bucket or a pivot is a join's
+set on members, partners or candidates. What a task sends to Python at once is bounded
+in bytes (texts, full sets, blocks of members), but for a single row. Wherever a bucket or a pivot is a join's
 key, its rows are dealt over salts, as many as the number of classes asks for, and
 what they join is repeated for the salts that occur.
 
@@ -43,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop_made, id_text, ids, made, written
+from ._common import drop_made, id_text, ids, made, small_batches, written
 
 WORDS = 5
 BANDS = 48
@@ -59,18 +60,21 @@ SALTS = 64
 #: Cells of the counts that bound how many shingles beyond the pivot's two members share.
 CELLS = 256
 BROADCAST_IDS = 1_000_000
-#: Words whose hashes a worker keeps.
+#: Words whose hashes a worker keeps, and the most bytes of each.
 KNOWN = 1 << 18
+LONGEST = 64
 _K = BANDS * ROWS
 
 
 class _Hashes(dict):
-    """Words' hashes, the latest KNOWN of them kept."""
+    """Words' hashes, the latest KNOWN of words up to LONGEST bytes kept."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
+        out = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= LONGEST:
+            if len(self) >= KNOWN:
+                self.clear()
+            self[word] = out
         return out
 
 
@@ -283,7 +287,8 @@ def _members(block: list) -> tuple:
 
 def groups(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
-    rows, classes = _grouped(docs)
+    with small_batches(docs.sparkSession):
+        rows, classes = _grouped(docs)
     known = classes.select("digest", "component_id", "stands")
     rows = rows.join(known, "digest", "left").withColumn("component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull() & F.coalesce("stands", F.lit(True)))
@@ -333,7 +338,8 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group, with docs' own columns: that of smallest id, of equal ids that of smallest digest, of equal rows that of smallest JSON form. Every row without words is a group of its own."""
-    digests, classes = _grouped(docs)
+    with small_batches(docs.sparkSession):
+        digests, classes = _grouped(docs)
     chosen = classes.filter("stands").select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th"), (F.col("times") > 1).alias("_kept_twice"))
     wordless = digests.filter("digest is null").select(F.col("doc_id").alias("_kept_id"), F.col("th").alias("_kept_th"), F.lit(False).alias("_kept_twice")).distinct()
     keys = written(chosen.unionByName(wordless), "near_kept")

@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from loomledger.llm import decontaminate, language_id, license_scan, near_dedup, oracles, packing, quality_classifier, quality_rules, secrets
@@ -151,6 +152,31 @@ def test_near_groups_in_hot_buckets(spark, monkeypatch, block, group, salts):
     assert got == dict(enumerate(comp))  # recall of links 1: every group is whole
 
 
+def test_near_groups_of_long_texts_in_small_batches(spark, monkeypatch):
+    def bounded(f):
+        def held(batches):
+            for pdf in batches:
+                sizes = [sum(len(v) for v in row if isinstance(v, str | bytes)) for row in pdf.itertuples()]
+                assert sum(sizes[:-1]) <= 2 << 20, (len(pdf), sum(sizes))
+                yield from f(iter([pdf]))
+
+        return held
+
+    for name in ("_digest", "_signed", "_hashed", "_verify", "_against_pivot"):
+        monkeypatch.setattr(near_dedup, name, bounded(getattr(near_dedup, name)))
+    texts = [" ".join(f"g{i % 2}w{k}" for k in range(25_000)) + f" end{i}" for i in range(24)]
+    got = {x.doc_id: x.component_id for x in near_dedup.groups(docs(spark, texts).coalesce(1)).collect()}
+    assert got == {i: i % 2 for i in range(24)}
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+
+
+def test_long_words_are_not_kept():
+    known = near_dedup._hash_of.__self__
+    word = b"x" * 100_000
+    assert near_dedup.word_hashes(f"short {word.decode()}").tolist() == [xxhash.xxh3_64_intdigest(w) for w in (b"short", word)]
+    assert b"short" in known and word not in known
+
+
 def test_near_rows_without_ids(spark):
     rows = clashing(spark, ROWS)
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.groups(rows).collect()), key=repr)
